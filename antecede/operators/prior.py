@@ -7,11 +7,12 @@ one heavy key makes it quadratic.  Here nothing is paired:
 1. Rows are summed per (key, slot, instant, label) before any shuffle.  Equal
    instants collapse, so a slot holds at most its distinct instants x labels.
 2. Rows and anchors meet on (key, slot).  One descending window gives each row
-   its segment: the first anchor instant strictly after it inside the slot, or
-   none when no anchor of the slot follows.
-3. Segments are summed and pivoted: one wide row per anchor instant, plus one
-   per slot for what no anchor of the slot has seen.
-4. An anchor's state is the running total of its slot's segments plus the total
+   its segment: the first anchor instant strictly after it inside the slot.
+3. Rows with no later anchor in their slot are summed per slot and label, and
+   sent on to the first anchor of a later slot.  What is left are narrow rows:
+   per anchor instant and label, what came since the anchor before it.
+4. Only these are pivoted: wide rows exist per anchor, never per log row.
+5. An anchor's state is the running total of its slot's segments plus the total
    of all earlier slots.  The latter is a window over slot summaries only.
 
 Families of rows that feed different features share the same union, exchange
@@ -82,9 +83,18 @@ class Family:
     dense: bool = True
 
 
+def _slotted(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
+    """Rows with key and time.
+
+    The filter is spelled out so that joins further up add none of their own:
+    branches that read the same exchange stay identical, and Spark runs it once.
+    """
+    return with_slot(df, ts, seconds).where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, ts, SLOT)))
+
+
 def _contributions(family: Family, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
     value = F.lit(None).cast("double") if family.value is None else family.value.cast("double")
-    flat = with_slot(family.rows.dropna(subset=[*keys, ts]), ts, seconds).select(
+    flat = _slotted(family.rows, keys, ts, seconds).select(
         *keys, SLOT, "_t", *[F.col(c).cast("string").alias(c) for c in family.by], value.alias("_v")
     )
     if family.dense:
@@ -123,6 +133,54 @@ def _entries(family: Family) -> Column:
     return F.array(*parts)
 
 
+STATE = {"_n": "sum", "_s": "sum", "_q": "sum", "_m": "max"}
+
+
+def _merged(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(*[F.expr(f"{how}({c}) AS {c}") for c, how in STATE.items()])
+
+
+def _segments(anchors: DataFrame, families: Sequence[Family], keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
+    """Rows summed up to the first anchor instant after them, and the anchors.
+
+    ``_seg`` is that instant.  Rows no anchor of their slot follows go on to the
+    first anchor of a later slot.  Rows after their key's last anchor keep a NULL
+    ``_seg`` in that anchor's slot: they matter for totals only.
+    """
+    by = list(dict.fromkeys(c for family in families for c in family.by))
+    tape = _slotted(anchors, keys, ts, seconds).select(
+        *keys, SLOT, "_t", F.struct(*anchors.columns).alias("_anchor")
+    )
+    for family in families:
+        tape = tape.unionByName(_contributions(family, keys, ts, seconds), allowMissingColumns=True)
+
+    # Descending order with a bound one microsecond behind: anchors strictly later.
+    later = (
+        Window.partitionBy(*keys, SLOT).orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    )
+    own = F.when(F.col("_anchor").isNotNull(), F.col("_t"))
+    cut = tape.withColumn("_seg", F.coalesce(own, F.min(own).over(later)))
+    settled = _merged(cut.where("_seg IS NOT NULL"), *keys, SLOT, "_seg", "_anchor", "_family", *by)
+
+    tails = _merged(cut.where("_seg IS NULL"), *keys, SLOT, "_family", *by)
+    firsts = cut.where("_anchor IS NOT NULL").groupBy(*keys, SLOT).agg(F.min("_t").alias("_first"))
+    # One row per slot and label of a key, however many rows the slot had.
+    ahead = Window.partitionBy(*keys).orderBy(F.col(SLOT).desc()).rangeBetween(Window.unboundedPreceding, -1)
+    moved = (
+        tails.unionByName(firsts, allowMissingColumns=True)
+        .withColumns({
+            "_seg": F.min("_first").over(ahead),
+            "_final": F.max("_first").over(Window.partitionBy(*keys)),
+        })
+        .where("_family IS NOT NULL AND _final IS NOT NULL")
+        .withColumn(SLOT, F.expr(f"coalesce(_seg, _final) div {seconds * 1_000_000}"))
+        .where(f"{SLOT} IS NOT NULL")
+        .drop("_first", "_final")
+    )
+    together = settled.unionByName(moved, allowMissingColumns=True).repartition(*keys, SLOT)
+    return _merged(together, *keys, SLOT, "_seg", "_anchor", "_family", *by)
+
+
 def prior_table(
     anchors: DataFrame,
     families: Sequence[Family],
@@ -147,24 +205,7 @@ def prior_table(
     added = list(dict.fromkeys(raw for raw, _ in [*sums, *totals]))
     topped = [raw for raw, _ in tops]
 
-    marks = with_slot(anchors.dropna(subset=[*keys, ts]), ts, slot_seconds).select(
-        *keys, SLOT, "_t", F.struct(*anchors.columns).alias("_anchor")
-    )
-    tape = marks
-    for family in families:
-        tape = tape.unionByName(_contributions(family, keys, ts, slot_seconds), allowMissingColumns=True)
-
-    # Descending order with a bound one microsecond behind: anchors strictly later.
-    later = (
-        Window.partitionBy(*keys, SLOT).orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    )
-    own = F.when(F.col("_anchor").isNotNull(), F.col("_t"))
-    cut = tape.withColumn("_seg", F.coalesce(own, F.min(own).over(later)))
-
-    by = list(dict.fromkeys(c for family in families for c in family.by))
-    segments = cut.groupBy(*keys, SLOT, "_seg", "_anchor", "_family", *by).agg(
-        F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.max("_m").alias("_m")
-    )
+    segments = _segments(anchors, families, keys, ts, slot_seconds)
     entries = None
     for family in families:
         test = F.col("_family") == family.name
@@ -178,17 +219,14 @@ def prior_table(
     )
 
     key_list = ", ".join(f"`{k}`" for k in keys)
-    # The range frame ends with the anchor's own instant, where its segment sits.
-    in_slot = f"OVER (PARTITION BY {key_list}, {SLOT} ORDER BY _seg RANGE UNBOUNDED PRECEDING)"
-    here = (
-        wide.where("_seg IS NOT NULL")
-        .selectExpr(
-            *keys, SLOT, "_anchor",
-            *[f"sum(`{c}`) {in_slot} AS `{c}`" for c in added],
-            *[f"max(`{c}`) {in_slot} AS `{c}`" for c in topped],
-        )
-        .where("_anchor IS NOT NULL")
-    )
+    # The range frame ends with the anchor's own instant, where its segment sits;
+    # what came after the last anchor has no instant and sorts behind.
+    in_slot = f"OVER (PARTITION BY {key_list}, {SLOT} ORDER BY _seg NULLS LAST RANGE UNBOUNDED PRECEDING)"
+    here = wide.selectExpr(
+        *keys, SLOT, "_anchor",
+        *[f"sum(`{c}`) {in_slot} AS `{c}`" for c in added],
+        *[f"max(`{c}`) {in_slot} AS `{c}`" for c in topped],
+    ).where("_anchor IS NOT NULL")
     per_slot = wide.groupBy(*keys, SLOT).agg(
         *[F.expr(f"sum(`{c}`) AS `{c}`") for c in added], *[F.expr(f"max(`{c}`) AS `{c}`") for c in topped]
     )
