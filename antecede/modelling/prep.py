@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from antecede.operators.timeline import SLOT, numbered
 
 QUARTILES = (0.25, 0.5, 0.75)
-PIECES = 200
+ROUND = 8
+PIECES = ROUND * ROUND
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES) -> DataFrame:
@@ -27,10 +28,21 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUART
     ])).alias("e")).select("e.*")
     counted = long.where("v IS NOT NULL").groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
     steps = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
-    # One row per column, PIECES numbers each: bounded by the schema.
-    cuts = counted.groupBy("col").agg(F.percentile_approx("v", steps, F.lit(100 * PIECES)).alias("cuts"))
-    pieces = counted.join(F.broadcast(cuts), "col").select(
-        "col", "v", "n", F.size(F.filter("cuts", lambda cut: cut < F.col("v"))).alias("piece")
+    # One row per column, PIECES numbers each: bounded by the schema.  The largest
+    # count is asked for so that both readers of ``counted`` share one exchange.
+    cuts = (
+        counted.groupBy("col")
+        .agg(F.percentile_approx("v", steps, F.lit(100 * PIECES)).alias("cuts"), F.max("n").alias("most"))
+        .where("most > 0")
+        .drop("most")
+    )
+    # Find the piece in two short rounds: one comparison per cut would be slow.
+    coarse = " + ".join(f"IF(v > cuts[{ROUND * i + ROUND - 1}], 1, 0)" for i in range(ROUND - 1))
+    fine = " + ".join(f"IF(v > cuts[coarse * {ROUND} + {i}], 1, 0)" for i in range(ROUND - 1))
+    pieces = (
+        counted.join(F.broadcast(cuts), "col")
+        .selectExpr("*", f"{coarse} AS coarse")
+        .selectExpr("col", "v", "n", f"coarse * {ROUND} + {fine} AS piece")
     )
     sizes = pieces.groupBy("col", "piece").agg(F.sum("n").alias("size"))
     before = Window.partitionBy("col").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,6 +60,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUART
         .select("col", "piece", "prob", "at", "rank", "below").distinct()
     )
     upto = Window.partitionBy("col", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # The wanted ranks, too, are a fixed number per column.
     hit = pieces.join(F.broadcast(wanted.select("col", "piece").distinct()), ["col", "piece"], "left_semi")
     ordered = hit.withColumn("last", F.sum("n").over(upto))
     found = ordered.join(F.broadcast(wanted), ["col", "piece"]).where(

@@ -21,7 +21,10 @@ def spread_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot spread a {how} join")
-    salted = big.withColumn("_way", F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
+    # Never NULL, and declared so: the join then adds no filter that would keep
+    # Spark from sharing an exchange between both sides.
+    way = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"), F.lit(0))
+    salted = big.withColumn("_way", way)
     repeated = small.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return salted.join(repeated, [*on, "_way"], how).drop("_way")
 

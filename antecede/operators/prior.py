@@ -213,6 +213,7 @@ def prior_table(
     wide = (
         segments.select(*keys, SLOT, "_seg", "_anchor", F.explode_outer(entries).alias("_e"))
         .select(*keys, SLOT, "_seg", "_anchor", "_e.*")
+        .where("k IS NOT NULL OR _anchor IS NOT NULL")
         .groupBy(*keys, SLOT, "_seg", "_anchor")
         .pivot("k", [*added, *topped])
         .agg(F.coalesce(F.sum("a"), F.max("m")))

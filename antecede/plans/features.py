@@ -54,7 +54,9 @@ def activity(df: DataFrame, roles: Roles, cells: Sequence[str]) -> Family:
         "x3": (Cell("x3", ("n",), title_code, roles.title_codes),),
         "x14": (Cell("x14", ("max",)),),
     }
-    chosen = tuple(cell for name in cells for cell in known[name]) + (Cell("act_all"),)
+    chosen = tuple(cell for name in cells for cell in known[name])
+    if {"x2", "x3"} & set(cells):
+        chosen += (Cell("act_all"),)
     by = tuple(c for c, users in (("title", {"x1", "x3"}), ("event_code", {"x1", "x2", "x3"})) if users & set(cells))
     rows = df.where(~roles.is_assessment())
     if set(cells) == {"x1"}:
@@ -139,20 +141,27 @@ def helps(df: DataFrame, name: str, ids: Sequence[str]) -> Family:
     )
 
 
+def clicks(df: DataFrame, roles: Roles) -> DataFrame:
+    """Rows outside assessments with whole-number coordinates."""
+    return df.where(~roles.is_assessment() & has_xy(F.col("event_data"))).select(
+        *dict.fromkeys([*KEYS, "title", *row_order(df)]),
+        json_int(F.col("event_data"), "x").alias("x"),
+        json_int(F.col("event_data"), "y").alias("y"),
+    )
+
+
 def click_spreads(df: DataFrame, roles: Roles) -> Family:
     """Per session, the spread of its clicks along x and y (X13).
 
+    The session is placed at its first click, but its spread is that of all its
+    clicks, later ones included.
+
     The variance of a prefix is taken from sums of the values less the first
     value of their (user, world, title, axis).  That reference lies in every
     prefix, so equal values give exactly 0 and nothing cancels.
     """
     order = row_order(df)
-    clicks = df.where(~roles.is_assessment() & has_xy(F.col("event_data"))).select(
-        *dict.fromkeys([*KEYS, "title", *order]),
-        json_int(F.col("event_data"), "x").alias("x"),
-        json_int(F.col("event_data"), "y").alias("y"),
-    )
-    sessions = clicks.groupBy("game_session").agg(
+    sessions = clicks(df, roles).groupBy("game_session").agg(
         F.min_by(F.struct(*KEYS, "title", "ts"), F.struct(*order)).alias("_first"),
         F.stddev_pop("x").alias("x"),
         F.stddev_pop("y").alias("y"),
@@ -165,9 +174,8 @@ def click_spreads(df: DataFrame, roles: Roles) -> Family:
         "game_session", *KEYS, "title", "ts", "_a.*"
     )
     group = [*KEYS, "title", "axis"]
-    reference = earliest_per_key(
-        long.dropna(subset=group), group, ["ts", "game_session"], ["spread"]
-    ).withColumnRenamed("spread", "_reference")
+    long = long.where(" AND ".join(f"{c} IS NOT NULL" for c in group))
+    reference = earliest_per_key(long, group, ["ts", "game_session"], ["spread"]).withColumnRenamed("spread", "_reference")
     shifted = spread_join(long, reference, group, "inner", ["game_session"])
     stats = ("n", "s", "q")
     return Family(
@@ -184,6 +192,40 @@ def click_spreads(df: DataFrame, roles: Roles) -> Family:
     )
 
 
+def click_spread_changes(df: DataFrame, roles: Roles) -> list[Family]:
+    """X13 over earlier clicks only: each click reports how it changed its session's spread.
+
+    Summing the changes up to an anchor gives every session's spread as it then
+    stood, without looking at a session twice.
+    """
+    order = row_order(df)
+    sums = {"_n": "1D"}
+    for a in ("x", "y"):
+        sums |= {f"_s{a}": f"CAST({a} AS DOUBLE)", f"_q{a}": f"CAST({a} AS DOUBLE) * {a}"}
+    known = running_sums(with_slot(clicks(df, roles)), ["game_session"], order, sums)
+    axes = ", ".join(
+        f"named_struct('axis', '{a}', 'now', {_std('_n', f'_s{a}', f'_q{a}', sample=False)}, "
+        f"'was', {_std('(_n - 1)', f'(_s{a} - {a})', f'(_q{a} - CAST({a} AS DOUBLE) * {a})', sample=False)})"
+        for a in ("x", "y")
+    )
+    changes = known.selectExpr(*KEYS, "ts", "title", "CAST(_n = 1 AS STRING) AS opens", f"inline(array({axes}))")
+    by = ("title", "axis", "opens")
+    families = []
+    for name, stat, value in (("spread", "", "now - was"), ("square", "_sq", "now * now - was * was")):
+        cells = []
+        for a in ("x", "y"):
+            own = F.col("axis") == a
+            cells.append(Cell(f"x13{a}{stat}", ("s",), F.col("title"), roles.titles, when=own))
+            if name == "spread":
+                opened = own & (F.col("opens") == "true")
+                cells.append(Cell(f"x13{a}_open", ("n",), F.col("title"), roles.titles, when=opened))
+        if name == "spread":
+            cells.append(Cell("x13_all"))
+        rows = changes.selectExpr(*KEYS, "ts", *by, f"{value} AS change")
+        families.append(Family(name, rows, tuple(cells), by=by, value=F.col("change")))
+    return families
+
+
 # ---- from state to output columns ------------------------------------------------
 
 
@@ -249,9 +291,10 @@ def help_columns(prefix: str, names: Mapping[str, str], per_event: bool = False)
     return out
 
 
-def x13_columns(roles: Roles) -> list[str]:
+def x13_columns(roles: Roles, strict: bool = False) -> list[str]:
+    n, q = ("_open_n", "_sq_s") if strict else ("_n", "_q")
     return [
-        f"{_std(f'x13{a}_n__{g}', f'x13{a}_s__{g}', f'x13{a}_q__{g}', sample=False)} AS x13_{a}__{g}"
+        f"{_std(f'x13{a}{n}__{g}', f'x13{a}_s__{g}', f'x13{a}{q}__{g}', sample=False)} AS x13_{a}__{g}"
         for a in ("x", "y")
         for g in map(slug, roles.titles)
     ]
@@ -451,10 +494,14 @@ def x12(df: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def x13(df: DataFrame, roles: Roles) -> DataFrame:
-    """Spread, over earlier sessions of a title, of the spread of their clicks."""
-    state = prior_table(anchors(df, roles), [click_spreads(df, roles)])
-    return state.where("x13_all_n > 0").selectExpr("game_session", *x13_columns(roles))
+def x13(df: DataFrame, roles: Roles, strict: bool = False) -> DataFrame:
+    """Spread, over earlier sessions of a title, of the spread of their clicks.
+
+    ``strict`` looks at earlier clicks only.
+    """
+    families = click_spread_changes(df, roles) if strict else [click_spreads(df, roles)]
+    state = prior_table(anchors(df, roles), families)
+    return state.where("x13_all_n > 0").selectExpr("game_session", *x13_columns(roles, strict))
 
 
 def x14(df: DataFrame, roles: Roles) -> DataFrame:

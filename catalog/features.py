@@ -342,6 +342,17 @@ def _(spark, sf):
     return rounded(X.x13(event_log(spark, sf), ROLES))
 
 
+X13_STRICT_SQL = X13_SQL[: X13_SQL.index("click_sessions AS")] + f"""x13_long AS (
+    SELECT a.game_session, r.title AS label, r.game_session AS s, stddev_pop(r.x) AS x, stddev_pop(r.y) AS y
+    FROM anchors a JOIN clicks r ON {SAME_KEY} AND a.ts > r.ts GROUP BY ALL),
+  """ + X13_SQL[X13_SQL.index("x13 AS (SELECT"):]
+
+
+@query("x13_click_strict", over_log("SELECT * FROM x13", X13_STRICT_SQL))
+def _(spark, sf):
+    return rounded(X.x13(event_log(spark, sf), ROLES, strict=True))
+
+
 @query("x14_gap", over_log("SELECT game_session, round(seconds, 6) AS seconds FROM x14", X14_SQL))
 def _(spark, sf):
     return rounded(X.x14(event_log(spark, sf), ROLES))

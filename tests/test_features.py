@@ -207,6 +207,9 @@ def test_x13_spread_of_spreads_counts_clicks_after_the_anchor(spark):
     assert got["a1"]["x13_y__chow_time"] == pytest.approx(0.5)  # spreads 1 and 0
     assert got["a2"]["x13_x__chow_time"] == pytest.approx(math.sqrt((4 + 25 + 0) / 3 - (7 / 3) ** 2))
     assert got["a1"]["x13_x__rulers"] == 0.0
+    strict = by_session(X.x13(log, ROLES, strict=True))
+    assert strict["a1"]["x13_x__chow_time"] == pytest.approx(1.0)  # spreads 2 and 0
+    assert strict["a2"]["x13_x__chow_time"] == pytest.approx(math.sqrt(4 / 3 - (2 / 3) ** 2))
 
 
 def test_x13_equal_spreads_do_not_cancel_into_noise(spark):
