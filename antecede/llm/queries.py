@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from antecede.llm.html_text import extract
 from antecede.llm.mixing import mix
+from antecede.llm.near_dup import groups
 from antecede.llm.packing import pack
+from antecede.llm.secret_scan import scan, scan_sql
 from antecede.llm.token_counts import token_counts
 
 
@@ -20,6 +23,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,14 +35,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secrets": scan_sql()}
