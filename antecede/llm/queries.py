@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from antecede.llm import quality, toxicity
 from antecede.llm.html_text import extract
 from antecede.llm.mixing import mix
 from antecede.llm.near_dup import groups
 from antecede.llm.packing import pack
 from antecede.llm.secret_scan import scan, scan_sql
 from antecede.llm.token_counts import token_counts
+from antecede.llm.vector_links import links
+from antecede.llm.vector_search import search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,22 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(table(spark, sf_dir, "embeddings"))
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
@@ -54,6 +73,10 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
+    "op9_vector_links": op9_vector_links,
+    "op10_vector_search": op10_vector_search,
 }
 
 ORACLES: dict[str, str] = {"op1_secrets": scan_sql()}

@@ -58,6 +58,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     )
     counted = chosen.select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     counted.withColumn("version", F.lit(version(tokenizer))).write.mode("append").partitionBy("version").parquet(cache)
-    return content.join(stored(spark, cache, tokenizer), "digest", "left").select(
+    # A table of its own, so that Spark can split the join at a digest with very many rows.
+    return content.join(materialize(stored(spark, cache, tokenizer)), "digest", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
