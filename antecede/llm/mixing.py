@@ -2,8 +2,9 @@
 
 Each document has a fixed 64-bit hash.  A source takes whole copies of all its documents and, for the rest of its
 target, the documents whose hash lies below a threshold.  The threshold is found by histograms: words by source and
-upper hash bits, then, of the one bucket in which the budget ends, by the next bits, and so on.  A larger budget keeps what
-a smaller one took.  All steps are DataFrame operations.
+upper hash bits, then, of the one bucket in which the budget ends, by the next bits, and so on.  What the first document
+that does not fit would leave open is filled by small documents, under a second threshold found in the same way.  All steps are
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -64,41 +65,87 @@ def digit(level: int) -> Column:
     return F.shiftrightunsigned("hash", 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """For each source ``copies`` of all its documents and ``upto``, the largest hash prefix taken once more (-1: none).
+def threshold(sized: DataFrame, wants: DataFrame, nearer: bool) -> DataFrame:
+    """source, upto and left: the longest run of hash prefixes whose words fit each source's budget, and what it leaves.
 
-    The last bucket is taken if that brings the words nearer to the target.
+    ``wants``: source, budget, after, most_size; only documents of prefixes beyond ``after`` and of at most ``most_size``
+    words count.  With ``nearer`` the next prefix is taken too if that brings the words nearer to the budget.
     """
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    state = sources.select(
-        "source", F.greatest(whole, F.lit(0)).cast("long").alias("copies"),
-        (F.col("target") - F.greatest(whole, F.lit(0)) * F.col("source_size")).alias("budget"),
-        F.lit(0).cast("long").alias("prefix"),
-    )
+    state = wants.withColumn("prefix", F.lit(0).cast("long")).withColumn("words", F.lit(None).cast("long"))
     key = Window.partitionBy("source")
     for level in range(DIGITS):
-        below = sized.select("source", "size", "hash", digit(level).alias("digit")).alias("d")
         above = F.shiftrightunsigned("hash", 64 - BITS * level) if level else F.lit(0).cast("long")
-        inside = below.join(
-            state.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (above == F.col("prefix"))
-        ).select("s.source", "copies", "budget", "prefix", "digit", "size")
-        counts = inside.groupBy("source", "copies", "budget", "prefix", "digit").agg(F.sum("size").alias("words"))
+        counts = sized.select("source", "size", "hash", digit(level).alias("digit")).alias("d").join(
+            state.alias("s"),
+            F.col("d.source").eqNullSafe(F.col("s.source")) & (above == F.col("prefix")) & (F.col("size") <= F.col("most_size"))
+            & (prefix() > F.col("after")),
+        ).groupBy("s.source", "budget", "digit").agg(F.sum("size").alias("words"))
         running = F.sum("words").over(key.orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
-        steps = counts.withColumn("upto", running).withColumn("before", F.col("upto") - F.col("words"))
+        steps = counts.withColumn("to", running)
         # The bucket in which the budget ends; if it ends in none, the one after the last.
-        over = F.col("upto") > F.col("budget")
-        found = steps.groupBy("source", "copies", "budget", "prefix").agg(
-            F.min(F.when(over, F.struct("digit", "before", "words"))).alias("edge"), F.max("digit").alias("last"),
-            F.sum("words").alias("all"),
-        )
-        edge = F.coalesce(F.col("edge.digit"), F.col("last") + 1)
-        left = F.col("budget") - F.coalesce(F.col("edge.before"), F.col("all"))
-        state = materialize(found.select(
-            "source", "copies", left.alias("budget"),
-            (F.shiftleft("prefix", BITS) + edge).alias("prefix"), F.col("edge.words").alias("words"),
+        over = F.when(F.col("to") > F.col("budget"), F.struct("digit", (F.col("to") - F.col("words")).alias("before"), "words"))
+        found = steps.groupBy("source").agg(F.min(over).alias("edge"), F.max("digit").alias("last"), F.sum("words").alias("all"))
+        state = materialize(state.alias("s").join(found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left").select(
+            "s.source", "after", "most_size",
+            (F.col("budget") - F.coalesce("edge.before", "all", F.lit(0))).alias("budget"),
+            (F.shiftleft("prefix", BITS) + F.coalesce(F.col("edge.digit"), F.col("last") + 1, F.lit(0))).alias("prefix"),
+            F.col("edge.words").alias("words"),
         ))
-    nearer = F.coalesce(F.col("words") - F.col("budget") < F.col("budget"), F.lit(False))
-    return state.select("source", "copies", (F.col("prefix") - F.when(nearer, 0).otherwise(1)).alias("upto"))
+    take = F.coalesce(F.col("words") - F.col("budget") < F.col("budget"), F.lit(False)) if nearer else F.lit(False)
+    return state.select(
+        "source", (F.col("prefix") - F.when(take, 0).otherwise(1)).alias("upto"),
+        (F.col("budget") - F.when(take, F.col("words")).otherwise(0)).alias("left"),
+    )
+
+
+def prefix() -> Column:
+    """The bits of the hash that decide."""
+    return F.shiftrightunsigned("hash", 64 - BITS * DIGITS)
+
+
+def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each source ``copies`` of all its documents, and the documents taken once more.
+
+    Those are of prefixes up to ``upto`` and, to fill what the first that does not fit would leave open, of prefixes up to
+    ``upto_small`` if they have at most ``small`` words.
+    """
+    whole = F.greatest(F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0), F.lit(0))
+    wants = sources.select(
+        "source", whole.cast("long").alias("copies"), (F.col("target") - whole * F.col("source_size")).alias("budget"),
+        F.lit(-1).cast("long").alias("after"), F.lit((1 << 63) - 1).alias("most_size"),
+    )
+    first = threshold(sized, wants.drop("copies"), nearer=False)
+    again = first.select(
+        "source", F.col("left").alias("budget"), F.col("upto").alias("after"), F.floor("left").cast("long").alias("most_size")
+    )
+    second = threshold(sized, materialize(again), nearer=True)
+    of = lambda name: F.col("s.source").eqNullSafe(F.col(f"{name}.source"))
+    return wants.alias("s").join(again.alias("f"), of("f")).join(second.alias("g"), of("g")).select(
+        "s.source", "copies", F.col("f.after").alias("upto"), F.col("g.upto").alias("upto_small"), F.col("f.most_size").alias("small")
+    )
+
+
+def doc_hash() -> Column:
+    """Of doc_id and text alone."""
+    return F.xxhash64("doc_id", "text")
+
+
+def plan(sized: DataFrame, weights=WEIGHTS, most: float = 3.0, share: float = 1.0) -> DataFrame:
+    """A stored table by source (``of``): source_size, target and what ``thresholds`` finds for ``sized`` rows."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = materialize(with_targets(with_weights(sources, weights), most, share))
+    return materialize(sources.alias("s").join(
+        thresholds(sized, sources).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))
+    ).select(
+        F.col("s.source").alias("of"), "source_size", F.col("target").cast("double").alias("target"),
+        F.struct("copies", "upto", "upto_small", "small").alias("plan"),
+    ))
+
+
+def copies(plan_: Column) -> Column:
+    """How often the mix takes a row (size, hash) whose source's plan stands beside it."""
+    more = (prefix() <= plan_["upto"]) | ((prefix() <= plan_["upto_small"]) & (F.col("size") <= plan_["small"]))
+    return plan_["copies"] + more.cast("long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -108,19 +155,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, share: float = 1.0)
     ``most``.  A null source is a source, the last.  The hash depends on doc_id and text alone, so reruns agree and rows that
     repeat in full are taken together.  Empty documents take nothing; an empty table gives an empty result.
     """
-    sized = materialize(docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("hash")
-    ))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = materialize(with_targets(with_weights(sources, weights), most, share))
-    cuts = materialize(sources.alias("s").join(
-        thresholds(sized, sources).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left"
-    ).select(
-        "s.source", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"),
-        F.coalesce("upto", F.lit(-1)).alias("upto"),
-    ))
-    once = F.shiftrightunsigned("hash", 64 - BITS * DIGITS) <= F.col("upto")
-    return sized.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))).select(
-        "doc_id", "d.source", "size", "source_size", F.col("target").cast("double").alias("target"),
-        (F.col("size") * (F.col("copies") + once.cast("long"))).alias("taken"),
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash().alias("hash")))
+    cuts = plan(sized, weights, most, share)
+    return sized.join(cuts, F.col("source").eqNullSafe(F.col("of"))).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies(F.col("plan"))).alias("taken"),
+    )
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, share: float = 1.0) -> DataFrame:
+    """``docs`` (doc_id, text, source and any other columns) as the mix takes them: each row as often as it is taken.
+
+    Edge cases as in ``mix``.  Texts stay where they are; only the plan is joined.
+    """
+    sized = materialize(docs.select("source", word_count(F.col("text")).alias("size"), doc_hash().alias("hash")))
+    # Whole rows as one column, so that no name of theirs can clash.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row of the input"), "source", word_count(F.col("text")).alias("size"), doc_hash().alias("hash")
     )
+    taken = rows.join(plan(sized, weights, most, share), F.col("source").eqNullSafe(F.col("of"))).withColumn("n", copies(F.col("plan")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return taken.where("n > 0").select("row of the input", times.alias("time")).select("row of the input.*")

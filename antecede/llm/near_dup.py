@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.llm.graph import components
@@ -30,7 +30,7 @@ SLICE = 1 << 15
 IDF_FLOOR = 0.8
 CHUNK = 1 << 20  # bytes of text at once
 KEY = 54  # bits of a shingle's hash; above them the document's place in its chunk
-SIGNED = "doc_id long, textkey long, d1 long, d2 long, sig binary, bands array<long>"
+SIGNED = "doc_id long, k1 long, k2 long, d1 long, d2 long, sig binary, bands array<long>"
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -259,7 +259,7 @@ def _sign(weights, bands: int, rows: int):
     def run(batches):
         weigh = weights.value
         for batch in batches:
-            for at, to, data, ends in chunks(batch.column(2)):
+            for at, to, data, ends in chunks(batch.column(3)):
                 words, bounds = words_of(data, ends)
                 keys, counts = shingles_of(words, bounds)
                 d1, d2 = _sequence(words, bounds, ORDER_1), _sequence(words, bounds, ORDER_2)
@@ -276,9 +276,9 @@ def _sign(weights, bands: int, rows: int):
                     for i, d in enumerate(doc[starts].tolist()):
                         sig[d], key[d] = few[i].tobytes(), value[i]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(d1), pa.array(d2),
+                    [*(batch.column(i).slice(at, to - at) for i in range(3)), pa.array(d1), pa.array(d2),
                      pa.array(sig, pa.binary()), pa.array(key, pa.list_(pa.int64()))],
-                    ["doc_id", "textkey", "d1", "d2", "sig", "bands"],
+                    ["doc_id", "k1", "k2", "d1", "d2", "sig", "bands"],
                 )
 
     return run
@@ -342,19 +342,21 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, weights, thresh
         sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b"
     )
     likely = materialize(signed.select("a", "b", "sa", "sb").mapInArrow(_plausible(threshold), "a long, b long"))
-    asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(
-        "node", F.col("doc_id").alias("id"), F.col("textkey").alias("key")
-    )
-    found = materialize(
-        texts.join(asked, (F.col("textkey") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    )
+    asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k1", "k2"), "node")
+    found = materialize(texts.join(asked, ["k1", "k2"]).select("node", "text"))
     with_a = likely.join(found.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
     with_b = with_a.join(found.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
     return materialize(with_b.select("a", "b", "ta", "tb").mapInArrow(_verify(weights, threshold), "a long, b long").distinct())
 
 
+def row_keys() -> list[Column]:
+    """128 bits of a row's doc_id and text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(2), text, "doc_id").alias("k2")]
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, doc_id, group_id, kept of every row of ``docs`` (doc_id, text; others ignored).
+    """row, doc_id, k1, k2 (``row_keys``), group_id, kept of every row of ``docs`` (doc_id, text; others ignored).
 
     ``group_id`` is the smallest doc_id of the row's group, ``kept`` marks one row of each group (that doc_id, the first
     if it repeats).  Words are runs of letters and digits in lower case.  Documents with the same words in the same order are
@@ -363,14 +365,13 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     """
     spark = docs.sparkSession
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("textkey"),
-        F.lower(F.coalesce("text", F.lit(""))).alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), F.lower(F.coalesce("text", F.lit(""))).alias("text")
     )
     weights = spark.sparkContext.broadcast(frequencies(texts))  # 2 * CELLS counters, whatever the input
     signed = materialize(texts.mapInArrow(_sign(weights, bands, rows), SIGNED).withColumn("row", F.monotonically_increasing_id()))
     same = materialize(signed.where("sig IS NOT NULL").groupBy("d1", "d2").agg(F.min("row").alias("node")))
-    member = signed.select("row", "doc_id", "d1", "d2", F.col("sig").isNotNull().alias("worded")).join(same, ["d1", "d2"], "left")
-    member = materialize(member.select("row", "doc_id", F.when(F.col("worded"), F.col("node")).otherwise(F.col("row")).alias("node")))
+    member = signed.select("row", "doc_id", "k1", "k2", "d1", "d2", F.col("sig").isNotNull().alias("worded")).join(same, ["d1", "d2"], "left")
+    member = materialize(member.select("row", "doc_id", "k1", "k2", F.when(F.col("worded"), F.col("node")).otherwise(F.col("row")).alias("node")))
     nodes = signed.join(same.select("node"), F.col("row") == F.col("node"), "left_semi").withColumnRenamed("row", "node")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     low = keys.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
@@ -389,7 +390,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     more = _links(second, nodes, texts, weights, threshold)
     owner = materialize(components(edges.union(more)))
     placed = member.join(owner, "node", "left").select(
-        "row", "doc_id", F.coalesce("component", "node").alias("component")
+        "row", "doc_id", "k1", "k2", F.coalesce("component", "node").alias("component")
     )
     placed = materialize(placed)
     # The keeper is the smallest id, nulls last, and of its rows the first.
@@ -399,4 +400,17 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     first_row = materialize(
         marked.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("component").agg(F.min("row").alias("keeper"))
     )
-    return marked.join(first_row, "component").select("row", "doc_id", "group_id", (F.col("row") == F.col("keeper")).alias("kept"))
+    return marked.join(first_row, "component").select(
+        "row", "doc_id", "k1", "k2", "group_id", (F.col("row") == F.col("keeper")).alias("kept")
+    )
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one row of each group, as ``groups`` marks it.
+
+    Rows that repeat in id and text are copies too: one stays.
+    """
+    marked = materialize(groups(docs, threshold, bands, rows).where("kept").select("k1", "k2"))
+    # Whole rows as one column, so that no name of theirs can clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("row of the input"), *row_keys())
+    return keyed.join(marked, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row of the input.*")

@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 from antecede.llm.tokens import encoder, version
 from antecede.session import materialize, work_folder
 
+WORDS_KEPT = 300_000  # beside a shuffle of texts there is less room for words
 STORED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("version", T.StringType())])
 
 
 def _encode(path: str):
     def run(batches):
-        count = encoder(path).count
+        count = encoder(path, WORDS_KEPT).count
         for batch in batches:
             n = [count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])

@@ -17,7 +17,7 @@ import numpy as np
 # Fixed values of byte-level BPE: the printable bytes stand for themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_000_000
 LONGEST_WORD = 200
 
 
@@ -76,9 +76,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path)
+def encoder(path: str, kept: int = WORDS_KEPT) -> Encoder:
+    """One encoder for each worker process.  ``kept``: how many words it remembers, about 300 bytes each."""
+    return Encoder(path, kept)
 
 
 def version(path: str) -> str:

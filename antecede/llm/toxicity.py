@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from antecede.llm.labelled import FOLDS, held_out, training_labels
 from antecede.llm.quality import logistic
@@ -42,6 +43,9 @@ CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIZE = len(LETTERS) + 1  # code 0 is the border of a word
 EDGE = ".,;:!?\"'()[]{}<>*%#&$|-_~`^/\\=+…“”«»’‘"
 INNER = re.compile(rf"[^\W\d_][{re.escape(''.join(LOOKS_LIKE) + SEPARATORS)}]+[^\W\d_]|[{re.escape(''.join(LOOKS_LIKE))}][^\W\d_]|[^\W\d_][{re.escape(''.join(LOOKS_LIKE))}]|(.)\1\1")
+REPEAT = re.compile(r"(.)\1\1")
+STOPS = ".,;:!?)\"'"
+WORDS_KEPT = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 ONE = rf"[^\W_]|[{re.escape(''.join(c for c in LOOKS_LIKE if not c.isalnum()))}]"
 SPACED = re.compile(rf"(?<!\S)(?:{ONE})(?:[ .\-_*]{{1,2}}(?:{ONE})){{3,{LONGEST}}}(?![^\s.,!?])")
@@ -142,26 +146,25 @@ def words_of(text: str, model: CharacterModel, known: dict[str, tuple[str, ...]]
     known = {} if known is None else known
     found: set[str] = set()
     for token in set(text.split()):
+        base = token.rstrip(STOPS)
+        if base.isalpha() and not REPEAT.search(base):
+            found.add(base)
+            continue
         word = token.strip(EDGE)
         if word:
             found.add(word)
-        if not word.isalpha() or word != token or _repeats(word):
-            if len(word) <= LONGEST and LETTER.search(token) and len(token) <= 2 * LONGEST:
-                restored = known.get(token)
-                if restored is None:
-                    restored = tuple(r for w in {word, token.rstrip(".,;:?") } if INNER.search(w) and len(w) <= LONGEST for r in decode(w, model))
-                    if len(known) < 200_000:
-                        known[token] = restored
-                found.update(restored)
+        if len(word) <= LONGEST and len(base) <= 2 * LONGEST and LETTER.search(base):
+            restored = known.get(base)
+            if restored is None:
+                restored = tuple(r for w in {word, base} if INNER.search(w) and len(w) <= LONGEST for r in decode(w, model))
+                if len(known) < WORDS_KEPT:
+                    known[base] = restored
+            found.update(restored)
     for match in SPACED.finditer(text):
         found.update(decode(re.sub(r"[\s.\-_*]", "", match[0]), model))
     return found
 
 
-def _repeats(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
-
-
 def features(words: set[str]) -> set[str]:
     """Whole words and their beginnings (marked by a final ``~``)."""
     out = set(words)
@@ -216,26 +219,26 @@ def _summaries(model, lexicons):
     return run
 
 
-def _score(model, lexicon, weights):
+def _score(model, lexicon, weights, text_at: int):
     def run(batches):
         strong, known = lexicon.value, {}
         for batch in batches:
             x = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text, model.value, known)
+            for text in batch.column(text_at).to_pylist():
+                words = words_of((text or "").lower(), model.value, known)
                 hits = {w for w in words if w in strong}
                 for n in BEGINNINGS:
                     hits.update(f for f in {w[:n] + "~" for w in words if len(w) >= n} if f in strong)
                 x.append(summary([strong[f] for f in hits]))
             z = np.array(x, dtype=np.float64).reshape(len(x), -1) @ weights[:-1] + weights[-1] if x else np.zeros(0)
-            score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            score = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "s"])
 
     return run
 
 
-def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; others ignored).
+def with_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS, name: str = "score") -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with the score of each row as a last column ``name``.
 
     ``labels`` has doc_id and ``label`` (0 or 1); held-out rows and nulls are not learned from, and at most ``most`` rows of
     each class are, equal texts once.  A null text is empty.  With labels of one class, or none, every score is the share of
@@ -254,33 +257,49 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     for f, y, count in rows.groupBy("fold", "y").count().collect():
         n[f, y] = count
     model = spark.sparkContext.broadcast(character_model(texts.select("text")))
-    lexicon, weights = {}, np.zeros(5)
     if n.sum(axis=0).min() == 0:
         p = min(max(share if n.sum() else 0.0, 1e-6), 1 - 1e-6)
-        weights[-1] = math.log(p / (1 - p))
+        lexicon, weights = {}, np.array([0.0] * len(summary([])) + [math.log(p / (1 - p))])
     else:
-        counted = materialize(rows.mapInArrow(_count_features(model, FOLDS), "feature string, fold int, y int, n long"))
-        sums = [F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)) for f in range(FOLDS) for y in (0, 1)]
-        by_feature = counted.groupBy("feature").agg(*(s.alias(f"c{i}") for i, s in enumerate(sums)))
-        toxic = sum(F.col(f"c{2 * f + 1}") for f in range(FOLDS))
-        other = sum(F.col(f"c{2 * f}") for f in range(FOLDS))
-        ratio = (toxic - F.sqrt(toxic)) / F.lit(n[:, 1].sum()) / ((other + F.sqrt(other) + 0.5) / F.lit(n[:, 0].sum()))
-        top = by_feature.where((toxic >= LEAST_DOCS) & (ratio > 2)).orderBy(ratio.desc(), "feature").limit(LEXICON).collect()
-        c = np.array([r[1:] for r in top], dtype=np.float64).reshape(-1, FOLDS, 2)
-        total = c.sum(axis=1)
-
-        def weigh(left_out: int | None) -> dict[str, float]:
-            counts, of = (total, n.sum(axis=0)) if left_out is None else (total - c[:, left_out], n.sum(axis=0) - n[left_out])
-            s = strength(counts[:, 1], counts[:, 0], of[1], of[0])
-            return {r[0]: float(v) for r, v, a in zip(top, s, counts[:, 1], strict=True) if v > math.log(2) and a >= LEAST_DOCS - 1}
-
-        folded = spark.sparkContext.broadcast([weigh(f) for f in range(FOLDS)])
-        x = np.array([r[0] for r in rows.mapInArrow(_summaries(model, folded), "x array<double>").collect()])
-        y = x[:, 0]
-        weights = logistic(x[:, 1:], y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), ridge=1e-2)
-        lexicon = weigh(None)
+        lexicon, weights = learn(rows, n, model, share)
     strong = spark.sparkContext.broadcast(lexicon)
-    scored = texts.mapInArrow(_score(model, strong, weights), "doc_id long, score double")
-    return scored.select(
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may repeat
+    schema = T.StructType([*plain.schema.fields, T.StructField("s", T.DoubleType())])
+    scored = plain.mapInArrow(_score(model, strong, weights, docs.columns.index("text")), schema)
+    return scored.toDF(*docs.columns, name)
+
+
+def learn(rows: DataFrame, n: np.ndarray, model, share: float) -> tuple[dict[str, float], np.ndarray]:
+    """The weights of the strongest features, and of the regression on what they sum to, from training rows (fold, y, text).
+
+    ``n`` counts rows by fold and class.  The regression sees each row through weights learned without the row's fold.
+    """
+    spark = rows.sparkSession
+    counted = materialize(rows.mapInArrow(_count_features(model, FOLDS), "feature string, fold int, y int, n long"))
+    sums = [F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)) for f in range(FOLDS) for y in (0, 1)]
+    by_feature = counted.groupBy("feature").agg(*(s.alias(f"c{i}") for i, s in enumerate(sums)))
+    toxic = sum(F.col(f"c{2 * f + 1}") for f in range(FOLDS))
+    other = sum(F.col(f"c{2 * f}") for f in range(FOLDS))
+    ratio = (toxic - F.sqrt(toxic)) / F.lit(n[:, 1].sum()) / ((other + F.sqrt(other) + 0.5) / F.lit(n[:, 0].sum()))
+    top = by_feature.where((toxic >= LEAST_DOCS) & (ratio > 2)).orderBy(ratio.desc(), "feature").limit(LEXICON).collect()
+    c = np.array([r[1:] for r in top], dtype=np.float64).reshape(-1, FOLDS, 2)
+    total = c.sum(axis=1)
+
+    def weigh(left_out: int | None) -> dict[str, float]:
+        counts, of = (total, n.sum(axis=0)) if left_out is None else (total - c[:, left_out], n.sum(axis=0) - n[left_out])
+        s = strength(counts[:, 1], counts[:, 0], of[1], of[0])
+        return {r[0]: float(v) for r, v, a in zip(top, s, counts[:, 1], strict=True) if v > math.log(2) and a >= LEAST_DOCS - 1}
+
+    folded = spark.sparkContext.broadcast([weigh(f) for f in range(FOLDS)])
+    x = np.array([r[0] for r in rows.mapInArrow(_summaries(model, folded), "x array<double>").collect()])
+    y = x[:, 0]
+    weights = logistic(x[:, 1:], y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), ridge=1e-2)
+    return weigh(None), weights
+
+
+def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; others ignored), as ``with_scores``."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_scores(ids, labels, label, most).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
