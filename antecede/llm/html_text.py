@@ -28,6 +28,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_ITSELF = frozenset("p li dt dd tr td th option".split())
+HOLDERS = frozenset("ul ol dl table".split())
 NOT_TEXT = frozenset(
     "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies"
     " disclaimer discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices"
@@ -93,14 +94,23 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if skipped and not closing and by_mark and name in REGIONS and not is_noise(name, found[3]):
             skipped = ""
         if skipped:
-            if name == skipped:
-                depth += -1 if closing else 0 if skipped in ENDS_ITSELF else 1
-                if not depth:
+            if skipped == "p":  # its end tag may be left out: any block ends it
+                if name not in INLINE and (closing or name not in VOID):
+                    skipped = ""
+                    if closing and name == "p":
+                        continue
+            elif skipped in ENDS_ITSELF:  # the next of its kind ends it too, or the end of what holds it
+                if name in HOLDERS:
+                    depth += -1 if closing else 1
+                if not depth or depth == 1 and name == skipped:
                     skipped = ""
-                    if closing:
+                    if closing and depth:
                         continue
-            elif skipped in ENDS_ITSELF and name not in INLINE and (closing or name not in VOID):
-                skipped = ""  # its end tag was left out
+            elif name == skipped:
+                depth += -1 if closing else 1
+                if not depth:
+                    skipped = ""
+                    continue
             if skipped:
                 if not closing and name in RAW:
                     lowered = lowered or page.lower()

@@ -109,7 +109,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataF
 
     Documents stay, all their columns too; a null text stays null.  Only texts with a finding are rewritten.
     """
-    rows = materialize(numbered_rows(docs))
+    # Whole rows as one column, so that no name of theirs can clash.
+    rows = materialize(numbered_rows(docs.select(F.struct(*docs.columns).alias("row of the input"), "text")))
     spans = spans_of(rows.select("row", F.coalesce("text", F.lit("")).alias("text")), scope)
     by_start = Window.partitionBy("row").orderBy("start", "end")
     before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
@@ -117,13 +118,15 @@ def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataF
     islands = opens.withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = rows.join(cuts, "row", "left")
     previous = lambda i: F.when(i > 0, F.get("cuts", i - 1)["end"]).otherwise(F.lit(0))
     part = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
     kept = F.transform("cuts", lambda c, i: part(previous(i), c["start"]))
     rest = part(F.element_at("cuts", -1)["end"], F.length("text"))
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, mark), F.lit(mark), rest))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return rows.join(cuts, "row", "left").withColumn("clean", text).select(
+        *(new[c].alias(c) if c in new else F.col("row of the input")[c].alias(c) for c in docs.columns)
+    )
 
 
 def _sql_matches(kind: int) -> str:

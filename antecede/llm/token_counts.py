@@ -25,8 +25,13 @@ def _encode(path: str):
     def run(batches):
         count = encoder(path, WORDS_KEPT).count
         for batch in batches:
-            n = [count(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+            found: dict[bytes, int] = {}  # rows that repeat in id and text come in several
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest not in found:
+                    found[digest] = count(text)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["digest", "n_tokens"]
+            )
 
     return run
 
@@ -58,7 +63,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         missing, (F.col("own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("id"))
     )
     counted = chosen.select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
-    counted.withColumn("version", F.lit(version(tokenizer))).write.mode("append").partitionBy("version").parquet(cache)
+    counted.dropDuplicates(["digest"]).withColumn("version", F.lit(version(tokenizer))).write.mode("append").partitionBy("version").parquet(cache)
     # A table of its own, so that Spark can split the join at a digest with very many rows.
     return content.join(materialize(stored(spark, cache, tokenizer)), "digest", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

@@ -36,7 +36,8 @@ def matrix(column) -> list[np.ndarray]:
 def sample(rows: DataFrame, size: int, dim: int) -> np.ndarray:
     """At most ``size`` vectors of ``dim`` numbers, the same ones on every run over the same table."""
     drawn = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("embedding"), F.xxhash64("row")).limit(size)
-    return np.array([r[0] for r in drawn.select("embedding").collect()], dtype=np.float64).reshape(-1, dim)
+    found = drawn.select("embedding").collect()
+    return np.array([r[0] for r in found], dtype=np.float64).reshape(len(found), dim)
 
 
 def usual_dim(rows: DataFrame) -> int:
