@@ -20,11 +20,11 @@ from antecede.llm.vectors import blocks, matrix, numbered, sample, unit, usual_d
 
 SAMPLE = 8_192
 TARGET = 0.97
-PER_PART = 2_000  # vectors in a partition, roughly
+PER_PART = 8_000  # vectors in a partition, roughly
 MOST_PARTS = 256
 GRAPH_DEGREE = 16
 HIDDEN = 128
-BASE_PIECE, ASKED_PIECE = 4_000, 2_000
+BASE_PIECE, ASKED_PIECE = 16_000, 2_000
 
 
 def neighbours(x: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:

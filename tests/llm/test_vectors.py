@@ -85,7 +85,7 @@ def test_search_against_all_rows(spark):
 def test_learned_partitions_are_balanced_and_find_neighbours():
     random = np.random.default_rng(2)
     x = np.array([v for _ in range(60) for v in family(random, 24, 60, 0.6)])
-    index = vector_search.Index(x, 40_000, 20, 0.95)
+    index = vector_search.Index(x, 160_000, 20, 0.95)
     part = vector_search.balanced_parts(x, vector_search.neighbours(x, np.arange(len(x)), 8), 8)
     assert np.bincount(part).max() <= 1.06 * len(x) / 8
     asked = np.arange(0, len(x), 20)
