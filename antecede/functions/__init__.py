@@ -11,6 +11,7 @@ from antecede.functions.scalars import (
     ratio,
     seconds_between,
     slug,
+    slugs,
 )
 
 __all__ = [
@@ -26,4 +27,5 @@ __all__ = [
     "ratio",
     "seconds_between",
     "slug",
+    "slugs",
 ]

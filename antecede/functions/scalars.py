@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def slug(text: object) -> str:
-    """A column-name-safe spelling of a category label."""
-    return re.sub(r"[^0-9a-z]+", "_", str(text).lower()).strip("_")
+    """A column-name-safe spelling of a category label; one that would lose letters ends with a digest."""
+    text = str(text)
+    plain = re.sub(r"[^0-9a-z]+", "_", text.lower()).strip("_")
+    return plain if text.isascii() and plain else f"{plain}_{_digest(text)}".lstrip("_")
+
+
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()[:8]
+
+
+def slugs(labels: Iterable[object]) -> list[str]:
+    """Distinct spellings of distinct labels: those that would be alike all end with a digest."""
+    texts = [str(v) for v in labels]
+    alike = Counter(map(slug, texts))
+    return [slug(t) if alike[slug(t)] == 1 else f"{slug(t)}_{_digest(t)}" for t in texts]
 
 
 def micros(df: DataFrame, ts: str) -> str:
@@ -41,9 +56,13 @@ def json_int(payload: Column, name: str) -> Column:
     return F.regexp_extract(payload, f'"{name}":([0-9]+)', 1).try_cast("bigint")
 
 
-def hour_dow(ts: Column) -> tuple[Column, Column]:
-    """Hour of the day, and the weekday with Monday as 0."""
-    return F.hour(ts), F.weekday(ts)
+def hour_dow(df: DataFrame, ts: str) -> tuple[Column, Column]:
+    """Hour of the day, and the weekday with Monday as 0, in UTC whatever the session's zone.
+
+    1970-01-01 was a Thursday.
+    """
+    hours = F.floor(F.expr(micros(df, ts)) / F.lit(3_600_000_000.0))
+    return F.pmod(hours, F.lit(24)).cast("int"), F.pmod(F.floor(hours / 24) + 3, F.lit(7)).cast("int")
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from antecede.functions import argmax
 from antecede.modelling.prep import robust_apply, robust_fit
-from antecede.operators.joins import spread_join
 from antecede.session import materialize
 
 DEFAULTS = {"numTrees": 20, "maxDepth": 10, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7", "seed": 50}
@@ -58,25 +57,27 @@ def out_of_fold(
     Each fold fits its own scaler on its training part.  Also returns the
     average of the folds' scores of ``to_score``, scaled alike, if given.
     """
-    numbers = sorted(r[0] for r in df.select(fold).distinct().collect())
+    numbers = sorted(r[0] for r in df.select(fold).distinct().collect())  # one row for each fold
     held_out, foreign = None, []
     for number in numbers:
         train, rest = df.where(F.col(fold) != number), df.where(F.col(fold) == number)
         stats = materialize(robust_fit(train, features))
         model = fit_classifier(robust_apply(train, stats, features), features, label, params)
-        part = score(model, robust_apply(rest, stats, features), features).select(
-            key, label, fold, "scores", "predicted", "probability", "prediction"
-        )
+        part = score(model, robust_apply(rest, stats, features), features).select(key, label, fold, "scores", "predicted")
         held_out = part if held_out is None else held_out.unionByName(part)
         if to_score is not None:
             foreign.append(score(model, robust_apply(to_score, stats, features), features).select(key, "scores"))
     return held_out, average_scores(foreign, key) if foreign else None
 
 
-def submission(scores: DataFrame, template: DataFrame, key: str = "installation_id") -> DataFrame:
-    """The template's users with their best class, matched by user, not by position."""
+def submission(
+    scores: DataFrame, template: DataFrame, key: str = "installation_id", default: int | None = None
+) -> DataFrame:
+    """The template's users with their best class, matched by user, not by position.
+
+    A user without scores gets ``default``: NULL, unless the caller names a class.
+    """
     best = scores.select(key, argmax(F.col("scores")).alias("accuracy_group"))
-    users = template.select(key)
-    return spread_join(users, best, [key], "left", [key]).select(
-        key, F.coalesce("accuracy_group", F.lit(0)).cast("int").alias("accuracy_group")
+    return template.select(key).join(best, key, "left").select(
+        key, F.coalesce("accuracy_group", F.lit(default)).cast("int").alias("accuracy_group")
     )

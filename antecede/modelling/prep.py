@@ -8,42 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.operators.timeline import SLOT, numbered
+from antecede.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
-ROUND = 8
-PIECES = ROUND * ROUND
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES) -> DataFrame:
     """Exact interpolated quantiles: rows of (col, prob, value).
 
     The built-in exact percentile keeps every distinct value of a group in one
-    task's memory.  Here values are counted in parallel, cut into pieces of
-    similar size, and only the pieces that hold a wanted rank are ordered.  The
-    cuts come from an approximate sketch, but they only decide which task orders
-    what: the result is exact wherever they fall.
+    task's memory.  Here the counted values are dealt into ranges, as many as the
+    session has shuffle partitions, and stored; only the ranges that hold a wanted
+    rank are ordered.  Where the ranges end decides which task orders what, not the
+    result.  Runs a job.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("e")).select("e.*")
     counted = long.where("v IS NOT NULL").groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
-    steps = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
-    # One row per column, PIECES numbers each: bounded by the schema.  The largest
-    # count is asked for so that both readers of ``counted`` share one exchange.
-    cuts = (
-        counted.groupBy("col")
-        .agg(F.percentile_approx("v", steps, F.lit(100 * PIECES)).alias("cuts"), F.max("n").alias("most"))
-        .where("most > 0")
-        .drop("most")
-    )
-    # Find the piece in two short rounds: one comparison per cut would be slow.
-    coarse = " + ".join(f"IF(v > cuts[{ROUND * i + ROUND - 1}], 1, 0)" for i in range(ROUND - 1))
-    fine = " + ".join(f"IF(v > cuts[coarse * {ROUND} + {i}], 1, 0)" for i in range(ROUND - 1))
-    pieces = (
-        counted.join(F.broadcast(cuts), "col")
-        .selectExpr("*", f"{coarse} AS coarse")
-        .selectExpr("col", "v", "n", f"coarse * {ROUND} + {fine} AS piece")
-    )
+    pieces = materialize(counted.repartitionByRange("col", "v").withColumn("piece", F.spark_partition_id()))
+    # One row for each column and range.
     sizes = pieces.groupBy("col", "piece").agg(F.sum("n").alias("size"))
     before = Window.partitionBy("col").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy("col")
@@ -56,14 +40,13 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUART
         .withColumn("at", F.col("prob") * (F.col("total") - 1))
         .withColumn("rank", F.explode(F.array(F.floor("at"), F.ceil("at"))))
         .where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("size")))
-        # At most two pieces per column and probability.
+        # At most two ranges per column and probability.
         .select("col", "piece", "prob", "at", "rank", "below").distinct()
     )
     upto = Window.partitionBy("col", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # The wanted ranks, too, are a fixed number per column.
-    hit = pieces.join(F.broadcast(wanted.select("col", "piece").distinct()), ["col", "piece"], "left_semi")
+    hit = pieces.join(wanted.select("col", "piece"), ["col", "piece"], "left_semi")
     ordered = hit.withColumn("last", F.sum("n").over(upto))
-    found = ordered.join(F.broadcast(wanted), ["col", "piece"]).where(
+    found = ordered.join(wanted, ["col", "piece"]).where(
         (F.col("below") + F.col("last") > F.col("rank")) & (F.col("below") + F.col("last") - F.col("n") <= F.col("rank"))
     )
     low, high = F.min("v"), F.max("v")
@@ -81,14 +64,14 @@ def robust_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def robust_apply(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(x - median) / iqr``.  The statistics, one row per column, arrive as one map."""
-    packed = stats.agg(
-        F.map_from_entries(F.collect_list(F.struct("col", F.struct("median", "iqr")))).alias("stats")
-    ).scalar()
-    chosen = set(cols)
-    staged = df.withColumn("_stats", packed)
+    """``(x - median) / iqr``.  The statistics arrive as one struct with a field per column, so a cell looks nothing up."""
+    packed = stats.agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("median", "iqr")))).alias("by_name"))
+    fields = F.struct(*[F.col("by_name")[c].alias(f"f{i}") for i, c in enumerate(cols)])
+    place = {c: f"f{i}" for i, c in enumerate(cols)}
+    # One row: the lookups by name are made once.
+    staged = df.withColumn("_stats", packed.select(fields.alias("stats")).scalar())
     return staged.selectExpr(*[
-        (f"(`{c}` - _stats['{c}'].median) / _stats['{c}'].iqr AS `{c}`" if c in chosen else f"`{c}`")
+        (f"(`{c}` - _stats.{place[c]}.median) / _stats.{place[c]}.iqr AS `{c}`" if c in place else f"`{c}`")
         for c in df.columns
     ])
 
@@ -106,7 +89,8 @@ def holdout(df: DataFrame, key: str, frac: float = 0.25, seed: int = 42) -> Data
 def folds(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 42) -> DataFrame:
     """Adds ``fold``: within each label, rows are shuffled by hash and dealt out in turn.
 
-    A label may own most rows, so positions are counted per hash prefix.
+    A label may own most rows, so positions are counted per hash prefix.  A NULL
+    label is a label.
     """
     shuffled = df.withColumn("_digest", _digest(key, seed)).withColumn(SLOT, F.substring("_digest", 1, 3))
     placed = numbered(shuffled, [label], ["_digest", key], "_position")

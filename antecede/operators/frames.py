@@ -7,15 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOT_LIMIT = 10_000
 
-
-def category_values(df: DataFrame, col: str, limit: int = PIVOT_LIMIT) -> list:
-    """Sorted distinct values, for use as an explicit pivot list."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} values; list the wanted ones")
-    return sorted(r[0] for r in rows)
+def category_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct values, for use as an explicit pivot list: as many as the result is to have columns."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
 
 def pivot_wide(df: DataFrame, keys: Sequence[str], col: str, values: Sequence, agg: Column) -> DataFrame:
@@ -51,12 +46,9 @@ def align_to(df: DataFrame, columns: Sequence[str], fill: Column | None = None)
 
 
 def value_share(df: DataFrame, col: str) -> DataFrame:
-    """Count and share of each value.
-
-    The unpartitioned window runs over one row per distinct value, not per row.
-    """
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    """Count and share of each value; the total is a scalar subquery."""
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / total)
 
 
 def session_last_rows(df: DataFrame) -> DataFrame:

@@ -27,15 +27,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.functions import slug
+from antecede.functions import slugs
 from antecede.operators.timeline import HOUR, SLOT, with_slot
 
 KEYS = ("installation_id", "world2")
 
-SUMS = ("n", "s", "q")
-# n: rows; s: sum of values; q: sum of squared values; max: largest value;
+# n: rows; c: rows with a value; s: sum of values; q: sum of squared values; max: largest value;
 # any: rows of the key at any time, before or after the anchor.
-STATS = (*SUMS, "max", "any")
+STATS = ("n", "c", "s", "q", "max", "any")
 
 
 @dataclass(frozen=True)
@@ -56,13 +55,10 @@ class Cell:
         """(raw pivot key, stat, output column) of every column."""
         if self.label is None:
             return [(f"{self.name}_{s}", s, f"{self.name}_{s}") for s in self.stats]
-        slugs = [slug(v) for v in self.labels]
-        if len(set(slugs)) != len(slugs):
-            raise ValueError(f"labels of {self.name} collide once made column names")
         return [
             (f"{self.name}_{s}__{v}", s, f"{self.name}_{s}__{g}")
             for s in self.stats
-            for v, g in zip(self.labels, slugs)
+            for v, g in zip(self.labels, slugs(self.labels))
         ]
 
 
@@ -100,6 +96,7 @@ def _contributions(family: Family, keys: Sequence[str], ts: str, seconds: int) -
     if family.dense:
         out = flat.groupBy(*keys, SLOT, "_t", *family.by).agg(
             F.count(F.lit(1)).cast("double").alias("_n"),
+            F.count("_v").cast("double").alias("_c"),
             F.sum("_v").alias("_s"),
             F.sum(F.col("_v") * F.col("_v")).alias("_q"),
             F.max("_v").alias("_m"),
@@ -108,6 +105,7 @@ def _contributions(family: Family, keys: Sequence[str], ts: str, seconds: int) -
         out = flat.select(
             *keys, SLOT, "_t", *family.by,
             F.lit(1.0).alias("_n"),
+            F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0).alias("_c"),
             F.col("_v").alias("_s"),
             (F.col("_v") * F.col("_v")).alias("_q"),
             F.col("_v").alias("_m"),
@@ -117,7 +115,7 @@ def _contributions(family: Family, keys: Sequence[str], ts: str, seconds: int) -
 
 def _entries(family: Family) -> Column:
     """Array of (pivot key, addend, candidate maximum) for one summed segment."""
-    source = {"n": "_n", "s": "_s", "q": "_q", "max": "_m"}
+    source = {"n": "_n", "c": "_c", "s": "_s", "q": "_q", "max": "_m"}
     none = F.lit(None).cast("double")
     parts = []
     for cell in family.cells:
@@ -133,7 +131,7 @@ def _entries(family: Family) -> Column:
     return F.array(*parts)
 
 
-STATE = {"_n": "sum", "_s": "sum", "_q": "sum", "_m": "max"}
+STATE = {"_n": "sum", "_c": "sum", "_s": "sum", "_q": "sum", "_m": "max"}
 
 
 def _merged(df: DataFrame, *by: str) -> DataFrame:
@@ -191,7 +189,8 @@ def prior_table(
     """``anchors`` with one double column per cell, label and statistic.
 
     Sums and counts are 0 and maxima NULL where nothing came before.  An anchor
-    with a NULL key or time has no earlier rows by definition and is left out.  Wide
+    with a NULL key or time has no earlier rows by definition and is left out, and
+    anchors equal in all columns are one.  Wide
     column lists are written as SQL texts: building hundreds of Column objects
     one call at a time costs more than the query at small sizes.
     """

@@ -8,7 +8,8 @@ crosses a slot border is carried by one summary row per (key, slot), and only
 those summaries are ever windowed by key alone: their number is bounded by the
 number of slots, not by the rows.
 
-Keys must not be NULL.
+Keys and times may be NULL: a NULL is a value of its own, and no row is lost.  Joins and
+windows use the key and slot as one struct, which compares NULLs as equal.
 """
 
 from __future__ import annotations
@@ -30,20 +31,31 @@ def with_slot(df: DataFrame, ts: str = "ts", seconds: int = HOUR) -> DataFrame:
     return df.withColumns({"_t": F.expr(at), SLOT: F.expr(f"({at}) div {seconds * 1_000_000}")})
 
 
+AT = "_at"
+
+
+def with_place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds key and slot as one struct, never NULL itself."""
+    return df.withColumn(AT, F.struct(*keys, SLOT))
+
+
+def join_slots(local: DataFrame, per_slot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what their slot carries; ``per_slot`` has one row for each key and slot."""
+    return local.join(with_place(per_slot, keys).drop(*keys, SLOT), AT).drop(AT)
+
+
 def _earlier_slots(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """1-based position of each row inside its key.  ``df`` carries a slot."""
-    local = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys, SLOT).orderBy(*order)).cast("bigint"))
+    local = with_place(df, keys).withColumn(name, F.row_number().over(Window.partitionBy(AT).orderBy(*order)).cast("bigint"))
     sizes = df.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select(
         *keys, SLOT, F.coalesce(F.sum("_size").over(_earlier_slots(keys)), F.lit(0)).alias("_before")
     )
-    return (
-        local.join(before, [*keys, SLOT]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
-    )
+    return join_slots(local, before, keys).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
 def previous_row(
@@ -55,13 +67,15 @@ def previous_row(
     how the input was partitioned.
     """
     row = F.struct(*cols)
-    local = df.withColumn(name, F.lag(row).over(Window.partitionBy(*keys, SLOT).orderBy(*order)))
-    ends = df.groupBy(*keys, SLOT).agg(F.max_by(row, F.struct(*order)).alias("_end"))
+    in_slot = Window.partitionBy(AT).orderBy(*order)
+    # The same window tells a slot's last row: nothing follows it.
+    local = with_place(df, keys).withColumns({name: F.lag(row).over(in_slot), "_next": F.lead(F.lit(True)).over(in_slot)})
+    ends = local.where("_next IS NULL").select(*keys, SLOT, row.alias("_end"))
     carried = ends.select(
         *keys, SLOT, F.lag("_end").over(Window.partitionBy(*keys).orderBy(SLOT)).alias("_carried")
     )
     return (
-        local.join(carried, [*keys, SLOT])
+        join_slots(local.drop("_next"), carried, keys)
         .withColumn(name, F.coalesce(F.col(name), F.col("_carried")))
         .drop("_carried")
     )
@@ -70,22 +84,26 @@ def previous_row(
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
     """Adds, per entry of ``sums`` (name: SQL text), its total up to and including the row."""
     names = ", ".join(keys)
-    to_here = f"OVER (PARTITION BY {names}, {SLOT} ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)"
+    to_here = f"OVER (PARTITION BY {AT} ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)"
     earlier = f"OVER (PARTITION BY {names} ORDER BY {SLOT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    local = df.selectExpr("*", *[f"sum({text}) {to_here} AS {name}" for name, text in sums.items()])
+    local = with_place(df, keys).selectExpr("*", *[f"sum({text}) {to_here} AS {name}" for name, text in sums.items()])
     per_slot = df.groupBy(*keys, SLOT).agg(*[F.expr(f"sum({text}) AS {name}") for name, text in sums.items()])
     before = per_slot.selectExpr(*keys, SLOT, *[f"sum({name}) {earlier} AS _b_{name}" for name in sums])
-    return local.join(before, [*keys, SLOT]).selectExpr(
+    return join_slots(local, before, keys).selectExpr(
         *df.columns, *[f"coalesce({name}, 0D) + coalesce(_b_{name}, 0D) AS {name}" for name in sums]
     )
 
 
+def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
+    """The first row of each key.  Spark keeps one row per key and task before the exchange."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    needed = [F.col(c) for c in dict.fromkeys([*keys, *cols])]
+    return df.withColumn("_place", place).where("_place = 1").select(*needed)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """The last row of each key, by aggregation: partial results meet, rows never do."""
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_row"))
-    return picked.select(*keys, "_row.*")
+    return _first(df, keys, [F.desc(c) for c in order], cols)
 
 
 def earliest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_row"))
-    return picked.select(*keys, "_row.*")
+    return _first(df, keys, [F.asc(c) for c in order], cols)

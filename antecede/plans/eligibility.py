@@ -36,12 +36,13 @@ def anchors(df: DataFrame, roles: Roles) -> DataFrame:
 
 def eligible_train(df: DataFrame, labelled: DataFrame, roles: Roles) -> DataFrame:
     """Rows of labelled (user, world) pairs; assessments only if submitted."""
-    pair = ["installation_id", "world2"]
-    order = row_order(df)
-    feed = keep_matching(df, labelled, pair, order)
-    submitted = keep_matching(df.where(roles.is_submit()), labelled, pair, order).select("game_session")
-    assessments = keep_matching(feed.where(roles.is_assessment()), submitted, ["game_session"], order)
-    return feed.where(~roles.is_assessment()).unionByName(assessments)
+    feed = keep_matching(df, labelled, ["installation_id", "world2"])
+    submitted = feed.where(roles.is_submit()).select("game_session").distinct().withColumn("_submitted", F.lit(True))
+    return (
+        feed.join(submitted, "game_session", "left")
+        .where(~roles.is_assessment() | F.col("_submitted"))
+        .select(*df.columns)
+    )
 
 
 def last_assessment(df: DataFrame, roles: Roles) -> DataFrame:
@@ -54,4 +55,4 @@ def last_assessment(df: DataFrame, roles: Roles) -> DataFrame:
 
 def eligible_test(df: DataFrame, roles: Roles) -> DataFrame:
     """Rows of the world of each user's last assessment."""
-    return keep_matching(df, last_assessment(df, roles), ["installation_id", "world2"], row_order(df))
+    return keep_matching(df, last_assessment(df, roles), ["installation_id", "world2"])

@@ -22,17 +22,21 @@ from antecede.functions import (
     json_int,
     micros,
     ratio,
-    slug,
+    slugs,
 )
 from antecede.operators.frames import fill_max, session_last_rows
 from antecede.operators.joins import spread_join
 from antecede.operators.prior import KEYS, Cell, Family, prior_table
 from antecede.operators.timeline import (
+    HOUR,
+    AT,
     SLOT,
     earliest_per_key,
+    join_slots,
     numbered,
     previous_row,
     running_sums,
+    with_place,
     with_slot,
 )
 from antecede.plans.eligibility import anchors, row_order
@@ -45,20 +49,27 @@ ANCHOR = ("installation_id", "game_session")
 
 
 def activity(df: DataFrame, roles: Roles, cells: Sequence[str]) -> Family:
-    """All rows outside assessments: feeds X1, X2, X3 and X14 in one pass."""
-    title_code = F.concat_ws("_", "title", "event_code")
+    """All rows outside assessments: feeds X1, X2, X3 and X14 in one pass.
+
+    X1 to X3 count event ids, so a row without one is prior activity but adds to no count.
+    """
+    title_code = F.concat("title", F.lit("_"), "event_code")
     started = F.col("event_code") == str(roles.start_code)
+    named = F.col("named") == "true"
     known = {
-        "x1": (Cell("x1", ("n",), F.col("title"), roles.titles, when=started), Cell("x1_all", when=started)),
-        "x2": (Cell("x2", ("n",), F.col("event_code"), tuple(str(c) for c in roles.codes)),),
-        "x3": (Cell("x3", ("n",), title_code, roles.title_codes),),
+        "x1": (Cell("x1", ("n",), F.col("title"), roles.titles, when=started & named), Cell("x1_all", when=started)),
+        "x2": (Cell("x2", ("n",), F.col("event_code"), tuple(str(c) for c in roles.codes), when=named),),
+        "x3": (Cell("x3", ("n",), title_code, roles.title_codes, when=named),),
         "x14": (Cell("x14", ("max",)),),
     }
     chosen = tuple(cell for name in cells for cell in known[name])
     if {"x2", "x3"} & set(cells):
         chosen += (Cell("act_all"),)
-    by = tuple(c for c, users in (("title", {"x1", "x3"}), ("event_code", {"x1", "x2", "x3"})) if users & set(cells))
+    users = (("title", {"x1", "x3"}), ("event_code", {"x1", "x2", "x3"}), ("named", {"x1", "x2", "x3"}))
+    by = tuple(c for c, who in users if who & set(cells))
     rows = df.where(~roles.is_assessment())
+    if "named" in by:
+        rows = rows.withColumn("named", F.col("event_id").isNotNull())
     if set(cells) == {"x1"}:
         rows = rows.where(F.col("event_code") == roles.start_code)
     return Family("activity", rows.select(*KEYS, "ts", *by), chosen, by=by, value=F.col("_t"))
@@ -70,7 +81,7 @@ def last_rows(df: DataFrame, roles: Roles) -> Family:
     return Family(
         "last_rows",
         session_last_rows(needed).select(*KEYS, "ts", "title", "event_count"),
-        (Cell("x4", ("n", "s", "q", "max"), F.col("title"), roles.titles), Cell("x4_all")),
+        (Cell("x4", ("c", "s", "q", "max"), F.col("title"), roles.titles), Cell("x4_all")),
         by=("title",),
         value=F.col("event_count"),
         dense=False,
@@ -82,14 +93,14 @@ def clip_scores(clips: DataFrame, roles: Roles) -> Family:
     return Family(
         "clips",
         clips.select(*KEYS, "ts", "title", "score"),
-        (Cell("x6", ("n", "s"), F.col("title"), tuple(roles.clip_rules)), Cell("x6_all", ("n", "any"))),
+        (Cell("x6", ("c", "s"), F.col("title"), tuple(roles.clip_rules)), Cell("x6_all", ("n", "any"))),
         by=("title",),
         value=F.col("score"),
         dense=False,
     )
 
 
-def first_events(df: DataFrame, ids: Sequence[str], strict: bool = False) -> Family:
+def first_events(df: DataFrame, ids: Sequence[str], strict: bool = False, slot_seconds: int = HOUR) -> Family:
     """Per session and wanted event id, when and at which count it first came (X7, X8).
 
     The smallest count is that of the whole session, even if it lies after the
@@ -99,7 +110,7 @@ def first_events(df: DataFrame, ids: Sequence[str], strict: bool = False) -> Fam
     group = [*KEYS, "game_session", "title", "event_id"]
     rows = df.where(F.col("event_id").isin(list(ids)))
     if strict:
-        rows = _first_event_changes(rows, group)
+        rows = _first_event_changes(rows, group, slot_seconds)
         stats, sessions = ("s",), Cell("first_sessions", ("n", "any"), F.col("event_id"), tuple(ids), when=F.col("opens") == "1")
         cells = (Cell("first", stats, F.col("event_id"), tuple(ids)), sessions)
         return Family("first", rows, cells, by=("event_id", "opens"), value=F.col("delta"), dense=False)
@@ -107,23 +118,23 @@ def first_events(df: DataFrame, ids: Sequence[str], strict: bool = False) -> Fam
     return Family(
         "first",
         firsts.select(*KEYS, "ts", "event_id", "event_count"),
-        (Cell("first", ("n", "s", "any"), F.col("event_id"), tuple(ids)),),
+        (Cell("first", ("c", "s", "any"), F.col("event_id"), tuple(ids)),),
         by=("event_id",),
         value=F.col("event_count"),
         dense=False,
     )
 
 
-def _first_event_changes(rows: DataFrame, group: list[str]) -> DataFrame:
+def _first_event_changes(rows: DataFrame, group: list[str], slot_seconds: int) -> DataFrame:
     """One row per instant at which a session's smallest count changes, with the change."""
     at = rows.groupBy(*group, "ts").agg(F.min("event_count").alias("low"))
-    slotted = with_slot(at)
-    here = Window.partitionBy(*group, SLOT).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    slotted = with_place(with_slot(at.where("low IS NOT NULL"), seconds=slot_seconds), group)
+    here = Window.partitionBy(AT).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
     local = slotted.withColumn("_low_here", F.min("low").over(here))
     per_slot = slotted.groupBy(*group, SLOT).agg(F.min("low").alias("_slot_low"))
     earlier = Window.partitionBy(*group).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     before = per_slot.select(*group, SLOT, F.min("_slot_low").over(earlier).alias("_low_before"))
-    known = local.join(before, [*group, SLOT]).withColumn("was", F.least("_low_here", "_low_before"))
+    known = join_slots(local, before, group).withColumn("was", F.least("_low_here", "_low_before"))
     return known.where(F.col("was").isNull() | (F.col("low") < F.col("was"))).select(
         *KEYS, "ts", "event_id",
         F.when(F.col("was").isNull(), "1").otherwise("0").alias("opens"),
@@ -160,24 +171,23 @@ def click_spreads(df: DataFrame, roles: Roles) -> Family:
     value of their (user, world, title, axis).  That reference lies in every
     prefix, so equal values give exactly 0 and nothing cancels.
     """
-    order = row_order(df)
-    sessions = clicks(df, roles).groupBy("game_session").agg(
-        F.min_by(F.struct(*KEYS, "title", "ts"), F.struct(*order)).alias("_first"),
-        F.stddev_pop("x").alias("x"),
-        F.stddev_pop("y").alias("y"),
-    )
+    found = clicks(df, roles)
+    first = earliest_per_key(found, ["game_session"], row_order(df), [*KEYS, "title", "ts"])
+    spreads = found.groupBy("game_session").agg(F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y"))
+    same = F.col("f.game_session").eqNullSafe(F.col("s.game_session"))
+    sessions = first.alias("f").join(spreads.alias("s"), same).select("f.*", "x", "y")
     axes = F.explode(F.array(
         F.struct(F.lit("x").alias("axis"), F.col("x").alias("spread")),
         F.struct(F.lit("y").alias("axis"), F.col("y").alias("spread")),
     ))
-    long = sessions.select("game_session", "_first.*", axes.alias("_a")).select(
+    long = sessions.select("game_session", *KEYS, "title", "ts", axes.alias("_a")).select(
         "game_session", *KEYS, "title", "ts", "_a.*"
     )
     group = [*KEYS, "title", "axis"]
     long = long.where(" AND ".join(f"{c} IS NOT NULL" for c in group))
     reference = earliest_per_key(long, group, ["ts", "game_session"], ["spread"]).withColumnRenamed("spread", "_reference")
     shifted = spread_join(long, reference, group, "inner", ["game_session"])
-    stats = ("n", "s", "q")
+    stats = ("c", "s", "q")
     return Family(
         "clicks",
         shifted.select(*KEYS, "ts", "title", "axis", (F.col("spread") - F.col("_reference")).alias("spread")),
@@ -192,7 +202,7 @@ def click_spreads(df: DataFrame, roles: Roles) -> Family:
     )
 
 
-def click_spread_changes(df: DataFrame, roles: Roles) -> list[Family]:
+def click_spread_changes(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> list[Family]:
     """X13 over earlier clicks only: each click reports how it changed its session's spread.
 
     Summing the changes up to an anchor gives every session's spread as it then
@@ -202,7 +212,7 @@ def click_spread_changes(df: DataFrame, roles: Roles) -> list[Family]:
     sums = {"_n": "1D"}
     for a in ("x", "y"):
         sums |= {f"_s{a}": f"CAST({a} AS DOUBLE)", f"_q{a}": f"CAST({a} AS DOUBLE) * {a}"}
-    known = running_sums(with_slot(clicks(df, roles)), ["game_session"], order, sums)
+    known = running_sums(with_slot(clicks(df, roles), seconds=slot_seconds), ["game_session"], order, sums)
     axes = ", ".join(
         f"named_struct('axis', '{a}', 'now', {_std('_n', f'_s{a}', f'_q{a}', sample=False)}, "
         f"'was', {_std('(_n - 1)', f'(_s{a} - {a})', f'(_q{a} - CAST({a} AS DOUBLE) * {a})', sample=False)})"
@@ -234,7 +244,7 @@ def _count(state: str, name: str) -> str:
 
 
 def _mean(prefix: str, g: str) -> str:
-    return f"try_divide({prefix}_s__{g}, {prefix}_n__{g})"
+    return f"try_divide({prefix}_s__{g}, {prefix}_c__{g})"
 
 
 def _std(n: str, s: str, q: str, sample: bool) -> str:
@@ -244,21 +254,21 @@ def _std(n: str, s: str, q: str, sample: bool) -> str:
 
 
 def x1_columns(roles: Roles) -> list[str]:
-    return [_count(f"x1_n__{g}", f"x1_cnt__{g}") for g in map(slug, roles.titles)]
+    return [_count(f"x1_n__{g}", f"x1_cnt__{g}") for g in slugs(roles.titles)]
 
 
 def x2_columns(roles: Roles) -> list[str]:
-    return [_count(f"x2_n__{g}", f"x2_cnt__{g}") for g in map(slug, roles.codes)]
+    return [_count(f"x2_n__{g}", f"x2_cnt__{g}") for g in slugs(roles.codes)]
 
 
 def x3_columns(roles: Roles) -> list[str]:
-    return [_count(f"x3_n__{g}", f"x3_cnt__{g}") for g in map(slug, roles.title_codes)]
+    return [_count(f"x3_n__{g}", f"x3_cnt__{g}") for g in slugs(roles.title_codes)]
 
 
 def x4_columns(roles: Roles) -> list[str]:
     out = []
-    for g in map(slug, roles.titles):
-        n, s, q = (f"x4_{k}__{g}" for k in ("n", "s", "q"))
+    for g in slugs(roles.titles):
+        n, s, q = (f"x4_{k}__{g}" for k in ("c", "s", "q"))
         out += [
             f"CAST(coalesce(x4_max__{g}, 0D) AS BIGINT) AS x4_max__{g}",
             f"coalesce({_mean('x4', g)}, 0D) AS x4_mean__{g}",
@@ -268,35 +278,34 @@ def x4_columns(roles: Roles) -> list[str]:
 
 
 def x6_columns(roles: Roles) -> list[str]:
-    return [f"coalesce({_mean('x6', g)}, 0D) AS x6__{g}" for g in map(slug, roles.clip_rules)]
+    return [f"coalesce({_mean('x6', g)}, 0D) AS x6__{g}" for g in slugs(roles.clip_rules)]
 
 
 def first_columns(prefix: str, names: Mapping[str, str], strict: bool = False) -> list[str]:
     """0 if the event never came, its mean count if it came before, NULL if only after."""
-    seen = "first_sessions" if strict else "first"
+    seen, count = ("first_sessions", "first_sessions_n") if strict else ("first", "first_c")
     return [
-        f"CASE WHEN {seen}_any__{slug(i)} = 0 THEN 0D "
-        f"ELSE try_divide(first_s__{slug(i)}, {seen}_n__{slug(i)}) END AS {prefix}__{slug(name)}"
-        for i, name in names.items()
+        f"CASE WHEN {seen}_any__{g} = 0 THEN 0D ELSE try_divide(first_s__{g}, {count}__{g}) END AS {prefix}__{name}"
+        for g, name in zip(slugs(names), slugs(names.values()), strict=True)
     ]
 
 
 def help_columns(prefix: str, names: Mapping[str, str], per_event: bool = False) -> list[str]:
     """The session's total help clicks under each id already seen; or each id's own."""
     out = []
-    for i, name in names.items():
-        own = f"{prefix}_n__{slug(i)}"
+    for g, name in zip(slugs(names), slugs(names.values()), strict=True):
+        own = f"{prefix}_n__{g}"
         amount = own if per_event else f"CASE WHEN {own} > 0 THEN {prefix}_all_n ELSE 0D END"
-        out.append(_count(amount, f"{prefix}__{slug(name)}"))
+        out.append(_count(amount, f"{prefix}__{name}"))
     return out
 
 
 def x13_columns(roles: Roles, strict: bool = False) -> list[str]:
-    n, q = ("_open_n", "_sq_s") if strict else ("_n", "_q")
+    n, q = ("_open_n", "_sq_s") if strict else ("_c", "_q")
     return [
         f"{_std(f'x13{a}{n}__{g}', f'x13{a}_s__{g}', f'x13{a}{q}__{g}', sample=False)} AS x13_{a}__{g}"
         for a in ("x", "y")
-        for g in map(slug, roles.titles)
+        for g in slugs(roles.titles)
     ]
 
 
@@ -305,65 +314,76 @@ def x14_column(df: DataFrame) -> str:
     return f"({micros(df, 'ts')} - CAST(x14_max AS BIGINT)) / 1e6D AS seconds"
 
 
-def running(state: DataFrame, plan: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
+def running(state: DataFrame, plan: Mapping[str, tuple[str, Sequence[str]]], slot_seconds: int = HOUR) -> DataFrame:
     """Adds ``<prefix>_mean__g`` and ``<prefix>_std__g`` over a user's attempts so far.
 
     ``plan`` maps a prefix to the condition under which an anchor has prior rows
     and to its column groups.  Attempts are the anchors of one (user, assessment
     title).  Anchors without any prior row are no attempts: they neither count
     nor get a value.  Zeros of the others do count.
+
+    Counts grow with history, so sums are taken of their distance from a whole number near the average of
+    the attempts: squares of those do not cancel.
     """
+    group = F.struct("installation_id", "title").alias("_group")
+    values = [(seen, f"{prefix}_n__{g}") for prefix, (seen, groups) in plan.items() for g in groups]
+    centers = state.groupBy(group).agg(
+        F.struct(*[F.expr(f"coalesce(floor(avg(IF({seen}, {n}, NULL))), 0) AS {n}") for seen, n in values]).alias("_center")
+    )
+    centered = state.withColumn("_group", group).join(centers, "_group").drop("_group")
     sums, out = {}, []
     for prefix, (seen, groups) in plan.items():
         runs = f"_{prefix}_runs"
         sums[runs] = f"IF({seen}, 1D, 0D)"
         for g in groups:
             n, s, q = f"{prefix}_n__{g}", f"_{prefix}_s__{g}", f"_{prefix}_q__{g}"
-            sums[s], sums[q] = f"IF({seen}, {n}, 0D)", f"IF({seen}, {n} * {n}, 0D)"
-            out.append(f"IF({seen}, {s} / {runs}, NULL) AS {prefix}_mean__{g}")
+            x = f"({n} - _center.{n})"
+            sums[s], sums[q] = f"IF({seen}, {x}, 0D)", f"IF({seen}, {x} * {x}, 0D)"
+            out.append(f"IF({seen}, _center.{n} + {s} / {runs}, NULL) AS {prefix}_mean__{g}")
             out.append(f"IF({seen}, {_std(runs, s, q, sample=True)}, NULL) AS {prefix}_std__{g}")
-    summed = running_sums(with_slot(state), ["installation_id", "title"], ["ts", "game_session"], sums)
+    slotted = with_slot(centered, seconds=slot_seconds)
+    summed = running_sums(slotted, ["installation_id", "title"], ["ts", "game_session"], sums)
     return summed.selectExpr(*state.columns, *out)
 
 
 # ---- one feature at a time -------------------------------------------------------
 
 
-def x1(df: DataFrame, roles: Roles) -> DataFrame:
+def x1(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
     """Session starts per title before the anchor."""
-    state = prior_table(anchors(df, roles), [activity(df, roles, ["x1"])])
+    state = prior_table(anchors(df, roles), [activity(df, roles, ["x1"])], slot_seconds=slot_seconds)
     return state.where("x1_all_n > 0").selectExpr("game_session", *x1_columns(roles))
 
 
-def x1_running(df: DataFrame, roles: Roles) -> DataFrame:
-    state = prior_table(anchors(df, roles), [activity(df, roles, ["x1"])]).where("x1_all_n > 0")
-    groups = [slug(t) for t in roles.titles]
-    out = running(state, {"x1": ("true", groups)})
+def x1_running(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
+    state = prior_table(anchors(df, roles), [activity(df, roles, ["x1"])], slot_seconds=slot_seconds).where("x1_all_n > 0")
+    groups = slugs(roles.titles)
+    out = running(state, {"x1": ("true", groups)}, slot_seconds)
     return out.select("game_session", *[f"x1_{k}__{g}" for k in ("mean", "std") for g in groups])
 
 
-def x2(df: DataFrame, roles: Roles) -> DataFrame:
+def x2(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
     """Events per event code before the anchor."""
-    state = prior_table(anchors(df, roles), [activity(df, roles, ["x2"])])
+    state = prior_table(anchors(df, roles), [activity(df, roles, ["x2"])], slot_seconds=slot_seconds)
     return state.where("act_all_n > 0").selectExpr("game_session", *x2_columns(roles))
 
 
-def x2_running(df: DataFrame, roles: Roles) -> DataFrame:
-    state = prior_table(anchors(df, roles), [activity(df, roles, ["x2"])]).where("act_all_n > 0")
-    groups = [slug(c) for c in roles.codes]
-    out = running(state, {"x2": ("true", groups)})
+def x2_running(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
+    state = prior_table(anchors(df, roles), [activity(df, roles, ["x2"])], slot_seconds=slot_seconds).where("act_all_n > 0")
+    groups = slugs(roles.codes)
+    out = running(state, {"x2": ("true", groups)}, slot_seconds)
     return out.select("game_session", *[f"x2_{k}__{g}" for k in ("mean", "std") for g in groups])
 
 
-def x3(df: DataFrame, roles: Roles) -> DataFrame:
+def x3(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
     """Events per title and event code before the anchor."""
-    state = prior_table(anchors(df, roles), [activity(df, roles, ["x3"])])
+    state = prior_table(anchors(df, roles), [activity(df, roles, ["x3"])], slot_seconds=slot_seconds)
     return state.where("act_all_n > 0").selectExpr("game_session", *x3_columns(roles))
 
 
-def x4(df: DataFrame, roles: Roles) -> DataFrame:
+def x4(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
     """Largest, mean and spread of the final event count of earlier sessions, per title."""
-    state = prior_table(anchors(df, roles), [last_rows(df, roles)])
+    state = prior_table(anchors(df, roles), [last_rows(df, roles)], slot_seconds=slot_seconds)
     return state.where("x4_all_n > 0").selectExpr("game_session", *x4_columns(roles))
 
 
@@ -382,7 +402,7 @@ def x5(df: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def x6_clips(df: DataFrame, roles: Roles, attribute: str = "next") -> DataFrame:
+def x6_clips(df: DataFrame, roles: Roles, attribute: str = "next", slot_seconds: int = HOUR) -> DataFrame:
     """Seconds from each clip start to the user's next row, with its score.
 
     By default the next row's session, title, world and time are reported, and
@@ -396,7 +416,7 @@ def x6_clips(df: DataFrame, roles: Roles, attribute: str = "next") -> DataFrame:
     rows = df.select(
         *dict.fromkeys(["installation_id", *cols, *order]), F.expr(roles.clip_start).alias("starts")
     )
-    paired = previous_row(with_slot(rows), ["installation_id"], order, [*cols, "starts"]).where("prev.starts")
+    paired = previous_row(with_slot(rows, seconds=slot_seconds), ["installation_id"], order, [*cols, "starts"]).where("prev.starts")
     timed = paired.withColumn(
         "duration", F.expr("timestampdiff(MICROSECOND, prev.ts, ts)") / F.lit(1e6)
     )
@@ -407,22 +427,23 @@ def x6_clips(df: DataFrame, roles: Roles, attribute: str = "next") -> DataFrame:
     )
 
 
-def x6(df: DataFrame, roles: Roles, attribute: str = "next") -> DataFrame:
+def x6(df: DataFrame, roles: Roles, attribute: str = "next", slot_seconds: int = HOUR) -> DataFrame:
     """Mean earlier clip score per title; 0 for users who never watched in the world."""
-    state = prior_table(anchors(df, roles), [clip_scores(x6_clips(df, roles, attribute), roles)])
+    state = prior_table(anchors(df, roles), [clip_scores(x6_clips(df, roles, attribute, slot_seconds), roles)], slot_seconds=slot_seconds)
     return state.where("x6_all_any = 0 OR x6_all_n > 0").selectExpr("game_session", *x6_columns(roles))
 
 
 def first_event(
     df: DataFrame, roles: Roles, prefix: str, names: Mapping[str, str], strict: bool = False,
-    maxima: DataFrame | None = None,
+    maxima: DataFrame | None = None, slot_seconds: int = HOUR,
 ) -> DataFrame:
     """Events up to the first correct answer, per game or activity.
 
     Only-later cases get the column's largest value, of ``maxima`` when given
     (the training result, to score a test log on the training scale).
     """
-    state = prior_table(anchors(df, roles), [first_events(df, tuple(names), strict)])
+    family = first_events(df, tuple(names), strict, slot_seconds)
+    state = prior_table(anchors(df, roles), [family], slot_seconds=slot_seconds)
     out = state.selectExpr("game_session", *first_columns(prefix, names, strict))
     return fill_max(out, [c for c in out.columns if c != "game_session"], maxima)
 
@@ -435,7 +456,7 @@ def x8(df: DataFrame, roles: Roles, **options) -> DataFrame:
     return first_event(df, roles, "x8", roles.first_activity, **options)
 
 
-def x9(df: DataFrame, roles: Roles, by_position: bool = False) -> DataFrame:
+def x9(df: DataFrame, roles: Roles, by_position: bool = False, slot_seconds: int = HOUR) -> DataFrame:
     """How many earlier attempts the user made at the same assessment.
 
     ``by_position`` instead lists a user's numbers title by title, titles in the
@@ -444,7 +465,7 @@ def x9(df: DataFrame, roles: Roles, by_position: bool = False) -> DataFrame:
     """
     order = row_order(df)
     rows = with_slot(
-        df.where(roles.attempt).select(*dict.fromkeys(["installation_id", "title", *order]))
+        df.where(roles.attempt).select(*dict.fromkeys(["installation_id", "title", *order])), seconds=slot_seconds
     )
     if not by_position:
         out = numbered(rows, ["installation_id", "title"], order, "position")
@@ -454,12 +475,13 @@ def x9(df: DataFrame, roles: Roles, by_position: bool = False) -> DataFrame:
     shown = rows.groupBy("title").agg(F.min(F.struct("installation_id", *order)).alias("shown"))
     sizes = rows.groupBy("installation_id", "title").agg(F.count(F.lit(1)).alias("size"))
     listed = (
-        sizes.join(shown, "title")
+        sizes.join(shown.withColumnRenamed("title", "_title"), F.col("title").eqNullSafe(F.col("_title")))
         .groupBy("installation_id")
         .agg(F.sort_array(F.collect_list(F.struct("shown", "size"))).alias("blocks"))
         .select("installation_id", F.transform("blocks", lambda b: b["size"]).alias("blocks"))
     )
-    dealt = spread_join(placed, listed, ["installation_id"], "inner", order)
+    listed = listed.withColumnRenamed("installation_id", "_user")
+    dealt = placed.join(listed, F.col("installation_id").eqNullSafe(F.col("_user")))
     position = F.aggregate(
         "blocks",
         F.struct((F.col("position") - 1).alias("rest"), F.lit(False).alias("found")),
@@ -471,40 +493,41 @@ def x9(df: DataFrame, roles: Roles, by_position: bool = False) -> DataFrame:
 
 
 def help_clicks(
-    df: DataFrame, roles: Roles, prefix: str, names: Mapping[str, str], per_event: bool = False
+    df: DataFrame, roles: Roles, prefix: str, names: Mapping[str, str], per_event: bool = False,
+    slot_seconds: int = HOUR,
 ) -> DataFrame:
-    state = prior_table(anchors(df, roles), [helps(df, prefix, tuple(names))])
+    state = prior_table(anchors(df, roles), [helps(df, prefix, tuple(names))], slot_seconds=slot_seconds)
     shown = state.where(f"{prefix}_all_any = 0 OR {prefix}_all_n > 0")
     return shown.selectExpr("game_session", *help_columns(prefix, names, per_event))
 
 
-def x10(df: DataFrame, roles: Roles, per_event: bool = False) -> DataFrame:
-    return help_clicks(df, roles, "x10", roles.help_game, per_event)
+def x10(df: DataFrame, roles: Roles, per_event: bool = False, slot_seconds: int = HOUR) -> DataFrame:
+    return help_clicks(df, roles, "x10", roles.help_game, per_event, slot_seconds)
 
 
-def x11(df: DataFrame, roles: Roles, per_event: bool = False) -> DataFrame:
-    return help_clicks(df, roles, "x11", roles.help_activity, per_event)
+def x11(df: DataFrame, roles: Roles, per_event: bool = False, slot_seconds: int = HOUR) -> DataFrame:
+    return help_clicks(df, roles, "x11", roles.help_activity, per_event, slot_seconds)
 
 
 def x12(df: DataFrame, roles: Roles) -> DataFrame:
     """Hour and weekday at which each assessment session began."""
-    hour, dow = hour_dow(F.col("ts"))
+    hour, dow = hour_dow(df, "ts")
     return df.where(roles.is_assessment() & (F.col("event_count") == 1)).select(
         "game_session", hour.alias("hour"), dow.alias("dayofweek")
     )
 
 
-def x13(df: DataFrame, roles: Roles, strict: bool = False) -> DataFrame:
+def x13(df: DataFrame, roles: Roles, strict: bool = False, slot_seconds: int = HOUR) -> DataFrame:
     """Spread, over earlier sessions of a title, of the spread of their clicks.
 
     ``strict`` looks at earlier clicks only.
     """
-    families = click_spread_changes(df, roles) if strict else [click_spreads(df, roles)]
-    state = prior_table(anchors(df, roles), families)
+    families = click_spread_changes(df, roles, slot_seconds) if strict else [click_spreads(df, roles)]
+    state = prior_table(anchors(df, roles), families, slot_seconds=slot_seconds)
     return state.where("x13_all_n > 0").selectExpr("game_session", *x13_columns(roles, strict))
 
 
-def x14(df: DataFrame, roles: Roles) -> DataFrame:
+def x14(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
     """Seconds between the anchor and the user's last activity in its world."""
-    state = prior_table(anchors(df, roles), [activity(df, roles, ["x14"])])
+    state = prior_table(anchors(df, roles), [activity(df, roles, ["x14"])], slot_seconds=slot_seconds)
     return state.where("x14_max IS NOT NULL").selectExpr("game_session", x14_column(state))

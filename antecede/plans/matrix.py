@@ -9,18 +9,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from antecede.functions import slug
+from antecede.functions import slugs
 from antecede.operators.frames import align_to, fill_max
 from antecede.operators.joins import keep_matching
 from antecede.operators.prior import prior_table
-from antecede.operators.timeline import latest_per_key
+from antecede.operators.timeline import HOUR, latest_per_key
 from antecede.plans import features as X
 from antecede.plans.eligibility import anchors
 from antecede.plans.roles import Roles
 from antecede.session import materialize
 
 ID = ("installation_id", "game_session")
+ANCHOR = ("installation_id", "world2", "game_session", "ts", "title")
 LABEL = "accuracy_group"
 
 
@@ -34,18 +36,18 @@ def assemble(base: DataFrame, features: Sequence[DataFrame], on: str = "game_ses
 
 def feature_columns(roles: Roles) -> list[str]:
     """Names of the matrix columns, in order, known before any job runs."""
-    titles, codes = [slug(t) for t in roles.titles], [slug(c) for c in roles.codes]
+    titles, codes = slugs(roles.titles), slugs(roles.codes)
     return [
         *[f"x1_{k}__{g}" for k in ("cnt", "mean", "std") for g in titles],
         *[f"x2_{k}__{g}" for k in ("cnt", "mean", "std") for g in codes],
-        *[f"x3_cnt__{slug(tc)}" for tc in roles.title_codes],
+        *[f"x3_cnt__{g}" for g in slugs(roles.title_codes)],
         *[f"x4_{k}__{g}" for g in titles for k in ("max", "mean", "std")],
-        *[f"x6__{slug(t)}" for t in roles.clip_rules],
-        *[f"x7__{slug(n)}" for n in roles.first_game.values()],
-        *[f"x8__{slug(n)}" for n in roles.first_activity.values()],
+        *[f"x6__{g}" for g in slugs(roles.clip_rules)],
+        *[f"x7__{g}" for g in slugs(roles.first_game.values())],
+        *[f"x8__{g}" for g in slugs(roles.first_activity.values())],
         "count",
-        *[f"x10__{slug(n)}" for n in roles.help_game.values()],
-        *[f"x11__{slug(n)}" for n in roles.help_activity.values()],
+        *[f"x10__{g}" for g in slugs(roles.help_game.values())],
+        *[f"x11__{g}" for g in slugs(roles.help_activity.values())],
         "hour",
         "dayofweek",
         *[f"x13_{a}__{g}" for a in ("x", "y") for g in titles],
@@ -53,30 +55,31 @@ def feature_columns(roles: Roles) -> list[str]:
     ]
 
 
-def _prior_features(df: DataFrame, roles: Roles, maxima: DataFrame | None) -> DataFrame:
-    """X1 to X4, X6 to X8, X10, X11, X13 and X14 from one shared prior table."""
+def _prior_features(df: DataFrame, roles: Roles, maxima: DataFrame | None, slot_seconds: int) -> DataFrame:
+    """X1 to X4, X6 to X8, X10, X11, X13 and X14 from one shared prior table, for each distinct anchor (``_anchor``)."""
     ids = (*roles.first_game, *roles.first_activity)
     state = prior_table(
         anchors(df, roles),
         [
             X.activity(df, roles, ["x1", "x2", "x3", "x14"]),
             X.last_rows(df, roles),
-            X.clip_scores(X.x6_clips(df, roles), roles),
+            X.clip_scores(X.x6_clips(df, roles, slot_seconds=slot_seconds), roles),
             X.first_events(df, ids),
             X.helps(df, "x10", tuple(roles.help_game)),
             X.helps(df, "x11", tuple(roles.help_activity)),
             X.click_spreads(df, roles),
         ],
+        slot_seconds=slot_seconds,
     )
     state = materialize(state)
-    groups = {"x1": [slug(t) for t in roles.titles], "x2": [slug(c) for c in roles.codes]}
-    state = X.running(state, {"x1": ("x1_all_n > 0", groups["x1"]), "x2": ("act_all_n > 0", groups["x2"])})
+    groups = {"x1": slugs(roles.titles), "x2": slugs(roles.codes)}
+    state = X.running(state, {"x1": ("x1_all_n > 0", groups["x1"]), "x2": ("act_all_n > 0", groups["x2"])}, slot_seconds)
     first = [
         *X.first_columns("x7", roles.first_game),
         *X.first_columns("x8", roles.first_activity),
     ]
     out = state.selectExpr(
-        *ID,
+        f"struct({', '.join(ANCHOR)}) AS _anchor",
         *X.x1_columns(roles),
         *[f"x1_{k}__{g}" for k in ("mean", "std") for g in groups["x1"]],
         *X.x2_columns(roles),
@@ -91,10 +94,17 @@ def _prior_features(df: DataFrame, roles: Roles, maxima: DataFrame | None) -> Da
         X.x14_column(state),
     )
     filled = [
-        *[f"x7__{slug(n)}" for n in roles.first_game.values()],
-        *[f"x8__{slug(n)}" for n in roles.first_activity.values()],
+        *[f"x7__{g}" for g in slugs(roles.first_game.values())],
+        *[f"x8__{g}" for g in slugs(roles.first_activity.values())],
     ]
-    return fill_max(out, filled, maxima)
+    # A table: the largest values are looked up beside it.
+    return fill_max(materialize(out) if maxima is None else out, filled, maxima)
+
+
+def _base(df: DataFrame, roles: Roles, maxima: DataFrame | None, slot_seconds: int) -> DataFrame:
+    """Every anchor row of the log, with its prior features where it has any."""
+    rows = anchors(df, roles).select(*ID, F.struct(*ANCHOR).alias("_anchor"))
+    return rows.join(_prior_features(df, roles, maxima, slot_seconds), "_anchor", "left").drop("_anchor")
 
 
 def _finish(df: DataFrame, roles: Roles, extra: Sequence[str] = ()) -> DataFrame:
@@ -105,18 +115,19 @@ def _finish(df: DataFrame, roles: Roles, extra: Sequence[str] = ()) -> DataFrame
     )
 
 
-def train_matrix(df: DataFrame, roles: Roles) -> DataFrame:
+def train_matrix(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
     """Every anchor of the eligible training log, with its accuracy group.
 
-    Absent features are 0.  Row order carries no meaning; sort at the sink.
+    Absent features are 0; an anchor without user, world or title stays.  Row order carries no meaning; sort at the sink.
     """
     label = X.x5(df, roles).select("game_session", LABEL)
-    wide = assemble(_prior_features(df, roles, None), [label, X.x9(df, roles), X.x12(df, roles)])
+    wide = assemble(_base(df, roles, None, slot_seconds), [label, X.x9(df, roles, slot_seconds=slot_seconds), X.x12(df, roles)])
     return _finish(wide, roles, extra=[LABEL])
 
 
 def test_matrix(
-    df: DataFrame, roles: Roles, columns: Sequence[str] | None = None, maxima: DataFrame | None = None
+    df: DataFrame, roles: Roles, columns: Sequence[str] | None = None, maxima: DataFrame | None = None,
+    slot_seconds: int = HOUR,
 ) -> DataFrame:
     """The last anchor of each user of the eligible test log.
 
@@ -125,8 +136,8 @@ def test_matrix(
     X7/X8 fill values from, the training matrix for instance; by default they
     come from the test log itself.
     """
-    wide = assemble(_prior_features(df, roles, maxima), [X.x9(df, roles), X.x12(df, roles)])
+    wide = assemble(_base(df, roles, maxima, slot_seconds), [X.x9(df, roles, slot_seconds=slot_seconds), X.x12(df, roles)])
     last = latest_per_key(anchors(df, roles), ["installation_id"], ["ts", "game_session"], ["game_session"])
-    picked = keep_matching(_finish(wide, roles), last, list(ID), list(ID))
+    picked = keep_matching(_finish(wide, roles), last, list(ID))
     wanted = [c for c in (columns or picked.columns) if c != LABEL]
     return align_to(picked, wanted)

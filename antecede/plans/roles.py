@@ -47,7 +47,7 @@ class Roles:
     def observed(self, df: DataFrame) -> Roles:
         """These roles with the categories of ``df`` outside assessments."""
         rest = df.where(~self.is_assessment())
-        pairs = rest.select(F.concat_ws("_", "title", F.col("event_code").cast("string")).alias("title_code"))
+        pairs = rest.select(F.concat("title", F.lit("_"), F.col("event_code").cast("string")).alias("title_code"))
         return replace(
             self,
             titles=tuple(category_values(rest, "title")),

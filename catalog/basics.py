@@ -16,6 +16,8 @@ from catalog.adapter import LABELLED_SQL, ROLES, event_log, labelled, over_log
 
 QUERIES, ORACLES = {}, {}
 
+TYPES = ("Game", "Clip", "Assessment", "Activity")
+
 
 def query(name: str, sql: str):
     def register(fn):
@@ -202,7 +204,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     log = event_log(spark, sf)
-    return keep_matching(log, labelled(log), ["installation_id", "world2"], ["row_id"]).select("row_id")
+    return keep_matching(log, labelled(log), ["installation_id", "world2"]).select("row_id")
 
 
 def _activity(log: DataFrame, *by: str) -> DataFrame:
@@ -252,7 +254,7 @@ def _(spark, sf):
 def _(spark, sf):
     log = event_log(spark, sf)
     found = log.where(F.col("event_id") == "click_1")
-    return without_match(anchors(log, ROLES), found, ["installation_id", "world2"], ["game_session"]).select("game_session")
+    return without_match(anchors(log, ROLES), found, ["installation_id", "world2"]).select("game_session")
 
 
 @query(
@@ -360,12 +362,13 @@ def _(spark, sf):
     "pivot_counts",
     over_log(
         """SELECT installation_id, nullif(count(*) FILTER (type = 'Game'), 0) AS game, nullif(count(*) FILTER (type = 'Clip'), 0) AS clip,
-             nullif(count(*) FILTER (type = 'Assessment'), 0) AS assessment FROM log GROUP BY 1"""
+             nullif(count(*) FILTER (type = 'Assessment'), 0) AS assessment,
+             nullif(count(*) FILTER (type = 'Activity'), 0) AS activity FROM log GROUP BY 1"""
     ),
 )
 def _(spark, sf):
-    wide = pivot_wide(event_log(spark, sf), ["installation_id"], "type", ["Game", "Clip", "Assessment"], F.count(F.lit(1)))
-    return wide.withColumnsRenamed({"Game": "game", "Clip": "clip", "Assessment": "assessment"})
+    wide = pivot_wide(event_log(spark, sf), ["installation_id"], "type", list(TYPES), F.count(F.lit(1)))
+    return wide.withColumnsRenamed({t: t.lower() for t in TYPES})
 
 
 @query("value_share", "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")

@@ -421,13 +421,12 @@ TEST_MATRIX_SQL = over_test(
 
 
 def training(spark, sf):
-    log = materialize(event_log(spark, sf))
+    log = event_log(spark, sf)
     return train_matrix(materialize(eligible_train(log, labelled(log), ROLES)), ROLES)
 
 
 def testing(spark, sf, columns=None):
-    log = materialize(event_log(spark, sf))
-    return test_matrix(materialize(eligible_test(log, ROLES)), ROLES, columns)
+    return test_matrix(materialize(eligible_test(event_log(spark, sf), ROLES)), ROLES, columns)
 
 
 @query("train_matrix", TRAIN_MATRIX_SQL)

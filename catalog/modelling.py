@@ -12,12 +12,10 @@ from antecede.plans import features as X
 from antecede.plans.matrix import LABEL, feature_columns
 from antecede.session import materialize
 from antecede.sources import load
-from catalog.adapter import ROLES, event_log, over_log
+from catalog.adapter import ROLES, event_log, over_log, over_train
 from catalog.features import X5_SQL, testing, training
 
 QUERIES, ORACLES = {}, {}
-# Small forests: these queries show that the path runs, not what it can score.
-FOREST = {"numTrees": 5, "maxDepth": 4}
 
 
 def query(name: str, sql: str | None = None):
@@ -130,7 +128,22 @@ def _(spark, sf):
     votes = past.groupBy("installation_id").agg(
         F.array(*[F.count(F.when(F.col(LABEL) == g, 1)) for g in range(4)]).alias("scores")
     )
-    return submission(votes, log.select("installation_id").distinct())
+    return submission(votes, log.select("installation_id").distinct(), default=0)
+
+
+LOSS_CLASS = "CAST(l_linenumber % 3 AS INT)"
+
+
+@query(
+    "log_loss",
+    f"""WITH s AS (SELECT {LOSS_CLASS} AS y, [l_discount, l_tax, l_quantity / 50] AS p FROM lineitem)
+        SELECT round(avg(-ln(greatest(least(p[y + 1] / list_sum(p), 1 - 1e-15), 1e-15))), 6) AS log_loss FROM s""",
+)
+def _(spark, sf):
+    rows = load(spark, sf, "lineitem").select(
+        F.expr(LOSS_CLASS).alias("y"), F.array("l_discount", "l_tax", F.col("l_quantity") / 50).alias("scores")
+    )
+    return log_loss(rows, "y").select(F.round("log_loss", 6).alias("log_loss"))
 
 
 # ---- models: no SQL equivalent ------------------------------------------------------
@@ -149,7 +162,7 @@ def _(spark, sf):
     parts = holdout(train, "game_session")
     stats = materialize(robust_fit(train, features))
     scaled = robust_apply(parts, stats, features)
-    model = fit_classifier(scaled.where("NOT is_holdout"), features, LABEL, FOREST)
+    model = fit_classifier(scaled.where("NOT is_holdout"), features, LABEL)
     return score(model, scaled.where("is_holdout"), features).select("game_session", LABEL, "scores", "predicted")
 
 
@@ -158,30 +171,52 @@ def _(spark, sf):
     """Kappa and log loss of that forest on the held-out sessions."""
     train, features = _trained(spark, sf)
     parts = holdout(train, "game_session")
-    model = fit_classifier(parts.where("NOT is_holdout"), features, LABEL, FOREST)
-    scored = score(model, parts.where("is_holdout").withColumn(LABEL, F.col(LABEL).cast("double")), features)
-    loss = log_loss(scored, LABEL)
-    return quadratic_kappa(scored, LABEL, "predicted").withColumn("log_loss", F.lit(loss))
+    model = fit_classifier(parts.where("NOT is_holdout"), features, LABEL)
+    scored = materialize(score(model, parts.where("is_holdout"), features).select(LABEL, "scores", "predicted"))
+    return quadratic_kappa(scored, LABEL, "predicted").withColumn("log_loss", log_loss(scored, LABEL).scalar())
+
+
+def _held_out(spark, sf):
+    """Ten folds; every training session is scored by the model that did not see it."""
+    train, features = _trained(spark, sf)
+    placed = materialize(folds(train, LABEL, "game_session"))
+    held_out, _unused = out_of_fold(placed, features, LABEL, "game_session")
+    return held_out
 
 
 @query("out_of_fold")
 def _(spark, sf):
-    """Three folds; every training session is scored by the model that did not see it."""
-    train, features = _trained(spark, sf)
-    placed = materialize(folds(train, LABEL, "game_session", k=3))
-    held_out, _unused = out_of_fold(placed, features, LABEL, "game_session", params=FOREST)
-    return held_out.select("game_session", LABEL, "fold", "scores", "predicted")
+    return _held_out(spark, sf).select("game_session", LABEL, "fold", "scores", "predicted")
+
+
+@query("oof_kappa")
+def _(spark, sf):
+    """Kappa and log loss over all folds, and the share of sessions given each class."""
+    scored = materialize(_held_out(spark, sf).select(LABEL, "scores", "predicted"))
+    return value_share(scored, "predicted").withColumns({
+        "kappa": quadratic_kappa(scored, LABEL, "predicted").scalar(), "log_loss": log_loss(scored, LABEL).scalar(),
+    })
+
+
+@query("fold_cover", over_train(
+    """SELECT game_session, 1::BIGINT AS times, 1.0::DOUBLE AS total FROM anchors GROUP BY 1"""
+))
+def _(spark, sf):
+    """Each training session is scored once, and its class scores add up to one."""
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return _held_out(spark, sf).groupBy("game_session").agg(
+        F.count(F.lit(1)).alias("times"), F.round(F.max(total), 6).alias("total")
+    )
 
 
 @query("predict_test")
 def _(spark, sf):
-    """The whole path: folds of the training matrix score the test matrix, one class per user."""
+    """The whole path: ten folds of the training matrix score the test matrix, one class per user."""
     train, features = _trained(spark, sf)
     test = materialize(testing(spark, sf, ["installation_id", "game_session", *features]))
-    placed = materialize(folds(train, LABEL, "game_session", k=3))
+    placed = materialize(folds(train, LABEL, "game_session"))
     _unused, averaged = out_of_fold(
         placed, features, LABEL, "game_session", to_score=test.withColumn("game_session", F.col("installation_id").cast("string")),
-        params=FOREST,
     )
     scores = averaged.withColumnRenamed("game_session", "installation_id")
     return submission(scores, test.select(F.col("installation_id").cast("string").alias("installation_id")))

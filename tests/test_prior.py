@@ -115,9 +115,17 @@ def test_two_families_share_one_table(spark):
         assert got[session]["l_max"] == micros
 
 
-def test_labels_that_would_share_a_column_are_refused(spark):
-    with pytest.raises(ValueError):
-        Cell("x", ("n",), F.col("title"), ("a b", "a-b")).columns()
+def test_labels_that_slug_alike_get_columns_of_their_own():
+    names = [out for _, _, out in Cell("x", ("n",), F.col("title"), ("a b", "a-b", "게임", "활동", "c")).columns()]
+    assert len(set(names)) == 5 and names[-1] == "x_n__c"
+
+
+def test_means_count_values_and_not_rows(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = spark.createDataFrame([("u", "w", at(1), 4.0), ("u", "w", at(2), None)], "installation_id string, world2 string, ts timestamp_ntz, v double")
+    anchor = spark.createDataFrame([("u", "w", "s", at(3), "t")], "installation_id string, world2 string, game_session string, ts timestamp_ntz, title string")
+    (got,) = prior_table(anchor, [Family("r", rows, (Cell("v", ("n", "c", "s")),), value=F.col("v"))]).collect()
+    assert (got["v_n"], got["v_c"], got["v_s"]) == (2, 1, 4)
 
 
 def test_the_plan_pairs_nothing(spark):

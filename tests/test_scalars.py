@@ -16,6 +16,7 @@ from antecede.functions import (
     ratio,
     seconds_between,
     slug,
+    slugs,
 )
 from antecede.operators.frames import align_to, category_values, fill_max
 from antecede.plans import constants as C
@@ -42,9 +43,21 @@ def test_click_coordinates(spark):
 
 
 def test_weekday_counts_from_monday(spark):
-    hour, dow = hour_dow(F.col("t"))
-    got = one(spark, "t timestamp", [(dt.datetime(2024, 1, 1, 23, 5),), (dt.datetime(2024, 1, 7, 0, 0),)], hour, dow)
-    assert got == [(23, 0), (0, 6)]
+    times = [(dt.datetime(2024, 1, 1, 23, 5),), (dt.datetime(2024, 1, 7, 0, 0),), (dt.datetime(1969, 12, 31, 22, 59),)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(times, f"t {kind}")
+        assert [tuple(r) for r in df.select(*hour_dow(df, "t")).collect()] == [(23, 0), (0, 6), (22, 2)]
+
+
+def test_hour_and_weekday_do_not_depend_on_the_session_zone(spark):
+    df = spark.sql("SELECT timestamp_seconds(1704151800) AS t")  # 2024-01-01 23:30 UTC, a Monday
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("Asia/Seoul", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert tuple(df.select(*hour_dow(df, "t")).first()) == (23, 0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_fractional_seconds_for_both_timestamp_types(spark):
@@ -91,6 +104,8 @@ def test_argmax_takes_the_first_of_equals(spark):
 def test_slugs():
     assert slug("Heavy, Heavier, Heaviest") == "heavy_heavier_heaviest"
     assert slug("Pirate's Tale") == "pirate_s_tale" and slug(4100) == "4100"
+    assert len({slug("게임"), slug("활동"), slug("")}) == 3 and slug("게임").isidentifier() is slug("활동").isidentifier()
+    assert len(set(slugs(["a b", "a-b", "A b", "c"]))) == 4 and slugs(["x", "y"]) == ["x", "y"]
 
 
 def test_align_takes_order_and_fills(spark):
@@ -106,8 +121,6 @@ def test_fill_max_of_own_and_of_another_frame(spark):
     assert sorted(tuple(r) for r in fill_max(df, ["a", "b"], other).collect()) == [(1, 3.0, 8.0), (2, 9.0, 8.0)]
 
 
-def test_category_values_refuse_an_unbounded_list(spark):
-    df = spark.range(20).selectExpr("id % 7 AS v")
-    assert category_values(df, "v") == list(range(7))
-    with pytest.raises(ValueError):
-        category_values(df, "v", limit=3)
+def test_category_values_are_all_of_them(spark):
+    df = spark.range(30_000).selectExpr("id % 12000 AS v")
+    assert category_values(df, "v") == list(range(12_000))

@@ -74,11 +74,12 @@ def test_spread_joins_equal_plain_joins(spark, frame):
     rows, df = frame
     small = spark.createDataFrame([("hot", 1), ("a", 2), ("zz", 3)], "user string, w int")
     for how in ("inner", "left"):
-        got = sorted(map(str, spread_join(df, small, ["user"], how, ["id"]).select("id", "w").collect()))
-        assert got == sorted(map(str, df.join(small, "user", how).select("id", "w").collect()))
+        for ways in (None, 5):
+            got = sorted(map(str, spread_join(df, small, ["user"], how, ["id"], ways).select("id", "w").collect()))
+            assert got == sorted(map(str, df.join(small, "user", how).select("id", "w").collect()))
     doubled = small.unionByName(small)
-    assert keep_matching(df, doubled, ["user"], ["id"]).count() == sum(r[1] in ("hot", "a") for r in rows)
-    assert without_match(df, doubled, ["user"], ["id"]).count() == sum(r[1] == "b" for r in rows)
+    assert keep_matching(df, doubled, ["user"]).count() == sum(r[1] in ("hot", "a") for r in rows)
+    assert without_match(df, doubled, ["user"]).count() == sum(r[1] == "b" for r in rows)
     with pytest.raises(ValueError):
         spread_join(df, small, ["user"], "full", ["id"])
 
@@ -86,9 +87,20 @@ def test_spread_joins_equal_plain_joins(spark, frame):
 def test_a_hot_key_is_spread_over_tasks(spark):
     hot = spark.range(4000).selectExpr("id", "'hot' AS user")
     small = spark.createDataFrame([("hot", 1)], "user string, w int").hint("merge")
-    out = spread_join(hot, small, ["user"], "inner", ["id"]).groupBy(F.spark_partition_id()).count()
+    out = spread_join(hot, small, ["user"], "inner", ["id"], ways=8).groupBy(F.spark_partition_id()).count()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         assert out.count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_null_keys_and_times_lose_no_row(spark):
+    rows = [(1, None, 5), (2, None, 3), (3, "a", None), (4, "a", 7), (5, None, 10_000_000)]
+    df = with_slot(spark.createDataFrame(rows, "id long, user string, s long").selectExpr("id", "user", "timestamp_seconds(s) AS ts"))
+    got = {r["id"]: r["n"] for r in numbered(df, ["user"], ["ts", "id"], "n").collect()}
+    assert got == {2: 1, 1: 2, 5: 3, 3: 1, 4: 2}
+    before = {r["id"]: r["prev"] and r["prev"]["id"] for r in previous_row(df, ["user"], ["ts", "id"], ["id"]).collect()}
+    assert before == {2: None, 1: 2, 5: 1, 3: None, 4: 3}
+    sums = {r["id"]: r["total"] for r in running_sums(df, ["user"], ["ts", "id"], {"total": "CAST(id AS DOUBLE)"}).collect()}
+    assert sums == {2: 2, 1: 3, 5: 8, 3: 3, 4: 7}
