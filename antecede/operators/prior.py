@@ -8,12 +8,14 @@ one heavy key makes it quadratic.  Here nothing is paired:
    instants collapse, so a slot holds at most its distinct instants x labels.
 2. Rows and anchors meet on (key, slot).  One descending window gives each row
    its segment: the first anchor instant strictly after it inside the slot.
-3. Rows with no later anchor in their slot are summed per slot and label, and
-   sent on to the first anchor of a later slot.  What is left are narrow rows:
-   per anchor instant and label, what came since the anchor before it.
+   What it sums up to is stored: narrow rows, read by the two branches that follow.
+3. What no anchor of its slot follows is sent on to the first anchor of a later
+   slot; where that is, a window over slots tells, one row for each.  What is left
+   per anchor instant and label is what came since the anchor before it.
 4. Only these are pivoted: wide rows exist per anchor, never per log row.
 5. An anchor's state is the running total of its slot's segments plus the total
-   of all earlier slots.  The latter is a window over slot summaries only.
+   of all earlier slots.  The latter is a window over the slots of one span of
+   ``FAN`` slots, and one over spans: a key's window has a row for each span.
 
 Families of rows that feed different features share the same union, exchange
 and pivot.
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from antecede.functions import slugs
 from antecede.operators.timeline import HOUR, SLOT, with_slot
+from antecede.session import materialize
 
 KEYS = ("installation_id", "world2")
+FAN = 64  # slots in a span
 
 # n: rows; c: rows with a value; s: sum of values; q: sum of squared values; max: largest value;
 # any: rows of the key at any time, before or after the anchor.
@@ -158,27 +162,51 @@ def _segments(anchors: DataFrame, families: Sequence[Family], keys: Sequence[str
     )
     own = F.when(F.col("_anchor").isNotNull(), F.col("_t"))
     cut = tape.withColumn("_seg", F.coalesce(own, F.min(own).over(later)))
-    settled = _merged(cut.where("_seg IS NOT NULL"), *keys, SLOT, "_seg", "_anchor", "_family", *by)
-
-    tails = _merged(cut.where("_seg IS NULL"), *keys, SLOT, "_family", *by)
-    firsts = cut.where("_anchor IS NOT NULL").groupBy(*keys, SLOT).agg(F.min("_t").alias("_first"))
-    # One row per slot and label of a key, however many rows the slot had.
-    ahead = Window.partitionBy(*keys).orderBy(F.col(SLOT).desc()).rangeBetween(Window.unboundedPreceding, -1)
+    # The tape is sorted once: its sums are a table, and the branches read that.
+    summed = materialize(_merged(cut, *keys, SLOT, "_seg", "_anchor", "_family", *by))
+    settled = summed.where("_seg IS NOT NULL")
+    tails = summed.where("_seg IS NULL")
+    # One row per slot of a key, however many labels it has.
+    slots = summed.groupBy(*keys, SLOT).agg(F.min(F.when(F.col("_anchor").isNotNull(), F.col("_seg"))).alias("_first"))
+    ahead = Window.partitionBy(*keys).orderBy(F.col(SLOT).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    target = slots.select(*keys, SLOT, F.min("_first").over(ahead).alias("_seg"), F.max("_first").over(Window.partitionBy(*keys)).alias("_final"))
     moved = (
-        tails.unionByName(firsts, allowMissingColumns=True)
-        .withColumns({
-            "_seg": F.min("_first").over(ahead),
-            "_final": F.max("_first").over(Window.partitionBy(*keys)),
-        })
-        .where("_family IS NOT NULL AND _final IS NOT NULL")
+        tails.drop("_seg").join(target.where("_final IS NOT NULL"), [*keys, SLOT])
         .withColumn(SLOT, F.expr(f"coalesce(_seg, _final) div {seconds * 1_000_000}"))
-        .where(f"{SLOT} IS NOT NULL")
-        .drop("_first", "_final")
+        .drop("_final")
     )
     together = settled.unionByName(moved, allowMissingColumns=True).repartition(*keys, SLOT)
     return _merged(together, *keys, SLOT, "_seg", "_anchor", "_family", *by)
 
 
+def _earlier(per_slot: DataFrame, keys: Sequence[str], added: Sequence[str], topped: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """For each slot what all earlier slots of its key add up to (``_b_``), and the key's totals (``_all_``)."""
+    key_list = ", ".join(f"`{k}`" for k in keys)
+    rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    in_span = f"OVER (PARTITION BY {key_list}, _span ORDER BY {SLOT} {rows}"
+    spans = f"OVER (PARTITION BY {key_list} ORDER BY _span {rows}"
+    spanned = per_slot.withColumn("_span", F.expr(f"{SLOT} div {FAN}"))
+    local = spanned.selectExpr(
+        *keys, SLOT, "_span",
+        *[f"sum(`{c}`) {in_span} AS `_l_{c}`" for c in added], *[f"max(`{c}`) {in_span} AS `_l_{c}`" for c in topped],
+    )
+    per_span = spanned.groupBy(*keys, "_span").agg(
+        *[F.expr(f"sum(`{c}`) AS `{c}`") for c in added], *[F.expr(f"max(`{c}`) AS `{c}`") for c in topped]
+    )
+    carried = per_span.selectExpr(
+        *keys, "_span",
+        *[f"sum(`{c}`) {spans} AS `_s_{c}`" for c in added],
+        *[f"max(`{c}`) {spans} AS `_s_{c}`" for c in topped],
+        *[f"sum(`{c}`) OVER (PARTITION BY {key_list}) AS `_all_{c}`" for c in totals],
+    )
+    return local.join(carried, [*keys, "_span"]).selectExpr(
+        *keys, SLOT,
+        *[f"coalesce(`_l_{c}`, 0D) + coalesce(`_s_{c}`, 0D) AS `_b_{c}`" for c in added],
+        *[f"greatest(`_l_{c}`, `_s_{c}`) AS `_b_{c}`" for c in topped],
+        *[f"`_all_{c}`" for c in totals],
+    )
+
+
 def prior_table(
     anchors: DataFrame,
     families: Sequence[Family],
@@ -186,7 +214,7 @@ def prior_table(
     ts: str = "ts",
     slot_seconds: int = HOUR,
 ) -> DataFrame:
-    """``anchors`` with one double column per cell, label and statistic.
+    """``anchors`` with one double column per cell, label and statistic.  Runs a job.
 
     Sums and counts are 0 and maxima NULL where nothing came before.  An anchor
     with a NULL key or time has no earlier rows by definition and is left out, and
@@ -230,14 +258,7 @@ def prior_table(
     per_slot = wide.groupBy(*keys, SLOT).agg(
         *[F.expr(f"sum(`{c}`) AS `{c}`") for c in added], *[F.expr(f"max(`{c}`) AS `{c}`") for c in topped]
     )
-    earlier = f"OVER (PARTITION BY {key_list} ORDER BY {SLOT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    whole = f"OVER (PARTITION BY {key_list})"
-    before = per_slot.selectExpr(
-        *keys, SLOT,
-        *[f"sum(`{c}`) {earlier} AS `_b_{c}`" for c in added],
-        *[f"max(`{c}`) {earlier} AS `_b_{c}`" for c in topped],
-        *[f"sum(`{c}`) {whole} AS `_all_{c}`" for c, _ in totals],
-    )
+    before = _earlier(per_slot, keys, added, topped, [raw for raw, _ in totals])
     return here.join(before, [*keys, SLOT]).selectExpr(
         "_anchor.*",
         *[f"coalesce(`{raw}`, 0D) + coalesce(`_b_{raw}`, 0D) AS `{out}`" for raw, out in sums],
