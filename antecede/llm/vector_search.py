@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.llm.vectors import blocks, matrix, numbered, sample, unit, usual_dim
+from antecede.session import materialize
 
 SAMPLE = 8_192
-TARGET = 0.97
+TARGET = 0.95
 PER_PART = 8_000  # vectors in a partition, roughly
 MOST_PARTS = 256
 GRAPH_DEGREE = 16
@@ -203,9 +204,9 @@ def search(table: DataFrame, k: int = 20, every: int = 20, target: float = TARGE
     dim, total = usual_dim(rows), rows.count()
     drawn = sample(rows, SAMPLE, dim)
     index = Index(drawn, total, k, target) if len(drawn) > 10 * k and total > 2 * PER_PART else None
-    routed = rows.mapInArrow(
+    routed = materialize(rows.mapInArrow(
         _assign(index, dim, every), "row long, vec_id long, vector binary, dim int, part int, ask boolean"
-    )
+    ))
     met = blocks(routed.where("NOT ask").drop("ask"), routed.where("ask").drop("ask"), ["dim", "part"], BASE_PIECE, ASKED_PIECE)
     found = met.groupBy("dim", "part", "x", "y").applyInPandas(_rank(k), "query long, query_id long, row long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
