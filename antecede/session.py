@@ -24,19 +24,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
+    """The application's folder for intermediate tables, below ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder; on a cluster such
     a path would be lost together with its machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="antecede-"))
-    return spark.sparkContext.getCheckpointDir()
+    application = spark.sparkContext.applicationId
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="antecede-")
+        shared = _LOCAL[application]
+    return f"{shared.rstrip('/')}/antecede-{application}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -50,3 +55,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Removes the application's intermediate tables.  Frames that read them can no longer be used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
