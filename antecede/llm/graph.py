@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def spread(hits: np.ndarray, asked: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest row of the connected piece that each asked and each base row is in."""
+    big = np.iinfo(np.int64).max
+    a, b = asked.copy(), base.copy()
+    while True:
+        new_b = np.minimum(b, np.where(hits, a[:, None], big).min(axis=0, initial=big))
+        new_a = np.minimum(a, np.where(hits, new_b[None], big).min(axis=1, initial=big))
+        if (new_a == a).all() and (new_b == b).all():
+            return a, b
+        a, b = new_a, new_b

@@ -6,6 +6,8 @@
    the probability of their weighted Jaccard similarity.  Documents with the same words in the same order are one node.
 3. Nodes that agree in a whole band meet the smallest node of that band's bucket.  Then, within each bucket, nodes whose
    components still differ meet.  A pair whose samples do not already speak against it is verified on the whole texts.
+   Nodes of buckets of more than ``PAIRED`` nodes are not paired: they are dealt into families, and pieces of a family
+   meet in blocks, where all similarities are one matrix product; a block gives a spanning forest of its links.
 4. Connected components of the verified links are the groups.
 
 Numpy works on whole batches of bytes; Spark does all grouping.
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.graph import components
+from antecede.llm.graph import components, spread
+from antecede.llm.vectors import blocks
 from antecede.session import materialize
 
 SHINGLE = 5
@@ -28,6 +31,8 @@ BANDS, ROWS = 16, 5  # 0.998 of pairs at the threshold share a band
 CELLS = 1 << 20  # of each of the sketch's two rows
 SLICE = 1 << 15
 IDF_FLOOR = 0.8
+PAIRED = 64
+PIECE = 1_000
 CHUNK = 1 << 20  # bytes of text at once
 KEY = 54  # bits of a shingle's hash; above them the document's place in its chunk
 SIGNED = "doc_id long, k1 long, k2 long, d1 long, d2 long, sig binary, bands array<long>"
@@ -335,6 +340,85 @@ def _verify(weights, threshold: float):
     return run
 
 
+def _sets(weights):
+    """Of each node: its shingles, how often each occurs, and their weights, as bytes."""
+
+    def run(batches):
+        weigh = weights.value
+        for batch in batches:
+            for at, to, data, ends in chunks(batch.column(3)):
+                keys, counts = shingles_of(*words_of(data, ends))
+                one = weigh(keys, np.ones(len(keys), dtype=np.int64))
+                bounds = np.searchsorted(keys >> U(KEY), np.arange(to - at + 1, dtype=U))
+                parts = [
+                    pa.array([v[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                    for v in (keys & MASK, counts.astype(np.int64), one)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(at, to - at) for i in range(3)), *parts],
+                    ["row", "owner", "family", "keys", "counts", "idf"],
+                )
+
+    return run
+
+
+def _elements(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, document, weight): a shingle that occurs n times is n elements, so the smaller weight of two is a sum."""
+    keys, counts, idf = (np.frombuffer(b"".join(part[c]), t) for c, t in (("keys", U), ("counts", np.int64), ("idf", np.float32)))
+    doc = np.repeat(np.arange(len(part)), part["keys"].map(len).to_numpy() // 8)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mixed(np.repeat(keys, counts) + nth.astype(U) * BASE), np.repeat(doc, counts), np.repeat(idf, counts).astype(np.float64)
+
+
+def _meet(threshold: float):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[~part["asked"]], part[part["asked"]]]
+        (e1, d1, w1), (e2, d2, w2) = (_elements(s) for s in sides)
+        n1, n2 = (len(s) for s in sides)
+        total = np.bincount(d1, w1, n1)[:, None] + np.bincount(d2, w2, n2)[None]
+        shared = np.intersect1d(e1, e2)
+        both = np.zeros((n1, n2))
+        places = []
+        for e, d, w in ((e1, d1, w1), (e2, d2, w2)):
+            at = np.searchsorted(shared, e)
+            known = at < len(shared)
+            known[known] = shared[at[known]] == e[known]
+            order = np.argsort(at[known], kind="stable")
+            places.append((at[known][order], d[known][order], np.sqrt(w[known][order])))
+        for low in range(0, len(shared), 2048):
+            width = min(2048, len(shared) - low)
+            grids = []
+            for (at, d, w), n in zip(places, (n1, n2), strict=True):
+                a, b = np.searchsorted(at, [low, low + width])
+                grid = np.zeros((n, width))
+                grid[d[a:b], at[a:b] - low] = w[a:b]
+                grids.append(grid)
+            both += grids[0] @ grids[1].T
+        hits = both / np.maximum(total - both, 1e-12) >= threshold - 1e-9
+        rows, owners = [s["row"].to_numpy() for s in sides], np.concatenate([s["owner"].to_numpy() for s in sides])
+        least = np.concatenate(spread(hits, *rows))
+        rows = np.concatenate(rows)
+        # Ties to a row of the same component tell nothing new.
+        owner = dict(zip(rows.tolist(), owners.tolist(), strict=True))
+        tied = np.array([owner[a] != owner[b] for a, b in zip(rows.tolist(), least.tolist(), strict=True)], dtype=bool)
+        return pd.DataFrame({"a": rows[tied], "b": least[tied]}).drop_duplicates()
+
+    return run
+
+
+def _family_links(hot: DataFrame, nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links between components among the nodes (key, node, owner) of large buckets."""
+    low = hot.groupBy("key").agg(F.min("node").alias("a"))
+    family = materialize(components(hot.join(materialize(low), "key").select("a", F.col("node").alias("b"))))
+    of = hot.select("node", "owner").distinct().join(family, "node")
+    asked = of.join(nodes.select("node", "k1", "k2"), "node")
+    found = texts.join(asked, ["k1", "k2"]).select(F.col("node").alias("row"), "owner", F.col("component").alias("family"), "text")
+    schema = "row long, owner long, family long, keys binary, counts binary, idf binary"
+    sets = materialize(found.mapInArrow(_sets(weights), schema).dropDuplicates(["row"]))
+    met = blocks(sets, sets, ["family"], PIECE, PIECE)
+    return materialize(met.groupBy("family", "x", "y").applyInPandas(_meet(threshold), "a long, b long"))
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough."""
     sig = nodes.select("node", "sig")
@@ -381,27 +465,26 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     owner = materialize(components(edges))
     placed = materialize(buckets.join(owner, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("owner")))
     split = placed.groupBy("key").agg(F.min("owner").alias("x"), F.max("owner").alias("y")).where("x <> y").select("key")
-    left = materialize(placed.join(split, "key", "left_semi"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size"))
+    left = materialize(placed.join(split, "key", "left_semi").join(sizes, "key"))
+    hot = left.where(F.col("size") > PAIRED).select("key", "node", "owner")
+    met = _family_links(hot, nodes, texts, weights, threshold)
     # Both stand apart from the bucket's smallest node or in another component than it: pairs with it have been tried.
-    rest = left.where("node <> low")
+    rest = left.where((F.col("size") <= PAIRED) & (F.col("node") != F.col("low")))
     second = rest.alias("p").join(rest.alias("q"), "key").where("p.node < q.node AND p.owner <> q.owner").select(
         F.col("p.node").alias("a"), F.col("q.node").alias("b")
     ).distinct()
     more = _links(second, nodes, texts, weights, threshold)
-    owner = materialize(components(edges.union(more)))
+    owner = materialize(components(edges.union(more).union(met)))
     placed = member.join(owner, "node", "left").select(
         "row", "doc_id", "k1", "k2", F.coalesce("component", "node").alias("component")
     )
     placed = materialize(placed)
     # The keeper is the smallest id, nulls last, and of its rows the first.
-    keeper = placed.groupBy("component").agg(F.min("doc_id").alias("group_id"))
-    keeper = materialize(keeper)
-    marked = placed.join(keeper, "component")
-    first_row = materialize(
-        marked.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("component").agg(F.min("row").alias("keeper"))
-    )
-    return marked.join(first_row, "component").select(
-        "row", "doc_id", "k1", "k2", "group_id", (F.col("row") == F.col("keeper")).alias("kept")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
+    keeper = materialize(placed.groupBy("component").agg(least))
+    return placed.join(keeper, "component").select(
+        "row", "doc_id", "k1", "k2", F.col("least.doc_id").alias("group_id"), (F.col("row") == F.col("least.row")).alias("kept")
     )
 
 

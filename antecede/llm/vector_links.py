@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.graph import components
+from antecede.llm.graph import components, spread
 from antecede.llm.vectors import blocks, matrix, numbered, sample, unit, usual_dim
 from antecede.session import materialize
 
@@ -133,18 +133,6 @@ CELLS = pa.schema([
 ])
 
 
-def _spread(hits: np.ndarray, asked: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest row of the connected piece that each asked and each base row is in."""
-    big = np.iinfo(np.int64).max
-    a, b = asked.copy(), base.copy()
-    while True:
-        new_b = np.minimum(b, np.where(hits, a[:, None], big).min(axis=0, initial=big))
-        new_a = np.minimum(a, np.where(hits, new_b[None], big).min(axis=1, initial=big))
-        if (new_a == a).all() and (new_b == b).all():
-            return a, b
-        a, b = new_a, new_b
-
-
 def _meet(index: Index | None, dim: int, threshold: float):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         base, asked = part[~part["asked"]], part[part["asked"]]
@@ -166,7 +154,7 @@ def _meet(index: Index | None, dim: int, threshold: float):
             if back:  # a partner that does not ask this cell is credited here
                 once = hits & (to_i[:, some["i"].to_numpy()].T ** 2 + to_j[:, some["j"].to_numpy()].T ** 2 > index.walk**2)
                 credit += some["n"].to_numpy() @ once
-            low_own, low = _spread(hits, own, rows)
+            low_own, low = spread(hits, own, rows)
             for node, least in ((own, low_own), (rows, low)):
                 tied = node != least
                 out.append(pd.DataFrame({"a": node[tied], "n": 0, "b": least[tied]}))

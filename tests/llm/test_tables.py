@@ -339,3 +339,27 @@ def test_empty_tables(spark, name):
         "mixed": lambda: mixing.mixed(table), "one": lambda: near_dup.one_of_each(table), "redact": lambda: secret_scan.redact(table),
     }
     assert run[name]().collect() == []
+
+
+def test_large_buckets_are_met_in_blocks(spark, monkeypatch):
+    """The same groups whether buckets are paired or dealt into blocks of a few nodes; and those of all pairs."""
+    random = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for at in random.choice(100, int(random.integers(1, 9)), replace=False):
+            text[at] = f"x{i}{at}"
+        rows.append((i, " ".join(text + ["w1 w2 w3 w4 w5"] * int(random.integers(0, 3))), "s"))
+    table = docs(spark, rows)
+    found = []
+    for paired, piece in ((10**9, 1_000), (2, 40)):
+        monkeypatch.setattr(near_dup, "PAIRED", paired)
+        monkeypatch.setattr(near_dup, "PIECE", piece)
+        found.append({r.doc_id: r.group_id for r in near_dup.groups(table).collect()})
+    assert found[0] == found[1]
+    sets = {i: shingles(t) for i, t, _ in rows}
+    for a in sets:
+        for b in sets:
+            if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b]):
+                assert found[0][a] == found[0][b]
