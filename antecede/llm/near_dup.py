@@ -406,13 +406,12 @@ def _meet(threshold: float):
     return run
 
 
-def _family_links(hot: DataFrame, nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+def _family_links(hot: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """Links between components among the nodes (key, node, owner) of large buckets."""
     low = hot.groupBy("key").agg(F.min("node").alias("a"))
     family = materialize(components(hot.join(materialize(low), "key").select("a", F.col("node").alias("b"))))
     of = hot.select("node", "owner").distinct().join(family, "node")
-    asked = of.join(nodes.select("node", "k1", "k2"), "node")
-    found = texts.join(asked, ["k1", "k2"]).select(F.col("node").alias("row"), "owner", F.col("component").alias("family"), "text")
+    found = texts.join(of, "node").select(F.col("node").alias("row"), "owner", F.col("component").alias("family"), "text")
     schema = "row long, owner long, family long, keys binary, counts binary, idf binary"
     sets = materialize(found.mapInArrow(_sets(weights), schema).dropDuplicates(["row"]))
     met = blocks(sets, sets, ["family"], PIECE, PIECE)
@@ -420,14 +419,14 @@ def _family_links(hot: DataFrame, nodes: DataFrame, texts: DataFrame, weights, t
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough."""
+    """The pairs (a, b) of nodes that are similar enough; ``texts`` has the texts of nodes."""
     sig = nodes.select("node", "sig")
     signed = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(
         sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b"
     )
     likely = materialize(signed.select("a", "b", "sa", "sb").mapInArrow(_plausible(threshold), "a long, b long"))
-    asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k1", "k2"), "node")
-    found = materialize(texts.join(asked, ["k1", "k2"]).select("node", "text"))
+    asked = likely.select(F.explode(F.array("a", "b")).alias("node"))
+    found = materialize(texts.join(asked, "node", "left_semi"))
     with_a = likely.join(found.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
     with_b = with_a.join(found.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
     return materialize(with_b.select("a", "b", "ta", "tb").mapInArrow(_verify(weights, threshold), "a long, b long").distinct())
@@ -461,20 +460,23 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     low = keys.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
     buckets = materialize(keys.join(materialize(low), "key"))
     first = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    edges = _links(first, nodes, texts, weights, threshold)
+    # The texts of nodes that share a bucket, shuffled once.
+    wanted = nodes.join(buckets.select("node"), "node", "left_semi").select("node", "k1", "k2")
+    fetched = materialize(texts.join(wanted, ["k1", "k2"]).select("node", "text"))
+    edges = _links(first, nodes, fetched, weights, threshold)
     owner = materialize(components(edges))
     placed = materialize(buckets.join(owner, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("owner")))
     split = placed.groupBy("key").agg(F.min("owner").alias("x"), F.max("owner").alias("y")).where("x <> y").select("key")
     sizes = placed.groupBy("key").agg(F.count("*").alias("size"))
     left = materialize(placed.join(split, "key", "left_semi").join(sizes, "key"))
     hot = left.where(F.col("size") > PAIRED).select("key", "node", "owner")
-    met = _family_links(hot, nodes, texts, weights, threshold)
+    met = _family_links(hot, fetched, weights, threshold)
     # Both stand apart from the bucket's smallest node or in another component than it: pairs with it have been tried.
     rest = left.where((F.col("size") <= PAIRED) & (F.col("node") != F.col("low")))
     second = rest.alias("p").join(rest.alias("q"), "key").where("p.node < q.node AND p.owner <> q.owner").select(
         F.col("p.node").alias("a"), F.col("q.node").alias("b")
     ).distinct()
-    more = _links(second, nodes, texts, weights, threshold)
+    more = _links(second, nodes, fetched, weights, threshold)
     owner = materialize(components(edges.union(more).union(met)))
     placed = member.join(owner, "node", "left").select(
         "row", "doc_id", "k1", "k2", F.coalesce("component", "node").alias("component")
