@@ -11,6 +11,8 @@ import functools
 import hashlib
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -26,6 +28,23 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class _Words(dict):
+    """Ids of words, as bytes; the first ``kept`` of them stay."""
+
+    def __init__(self, encode, kept: int):
+        super().__init__()
+        self.encode, self.kept = encode, kept
+
+    def __missing__(self, word: str) -> bytes:
+        found = array("I", self.encode(word.encode()))
+        if sys.byteorder == "big":
+            found.byteswap()
+        ids = found.tobytes()
+        if len(self) < self.kept:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """``ids(text)``: little-endian unsigned 32-bit ids as bytes.  ``count(text)``: how many."""
 
@@ -37,8 +56,7 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.words: dict[str, bytes] = {}
-        self.kept, self.piece = kept, None
+        self.word = None
         letters, model = _byte_letters(), spec["model"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
         made = [model["vocab"].get("".join(m), -1) for m in merges]
@@ -49,7 +67,9 @@ class Encoder:
 
             special = {t["content"] for t in spec["added_tokens"]}
             ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-            self.piece = tiktoken.Encoding("file", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+            # One word is one piece: no pattern has to run over it again.
+            pieces = tiktoken.Encoding("file", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+            self.word = _Words(pieces.encode_single_piece, kept).__getitem__
             self.odd = re.compile("|".join(
                 [f"[^\\t-\\r\\x20-\\x7e{LETTERS[6:]}]", f"\\S{{{LONGEST_WORD}}}", f"\\s{{{LONGEST_WORD}}}", *map(re.escape, special)]
             ))
@@ -57,19 +77,10 @@ class Encoder:
                 f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+"
             ).findall
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            # One word is one piece: no pattern has to run over it again.
-            found = np.array(self.piece._core_bpe.encode_single_piece(word.encode()), dtype="<u4").tobytes()
-            if len(self.words) < self.kept:
-                self.words[word] = found
-        return found
-
     def ids(self, text: str) -> bytes:
-        if self.piece is None or self.odd.search(text):
+        if self.word is None or self.odd.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self._word, self.cut(text)))
+        return b"".join(map(self.word, self.cut(text)))
 
     def count(self, text: str) -> int:
         return len(self.ids(text)) // 4
