@@ -198,12 +198,14 @@ def search(table: DataFrame, k: int = 20, every: int = 20, target: float = TARGE
     ``table`` has vec_id and embedding; other columns are ignored.  Candidates are all rows but the query's own, ties go to the
     smaller vec_id (null last).  Vectors that are null, empty, zero or hold null or non-finite components take no part;
     those of an unusual dimension are compared with all of theirs.  Repeated rows are candidates each.  An empty table gives
-    an empty result.  The router is fitted on at most ``SAMPLE`` vectors; every vector is indexed.
+    an empty result.  The router is fitted on at most ``SAMPLE`` vectors; every vector is indexed.  Tables of every size are
+    routed, over two partitions at least, so the result is approximate unless all are asked; with at most 10 * ``k`` vectors
+    of the usual dimension there is nothing to fit on, and a query meets all rows.
     """
     rows = numbered(table).where("usable").select("row", "vec_id", "embedding")
     dim, total = usual_dim(rows), rows.count()
     drawn = sample(rows, SAMPLE, dim)
-    index = Index(drawn, total, k, target) if len(drawn) > 10 * k and total > 2 * PER_PART else None
+    index = Index(drawn, total, k, target) if len(drawn) > 10 * k else None
     routed = materialize(rows.mapInArrow(
         _assign(index, dim, every), "row long, vec_id long, vector binary, dim int, part int, ask boolean"
     ))

@@ -82,6 +82,31 @@ def test_search_against_all_rows(spark):
     assert hits >= 0.9 * total
 
 
+def test_search_is_routed_at_every_size(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    x = np.array([v for _ in range(24) for v in family(random, 16, 50, 0.5)])
+    built = []
+
+    class Watched(vector_search.Index):
+        def __init__(self, *of):
+            super().__init__(*of)
+            built.append(self)
+
+    monkeypatch.setattr(vector_search, "Index", Watched)
+    for per_part, parts in ((vector_search.PER_PART, 2), (150, 8)):
+        monkeypatch.setattr(vector_search, "PER_PART", per_part)
+        got = {}
+        for r in vector_search.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        index = built.pop()
+        assert not built and index.router(x).shape[1] == parts
+        assert parts == 2 or index.ask < parts
+        asked = np.arange(0, len(x), 20)
+        near = vector_search.neighbours(x, asked, 20)
+        assert set(got) == set(asked.tolist()) and all(len(v) == 20 for v in got.values())
+        assert sum(len(got[q] & set(n)) for q, n in zip(asked.tolist(), near.tolist(), strict=True)) >= 0.9 * near.size
+
+
 def test_learned_partitions_are_balanced_and_find_neighbours():
     random = np.random.default_rng(2)
     x = np.array([v for _ in range(60) for v in family(random, 24, 60, 0.6)])
