@@ -1,8 +1,9 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents.  Words in which letters stand beside look-alike digits and signs,
-long repeats or separators, and runs of single letters, are lattices: each place offers the letters that it may stand for, and
-Viterbi decoding under the model finds the likeliest words.  Restored words join the text's own.
+repeats or separators, and runs of single letters, are lattices: each place offers the letters that it may stand for,
+separators and the gaps of a run also the border of a word, and Viterbi decoding under the model finds the likeliest words,
+whatever their length.  Restored words join the text's own.
 
 A text is scored by its words and word beginnings that toxic training texts hold far more often than others; a
 logistic regression, fitted across folds, turns the strongest of them into a probability.
@@ -14,6 +15,7 @@ import heapq
 import math
 import re
 from collections import Counter
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ TRAINING_ROWS = 10_000  # of each class
 LEXICON = 20_000
 LEAST_DOCS = 3
 BEGINNINGS = (4, 5, 6)
-LONGEST = 32  # characters of a word that is decoded; the channel writes no longer ones
 HYPOTHESES = 4
 
 # What a sign may stand for.
@@ -42,14 +43,18 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóô
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIZE = len(LETTERS) + 1  # code 0 is the border of a word
 EDGE = ".,;:!?\"'()[]{}<>*%#&$|-_~`^/\\=+…“”«»’‘"
-INNER = re.compile(rf"[^\W\d_][{re.escape(''.join(LOOKS_LIKE) + SEPARATORS)}]+[^\W\d_]|[{re.escape(''.join(LOOKS_LIKE))}][^\W\d_]|[^\W\d_][{re.escape(''.join(LOOKS_LIKE))}]|(.)\1\1")
-REPEAT = re.compile(r"(.)\1\1")
+INNER = re.compile(rf"[^\W\d_][{re.escape(''.join(LOOKS_LIKE) + SEPARATORS)}]+[^\W\d_]|[{re.escape(''.join(LOOKS_LIKE))}][^\W\d_]|[^\W\d_][{re.escape(''.join(LOOKS_LIKE))}]|(.)\1")
+REPEAT = re.compile(r"(.)\1")
 STOPS = ".,;:!?)\"'"
 WORDS_KEPT = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 ONE = rf"[^\W_]|[{re.escape(''.join(c for c in LOOKS_LIKE if not c.isalnum()))}]"
-SPACED = re.compile(rf"(?<!\S)(?:{ONE})(?:[ .\-_*]{{1,2}}(?:{ONE})){{3,{LONGEST}}}(?![^\s.,!?])")
+GAP = r"[ .\-_*]{1,2}"
+# Every letter of a run is followed by a gap or an end, so a search never goes back.
+SPACED = re.compile(rf"(?<!\S)(?:{ONE})(?:{GAP}(?:{ONE})(?![^\s.,!?\-_*])){{3,}}+")
 KEEP, SUBSTITUTE, DROP, SHORTEN = 0.0, 1.0, 0.5, 0.3  # costs of the channel, in nats
+ODD_GAP = 3.0  # of a gap inside a word that is not like those before it
+BORDERS = (3.0, 1.5, 0.0, -1.5)
 
 TABLE = np.zeros(0x250, dtype=np.int64)
 for _letter, _code in CODE.items():
@@ -97,8 +102,11 @@ def character_model(texts: DataFrame) -> CharacterModel:
     return CharacterModel(counts)
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each place of an obfuscated word, the strings that it may stand for, and their cost."""
+def lattice(word: str, borders: bool = False) -> list[list[tuple[str, float]]]:
+    """For each place of an obfuscated word, the strings that it may stand for, and their cost.
+
+    With ``borders`` a separator may also be a space, which ends a word.
+    """
     places: list[list[tuple[str, float]]] = []
     at = 0
     while at < len(word):
@@ -110,7 +118,9 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             options.append(("", DROP))
         if not options:
             options = [("", 2.0)]
-        if run == 1:
+        if c in SEPARATORS or c.isspace():
+            places.append(options + [(" ", KEEP)] if borders else options)
+        elif run == 1:
             places.append(options)
         elif run == 2:
             places.append([(x, cost) for x, cost in options] + [(2 * x, cost) for x, cost in options if x])
@@ -120,27 +130,67 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return places
 
 
-def decode(word: str, model: CharacterModel, best: int = HYPOTHESES) -> list[str]:
-    """The likeliest words behind ``word``: Viterbi over the lattice, states are the last two letters."""
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    log = model.log
-    for options in lattice(word):
-        found: dict[tuple[int, int], list[tuple[float, str]]] = {}
+def spaced_lattice(run: str, border: float) -> list[list[tuple[str, float]]]:
+    """The lattice of a run of single letters: each gap is nothing or, at a cost of ``border``, the border of a word."""
+    parts = re.split(f"({GAP})", run)
+    gaps = parts[1::2]
+    usual = gaps[1]  # a run has three gaps at least
+    places = lattice(parts[0])
+    for gap, later, letter in zip(gaps, [*gaps[1:], ""], parts[2::2], strict=True):
+        places.append([("", KEEP if gap == usual else ODD_GAP), (" ", border)])
+        places.extend(lattice(letter))
+        usual = gap if gap == later else usual
+    return places
+
+
+def likeliest(places: list[list[tuple[str, float]]], model: CharacterModel, best: int = HYPOTHESES) -> list[str]:
+    """The likeliest strings of a lattice: Viterbi, states are the last two letters."""
+    # A hypothesis is its score, the one that it goes on from, and what it adds.
+    states: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, None, "")]}
+    log, score_of = model.log, itemgetter(0)
+    for options in places:
+        found: dict[tuple[int, int], list[tuple]] = {}
         for (a, b), kept in states.items():
             for letters, cost in options:
+                if letters == " " and not b:  # a border follows a letter
+                    continue
                 x, y, gain = a, b, -cost
                 for c in letters:
-                    z = CODE[c]
+                    z = CODE.get(c, 0)
                     gain += log[x][y][z]
                     x, y = y, z
-                found.setdefault((x, y), []).extend((score + gain, text + letters) for score, text in kept)
-        states = {k: heapq.nlargest(2, v) for k, v in found.items()}
-    ends = [(score + log[a][b][0], text) for (a, b), kept in states.items() for score, text in kept if text]
-    # Drops shorten a word; compare by what each letter costs.
-    ends = [(score / (len(text) + 1), text) for score, text in ends]
+                found.setdefault((x, y), []).extend([(h[0] + gain, h, letters) for h in kept])
+        states = {k: v if len(v) < 3 else heapq.nlargest(2, v, key=score_of) for k, v in found.items()}
+    ends = []
+    for (a, b), kept in states.items():
+        for hypothesis in kept:
+            score, parts, h = hypothesis[0] + (log[a][b][0] if b else 0.0), [], hypothesis
+            while h is not None:
+                parts.append(h[2])
+                h = h[1]
+            text = "".join(reversed(parts)).strip()
+            if text:
+                # Drops shorten a word; compare by what each letter costs.
+                ends.append((score / (len(text) + 1), text))
     return list(dict.fromkeys(text for _, text in heapq.nlargest(best, ends)))
 
 
+def decode(word: str, model: CharacterModel, best: int = HYPOTHESES) -> list[str]:
+    """The likeliest words behind ``word``, taken as one word and, if it has separators, as several."""
+    found = likeliest(lattice(word), model, best)
+    if any(c in SEPARATORS for c in word):
+        found += [w for text in likeliest(lattice(word, borders=True), model, best) for w in text.split()]
+    return list(dict.fromkeys(found))
+
+
+def decode_run(run: str, model: CharacterModel, best: int = HYPOTHESES) -> list[str]:
+    """The likeliest words behind a run of single letters, taken as one word and as several."""
+    found = likeliest(lattice(re.sub(r"[\s.\-_*]", "", run)), model, best)
+    for border in BORDERS:  # from few words to many
+        found += [w for text in likeliest(spaced_lattice(run, border), model, best) for w in text.split()]
+    return list(dict.fromkeys(found))
+
+
 def words_of(text: str, model: CharacterModel, known: dict[str, tuple[str, ...]] | None = None) -> set[str]:
     """Words of a lower-case text without marks at their edges, and the words restored from obfuscated ones."""
     known = {} if known is None else known
@@ -153,15 +203,15 @@ def words_of(text: str, model: CharacterModel, known: dict[str, tuple[str, ...]]
         word = token.strip(EDGE)
         if word:
             found.add(word)
-        if len(word) <= LONGEST and len(base) <= 2 * LONGEST and LETTER.search(base):
+        if LETTER.search(base):
             restored = known.get(base)
             if restored is None:
-                restored = tuple(r for w in {word, base} if INNER.search(w) and len(w) <= LONGEST for r in decode(w, model))
+                restored = tuple(r for w in {word, base} if INNER.search(w) for r in decode(w, model))
                 if len(known) < WORDS_KEPT:
                     known[base] = restored
             found.update(restored)
     for match in SPACED.finditer(text):
-        found.update(decode(re.sub(r"[\s.\-_*]", "", match[0]), model))
+        found.update(decode_run(match[0], model))
     return found
 
 

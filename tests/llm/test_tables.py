@@ -319,6 +319,24 @@ def test_deobfuscation():
     assert toxicity.words_of("", model) == set()
 
 
+def test_deobfuscation_of_any_length():
+    counts = np.zeros(toxicity.SIZE**3, dtype=np.int64)
+    import pyarrow as pa
+
+    text = "you are an idiot and a stupid man or a worthless loser and the moron is a scumbag that we know " * 50
+    for batch in toxicity._trigrams([pa.RecordBatch.from_arrays([pa.array([text])], ["t"])]):
+        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    model = toxicity.CharacterModel(counts)
+    for hidden, words in (
+        ("idi" + "o" * 30 + "t", {"idiot"}), ("stuupid", {"stupid"}), ("1d10t/m0r0n/w0rthless/l0s3r/scumb4g", {"idiot", "moron", "loser", "scumbag"}),
+        ("y o u a r e a n i d i o t", {"idiot"}), ("a s t u p i d man", {"stupid"}), ("i.d.i.o.t s c u m b a g", {"idiot", "scumbag"}),
+        (" ".join("youareanidiotandastupidmanoraworthlessloserandthemoronisascumbag"), {"idiot", "stupid", "worthless", "loser", "moron", "scumbag"}),
+        ("st.u.p.i.d/" * 20 + "1d10t", {"stupid", "idiot"}),
+    ):
+        assert words <= toxicity.words_of(f"such {hidden} this", model), hidden
+    assert toxicity.words_of("a1" * 5_000 + " " + "b- " * 5_000 + "c;", model)
+
+
 def test_statistics_of_whole_texts():
     text = "Ab ab, cd!\n12 $ " * 3
     data = np.frombuffer(text.encode(), np.uint8)
