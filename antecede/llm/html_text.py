@@ -35,6 +35,15 @@ NOT_TEXT = frozenset(
     " notification overlay pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar"
     " signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# Words that leave what a class or id names as it is: 'site-footer' is a footer, 'has-sidebar' and 'header-fixed' are none.
+PLACES = frozenset(
+    "area article bar block blog body bottom box container entry global inner item items left link links list local lower main outer"
+    " page panel post primary right row secondary section site slot top unit upper wrap wrapper".split()
+)
+COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
+TITLES = frozenset("disclaimer discussion notice notices related replies reply respond share sharing".split())  # ids of chapters, too
+ANSWERS = frozenset("comment comments reply replies".split())  # all that an article may be other than the text
+UNMARKED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 REGIONS = {"main": 1, "article": 2}
 
@@ -47,27 +56,65 @@ MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
-def is_noise(name: str, attributes: str) -> bool:
-    """Whether an element's class, id or role says that it is not part of the article."""
-    if not attributes or name in ("html", "body", "main"):
-        return False
+def names(token: str) -> set[str]:
+    """The marks that a whole class or id names; none if another word makes something else of them."""
+    words = set(re.split(r"[^a-z]+", token.lower())) - {""}
+    found = words & NOT_TEXT
+    return found if found and not words - NOT_TEXT - PLACES else set()
+
+
+def marks_of(name: str, attributes: str, inside: bool = False) -> set[str]:
+    """What an element's class, id or role says that it is other than the article; ``inside`` an article, ids may be of chapters."""
+    found: set[str] = set()
+    if not attributes or name in UNMARKED:
+        return found
     for kind, *values in MARKS.findall(attributes):
-        words = re.split(r"[^a-z]+", "".join(values).lower())
-        if kind.lower() == "role":
-            if ROLES.intersection(words):
-                return True
-        elif NOT_TEXT.intersection(words):
-            return True
-    return bool(HIDDEN.search(attributes))
+        value, kind = "".join(values), kind.lower()
+        if kind == "role":
+            found |= ROLES.intersection(re.split(r"[^a-z]+", value.lower()))
+            continue
+        for token in value.split():
+            found |= names(token) - (TITLES if kind == "id" and inside and name == "section" else set())
+    return found & ANSWERS if name == "article" else found
+
+
+def is_hidden(name: str, attributes: str) -> bool:
+    return bool(attributes) and name not in ("html", "body", "main") and bool(HIDDEN.search(attributes))
+
 
+def wrappers(page: str) -> set[int]:
+    """Where marked elements begin that hold more than half of the page's text and are not comments."""
+    opened: dict[str, list[tuple[int, int, bool]]] = {}
+    held: list[tuple[int, int]] = []
+    at = total = 0
+    for found in TOKEN.finditer(page):
+        total += len(page[at : found.start()].strip())
+        at, name = found.end(), (found[2] or "").lower()
+        if not name or name in INLINE or name in VOID:
+            continue
+        if not found[1]:
+            marks = marks_of(name, found[3])
+            opened.setdefault(name, []).append((found.start(), total, bool(marks) and not marks & COMMENTS))
+        elif opened.get(name):
+            start, before, marked = opened[name].pop()
+            if marked:
+                held.append((start, total - before))
+    return {start for start, size in held if 2 * size > total}
+
+
+def lines_of(page: str, marks: bool = True, spared: frozenset[int] | set[int] = frozenset()) -> tuple[list[tuple[str, int, int]], bool]:
+    """(text, characters outside links, region) of each block of a page that is not noise; noise is an empty line.
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, region) of each block of a page that is not noise; noise is an empty line."""
+    Class, id and role say nothing without ``marks`` and at the places ``spared``.  Also: whether more text was left out by
+    them than kept.
+    """
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = region_1 = region_2 = links = 0
     skipped, depth, by_mark = "", 0, False
-    at, lowered = 0, None
+    at, lowered, left_out, kept = 0, None, 0, 0
+    is_noise = lambda: is_hidden(name, found[3]) or (
+        marks and found.start() not in spared and bool(marks_of(name, found[3], region_1 + region_2 > 0)))
 
     def end_line() -> None:
         nonlocal linked
@@ -81,7 +128,10 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     while at < len(page):
         found = TOKEN.search(page, at)
         start = found.start() if found else len(page)
+        if skipped and by_mark:
+            left_out += start - at
         if start > at and not skipped:
+            kept += start - at
             parts.append(page[at:start])
             if links:
                 linked += len(page[at:start].strip())
@@ -91,7 +141,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if not name:
             continue
         closing = bool(found[1])
-        if skipped and not closing and by_mark and name in REGIONS and not is_noise(name, found[3]):
+        if skipped and not closing and by_mark and name in REGIONS and not is_noise():
             skipped = ""
         if skipped:
             if skipped == "p":  # its end tag may be left out: any block ends it
@@ -136,14 +186,14 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             end = lowered.find(f"</{name}", at)
             at = len(page) if end < 0 else end
             continue
-        marked = is_noise(name, found[3])
+        marked = is_noise()
         if name in DROPPED or marked:
             lowered = lowered or page.lower()
             if name in ENDS_ITSELF or lowered.find(f"</{name}", at) >= 0:
                 if name in INLINE:
                     end_line()
                 lines.append(("", 0, 0))
-                skipped, depth, by_mark = name, 1, marked and name not in DROPPED
+                skipped, depth, by_mark = name, 1, name == "form" or marked and name not in DROPPED
             continue
         if name == "a":
             links += 1
@@ -152,12 +202,21 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         elif name == "main":
             region_1 += 1
     end_line()
-    return lines
+    return lines, left_out > kept
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The blocks between surge and dive of the line-block distribution, joined by line ends; empty if none."""
-    lines = lines_of(page) if page else []
+    if not page:
+        return ""
+    lines, doubtful = lines_of(page)
+    if doubtful and (spared := wrappers(page)):
+        lines, _ = lines_of(page, spared=spared)
+    # If nothing but noise is found, the marks were wrong.
+    return text_of(lines, window, surge) or text_of(lines_of(page, marks=False)[0], window, surge)
+
+
+def text_of(lines: list[tuple[str, int, int]], window: int, surge: int) -> str:
     region = max((r for _, _, r in lines), default=0)
     marked = region > 0
     weights = [

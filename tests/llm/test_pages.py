@@ -32,6 +32,21 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    *((f"<body><div class='{c}'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class='site-footer'>foot</div>", f"Title\n{LONG.strip()}\n{LONG.strip()}")
+      for c in ("content has-sidebar", "page no-sidebar", "site header-fixed", "widget")),
+    ("<article class='post comments-open'><p>body</p></article>", "body"),
+    ("<article><h2 id='how-to-share-files'>Share</h2><p>a</p><h2 id='ad-hoc-networks'>Ad hoc</h2></article>", "Share\na\nAd hoc"),
+    ("<article><section id='discussion'><p>a</p></section><section id='related-work'><p>b</p></section><section id='comments'><p>c</p></section></article>", "a\nb"),
+    ("<form><div>x</div><main><p>in a form</p></main></form>", "in a form"),
+    (f"<div class='post-navigation'>next</div><div><p>{LONG}</p></div><div class='comments'>{'<p>' + LONG + '</p>'}{'<p>' + LONG + '</p>'}</div>", LONG.strip()),
+    ("<div class='comments'><p>only this</p></div>", "only this"),
+    ("<article><p>a</p></article><div class='comments'><article class='comment-body'><p>b</p></article></div>", "a"),
+])
+def test_marks_name_whole_elements(page, text):
+    assert main_text(page) == text
+
+
 def test_links_do_not_make_a_surge():
     links = "".join(f"<p><a href=x>{LONG}</a></p>" for _ in range(5))
     assert main_text(f"<body>{links}<div></div><p>{LONG}</p></body>") == LONG.strip()
