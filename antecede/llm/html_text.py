@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one for each block of the page.  A line weighs as much as its text, or nothing
 if it stands in a menu, header, footer, sidebar, notice, advert, form or among comments, or is mostly links.  Weights
-are summed over sliding windows of lines; the text starts where the sum surges and ends where it dives to nothing.
+are summed over sliding windows of lines; the text starts where the sum surges and ends where it dives to nothing.  It is then
+widened to the element that holds it: all lines with weight there, and between them paragraphs of links.
 Where a page marks its article (``article``, else ``main``), lines outside weigh nothing and any weight is a surge.
 """
 
@@ -42,6 +43,7 @@ PLACES = frozenset(
 )
 COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
 TITLES = frozenset("disclaimer discussion notice notices related replies reply respond share sharing".split())  # ids of chapters, too
+BLOCKS_OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ANSWERS = frozenset("comment comments reply replies".split())  # all that an article may be other than the text
 UNMARKED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
@@ -102,13 +104,56 @@ def wrappers(page: str) -> set[int]:
     return {start for start, size in held if 2 * size > total}
 
 
-def lines_of(page: str, marks: bool = True, spared: frozenset[int] | set[int] = frozenset()) -> tuple[list[tuple[str, int, int]], bool]:
-    """(text, characters outside links, region) of each block of a page that is not noise; noise is an empty line.
+class Tree:
+    """The block elements of a page in the order in which they begin, each with what holds it."""
+
+    def __init__(self):
+        self.names, self.above, self.open, self.count = [""], [0], [0], {}
+
+    def _pop(self) -> None:
+        self.count[self.names[self.open.pop()]] -= 1
+
+    def begin(self, name: str) -> None:
+        top = self.names[self.open[-1]]
+        if top == "p" or top == name and name in ENDS_ITSELF:  # its end tag was left out
+            self._pop()
+        self.names.append(name)
+        self.above.append(self.open[-1])
+        self.open.append(len(self.names) - 1)
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def end(self, name: str) -> None:
+        if self.count.get(name):
+            while self.names[self.open[-1]] != name:
+                self._pop()
+            self._pop()
+
+    def holder(self, nodes: list[int]) -> int:
+        """The element that holds all of ``nodes``: itself one of them only if it has other elements."""
+        low, high = min(nodes), max(nodes)
+        while low != high:  # what begins later is climbed from
+            if low < high:
+                high = self.above[high]
+            else:
+                low = self.above[low]
+        return self.above[low] if len(set(nodes)) == 1 else low
+
+    def within(self, holder: int) -> list[bool]:
+        found = [False] * len(self.names)
+        found[holder] = True
+        for node in range(holder + 1, len(found)):
+            found[node] = found[self.above[node]]
+        return found
+
+
+def lines_of(page: str, marks: bool = True, spared: frozenset[int] | set[int] = frozenset()) -> tuple[list[tuple[str, int, int, int]], Tree, bool]:
+    """(text, characters outside links, region, element) of each block of a page that is not noise; noise is an empty line.
 
     Class, id and role say nothing without ``marks`` and at the places ``spared``.  Also: whether more text was left out by
     them than kept.
     """
-    lines: list[tuple[str, int, int]] = []
+    lines: list[tuple[str, int, int, int]] = []
+    tree = Tree()
     parts: list[str] = []
     linked = region_1 = region_2 = links = 0
     skipped, depth, by_mark = "", 0, False
@@ -121,7 +166,7 @@ def lines_of(page: str, marks: bool = True, spared: frozenset[int] | set[int] =
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), 2 if region_2 else 1 if region_1 else 0))
+                lines.append((text, max(0, len(text) - linked), 2 if region_2 else 1 if region_1 else 0, tree.open[-1]))
         parts.clear()
         linked = 0
 
@@ -176,6 +221,8 @@ def lines_of(page: str, marks: bool = True, spared: frozenset[int] | set[int] =
                 region_2 = max(0, region_2 - 1)
             elif name == "main":
                 region_1 = max(0, region_1 - 1)
+            if name not in INLINE:
+                tree.end(name)
             continue
         if name == "br":
             parts.append(" ")
@@ -192,9 +239,11 @@ def lines_of(page: str, marks: bool = True, spared: frozenset[int] | set[int] =
             if name in ENDS_ITSELF or lowered.find(f"</{name}", at) >= 0:
                 if name in INLINE:
                     end_line()
-                lines.append(("", 0, 0))
+                lines.append(("", 0, 0, 0))
                 skipped, depth, by_mark = name, 1, name == "form" or marked and name not in DROPPED
             continue
+        if name not in INLINE:
+            tree.begin(name)
         if name == "a":
             links += 1
         elif name == "article":
@@ -202,41 +251,45 @@ def lines_of(page: str, marks: bool = True, spared: frozenset[int] | set[int] =
         elif name == "main":
             region_1 += 1
     end_line()
-    return lines, left_out > kept
+    return lines, tree, left_out > kept
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The blocks between surge and dive of the line-block distribution, joined by line ends; empty if none."""
     if not page:
         return ""
-    lines, doubtful = lines_of(page)
+    lines, tree, doubtful = lines_of(page)
     if doubtful and (spared := wrappers(page)):
-        lines, _ = lines_of(page, spared=spared)
+        lines, tree, _ = lines_of(page, spared=spared)
     # If nothing but noise is found, the marks were wrong.
-    return text_of(lines, window, surge) or text_of(lines_of(page, marks=False)[0], window, surge)
+    return text_of(lines, tree, window, surge) or text_of(*lines_of(page, marks=False)[:2], window, surge)
 
 
-def text_of(lines: list[tuple[str, int, int]], window: int, surge: int) -> str:
-    region = max((r for _, _, r in lines), default=0)
-    marked = region > 0
-    weights = [
-        0 if r < region else len(text) if marked else n if 2 * n >= len(text) else 0 for text, n, r in lines
-    ]
+def text_of(lines: list[tuple[str, int, int, int]], tree: Tree, window: int, surge: int) -> str:
+    region = max((r for _, _, r, _ in lines), default=0)
+    if region:
+        return "\n".join(text for text, _, r, _ in lines if text and r == region)
+    weights = [n if 2 * n >= len(text) else 0 for text, n, _, _ in lines]
     sums, total = [0] * len(lines), 0
     for i in range(len(lines) - 1, -1, -1):
         total += weights[i] - (weights[i + window] if i + window < len(lines) else 0)
         sums[i] = total
     kept, inside = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if inside:
-            inside = sums[i] > 0
-        else:
-            inside = sums[i] > (0 if marked else surge)
+    for i in range(len(lines)):
+        inside = sums[i] > (0 if inside else surge)
         if inside and weights[i]:
-            kept.append(text)
-    if not kept and not marked:  # a page too short for any surge
-        kept = [text for (text, _, _), weight in zip(lines, weights, strict=True) if weight]
-    return "\n".join(kept)
+            kept.append(i)
+    if kept:
+        within = tree.within(tree.holder([lines[i][3] for i in kept]))
+        kept = [i for i, weight in enumerate(weights) if weight and within[lines[i][3]]]
+    else:  # a page too short for any surge
+        kept = [i for i, weight in enumerate(weights) if weight]
+        within = [True] * len(tree.names)
+    linked = [
+        i for i in range(kept[0], kept[-1]) if lines[i][0] and not weights[i] and within[node := lines[i][3]]
+        and (lines[i][1] or tree.names[node] in BLOCKS_OF_TEXT)
+    ] if kept else []
+    return "\n".join(lines[i][0] for i in sorted(kept + linked))
 
 
 def _extract(batches):

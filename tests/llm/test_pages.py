@@ -47,6 +47,23 @@ def test_marks_name_whole_elements(page, text):
     assert main_text(page) == text
 
 
+ADVERTS = "<div class=ad>buy</div>" * 3
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div><a href=1>Home</a></div><div><h1>Head</h1><p>{'a' * 10}<p>{'b' * 10}<p>{'c' * 300}</div>",
+     f"Head\n{'a' * 10}\n{'b' * 10}\n{'c' * 300}"),
+    (f"<div><p>{'c' * 300}</p>{ADVERTS}<p>{'d' * 40}</p><p>{'e' * 30}</p><p>fffff</p></div>", f"{'c' * 300}\n{'d' * 40}\n{'e' * 30}\nfffff"),
+    (f"<div><p>{LONG}</p><p>see <a href=x>{LONG}</a></p><p>{LONG}</p></div><div><p><a href=y>{LONG}</a></p></div>",
+     f"{LONG.strip()}\nsee {LONG.strip()}\n{LONG.strip()}"),
+    (f"<div><span><a href=1>{LONG}</a></span></div><div><p>{LONG}<p>{LONG}<ul><li>one<li>two</ul></div>",
+     f"{LONG.strip()}\n{LONG.strip()}\none\ntwo"),
+    ("<div>" * 3_000 + f"<p>{LONG}</p>" + "</div>" * 3_000, LONG.strip()),
+])
+def test_the_text_is_widened_to_its_element(page, text):
+    assert main_text(page) == text
+
+
 def test_links_do_not_make_a_surge():
     links = "".join(f"<p><a href=x>{LONG}</a></p>" for _ in range(5))
     assert main_text(f"<body>{links}<div></div><p>{LONG}</p></body>") == LONG.strip()
