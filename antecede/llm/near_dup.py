@@ -5,7 +5,8 @@
 2. Every document gets ``BANDS * ROWS`` samples (improved consistent weighted sampling): two documents agree in a sample with
    the probability of their weighted Jaccard similarity.  Documents with the same words in the same order are one node.
 3. Nodes that agree in a whole band meet the smallest node of that band's bucket.  Then, within each bucket, nodes whose
-   components still differ meet.  A pair whose samples do not already speak against it is verified on the whole texts.
+   components still differ meet.  A pair whose samples do not already speak against it is verified on the whole texts:
+   its weighted or its plain similarity, without weights, must reach the threshold.
    Nodes of buckets of more than ``PAIRED`` nodes are not paired: they are dealt into families, and pieces of a family
    meet in blocks, where all similarities are one matrix product; a block gives a spanning forest of its links.
 4. Connected components of the verified links are the groups.
@@ -304,20 +305,23 @@ def _plausible(threshold: float):
 
 
 def similarities(left: list[str], right: list[str], weigh) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts (fewer than 500 pairs)."""
+    """The greater of the weighted and the plain Jaccard similarity of each pair of texts (fewer than 500 pairs)."""
     texts = [t for pair in zip(left, right, strict=True) for t in pair]
     raw = [t.encode() for t in texts]
     ends = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
     keys, counts = shingles_of(*words_of(np.frombuffer(b"".join(raw), np.uint8), ends))
-    w, doc = weigh(keys, counts).astype(np.float64), (keys >> U(KEY)).astype(np.int64)
+    doc = (keys >> U(KEY)).astype(np.int64)
     pair = doc >> 1
     joint = (pair.astype(U) << U(KEY)) | (keys & MASK)
     order = np.argsort(joint, kind="stable")
-    joint, w, pair = joint[order], w[order], pair[order]
+    joint, pair = joint[order], pair[order]
     same = np.flatnonzero(joint[1:] == joint[:-1])
-    both = np.bincount(pair[same], np.minimum(w[same], w[same + 1]), minlength=len(left))
-    total = np.bincount(pair, w, minlength=len(left))
-    return both / np.maximum(total - both, 1e-12)
+    found = np.zeros(len(left))
+    for w in (weigh(keys, counts).astype(np.float64)[order], counts.astype(np.float64)[order]):
+        both = np.bincount(pair[same], np.minimum(w[same], w[same + 1]), minlength=len(left))
+        total = np.bincount(pair, w, minlength=len(left))
+        found = np.maximum(found, both / np.maximum(total - both, 1e-12))
+    return found
 
 
 def _verify(weights, threshold: float):
@@ -375,9 +379,10 @@ def _meet(threshold: float):
         sides = [part[~part["asked"]], part[part["asked"]]]
         (e1, d1, w1), (e2, d2, w2) = (_elements(s) for s in sides)
         n1, n2 = (len(s) for s in sides)
-        total = np.bincount(d1, w1, n1)[:, None] + np.bincount(d2, w2, n2)[None]
+        sums = lambda w1, w2: np.bincount(d1, w1, n1)[:, None] + np.bincount(d2, w2, n2)[None]
+        total, plain_total = sums(w1, w2), sums(None, None)
         shared = np.intersect1d(e1, e2)
-        both = np.zeros((n1, n2))
+        both, plain = np.zeros((n1, n2)), np.zeros((n1, n2))
         places = []
         for e, d, w in ((e1, d1, w1), (e2, d2, w2)):
             at = np.searchsorted(shared, e)
@@ -394,7 +399,8 @@ def _meet(threshold: float):
                 grid[d[a:b], at[a:b] - low] = w[a:b]
                 grids.append(grid)
             both += grids[0] @ grids[1].T
-        hits = both / np.maximum(total - both, 1e-12) >= threshold - 1e-9
+            plain += (grids[0] > 0).astype(np.float64) @ (grids[1] > 0).astype(np.float64).T
+        hits = np.maximum(both / np.maximum(total - both, 1e-12), plain / np.maximum(plain_total - plain, 1e-12)) >= threshold - 1e-9
         rows, owners = [s["row"].to_numpy() for s in sides], np.concatenate([s["owner"].to_numpy() for s in sides])
         least = np.concatenate(spread(hits, *rows))
         rows = np.concatenate(rows)

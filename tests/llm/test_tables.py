@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,32 @@ def test_empty_tables(spark, name):
     assert run[name]().collect() == []
 
 
+def test_plain_similarity_counts_in_a_large_group(spark):
+    """Shared shingles of a group of most rows weigh less: 0.811 of plain similarity is 0.794 weighted, and still a link."""
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(100)]
+    near = [f"x{i}" for i in range(10)] + base[10:]
+    a, b = shingles(" ".join(base)), shingles(" ".join(near))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.82
+    rows = [(i, " ".join(base), "s") for i in range(300)] + [(1000, " ".join(near), "s")]
+    rows += [(2000 + i, f"{i} other words of a text {i} that is alone {i}", "s") for i in range(100)]
+    got = {r.doc_id: r.group_id for r in near_dup.groups(docs(spark, rows)).collect()}
+    assert got[1000] == 0 and got[2000] == 2000
+
+    class Shared:
+        value = staticmethod(lambda keys, counts: (np.where(np.isin(keys & near_dup.MASK, common), 0.81, 1.0) * counts).astype(np.float32))
+
+    texts = [" ".join(base), " ".join(near)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    keys, _ = near_dup.shingles_of(*near_dup.words_of(data, np.array([0, len(texts[0]), len(data)])))
+    common = keys[keys >> near_dup.U(near_dup.KEY) == 0] & near_dup.MASK
+    batch = pa.RecordBatch.from_pydict({"row": [1, 2], "owner": [1, 2], "family": [1, 1], "text": texts})
+    part = pa.Table.from_batches(list(near_dup._sets(Shared)([batch]))).to_pandas()
+    both = pd.concat([part.assign(asked=False), part.assign(asked=True)])
+    assert near_dup._meet(0.8)(both).values.tolist() == [[2, 1]] and near_dup._meet(0.82)(both).empty
+
+
 def test_large_buckets_are_met_in_blocks(spark, monkeypatch):
     """The same groups whether buckets are paired or dealt into blocks of a few nodes; and those of all pairs."""
     random = np.random.default_rng(6)
