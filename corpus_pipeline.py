@@ -55,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL expresses neither the models nor the packing; tests/llm holds the stages against brute force.
+#: SQL expresses neither the models nor the packing; tests/llm holds the operators, each on its own fixtures, not the stages in a row.
 ORACLE_SQL = None
 QUERIES = {"pipeline": run}
 ORACLES: dict[str, str] = {}
