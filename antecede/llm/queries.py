@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from antecede.llm import quality, toxicity
 from antecede.llm.html_text import extract
+from antecede.llm.id_output import round_trip
 from antecede.llm.mixing import mix
 from antecede.llm.near_dup import groups
 from antecede.llm.packing import pack
+from antecede.llm.phrases import phrases, phrases_sql
 from antecede.llm.secret_scan import scan, scan_sql
 from antecede.llm.token_counts import token_counts
 from antecede.llm.vector_links import links
@@ -26,6 +28,12 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +74,14 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), word_bpe())
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
@@ -77,6 +93,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_vector_links": op9_vector_links,
     "op10_vector_search": op10_vector_search,
+    "op12_phrases": op12_phrases,
+    "op13_token_ids": op13_token_ids,
 }
 
-ORACLES: dict[str, str] = {"op1_secrets": scan_sql()}
+ORACLES: dict[str, str] = {"op1_secrets": scan_sql(), "op12_phrases": phrases_sql()}
