@@ -188,6 +188,10 @@ def _kinds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kinds.astype(np.uint32), rank[ids], counts[kinds]
 
 
+def _checksum(ids: np.ndarray, body: bytes) -> int:
+    return zlib.crc32(body, zlib.crc32(ids.astype("<u4").tobytes()))
+
+
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The bytes of a shard.  ``ids``: those of all its documents in a row; ``lengths``: how many each has."""
     ids = np.asarray(ids, dtype=np.uint32)
@@ -202,12 +206,12 @@ def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, b
         parts = shares(counts, fine)
         tables = zlib.compress(np.diff(kinds, prepend=np.uint32(0)).astype("<u4").tobytes() + parts.astype("<u4").tobytes())
         n = -(-len(ids) // block)
-        sums = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(n)]
         padded = np.concatenate([ranks, np.zeros(n * block - len(ids), ranks.dtype)]).reshape(n, block)
         if n == 1:
             padded = padded[:, : len(ids)]
         for at in range(0, n, LANES):
             bodies += _write_blocks(padded[at : at + LANES], parts, fine)
+        sums = [_checksum(ids[i * block : (i + 1) * block], body) for i, body in enumerate(bodies)]
     sizes = np.array([len(b) for b in bodies], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
     rest = tables + index + sizes
     fields = (len(ids), len(doc_ids), block, len(kinds), len(tables), len(index))
@@ -246,6 +250,6 @@ def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         ids[first * block : first * block + ranks.size] = of_rank[np.minimum(ranks.ravel(), kinds - 1)]
     ids = ids[:n_ids]
     for i in range(n):
-        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != sums[i]:
+        if _checksum(ids[i * block : (i + 1) * block], bodies[i]) != sums[i]:
             raise DamagedShard(f"block {i} does not agree with its checksum")
     return docs, lengths, ids

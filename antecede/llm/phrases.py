@@ -6,7 +6,7 @@ bincount over their cells, all others as sorted coordinates.  The counts of all
 frequent are ranked by frequency themselves, and neighbouring pairs are counted the same way: a phrase of k words is the
 phrase of its first k - 1 words followed by that of its last k - 1, so five words need four rounds.
 
-A chunk holds at most ``CHUNK`` words (or one longer piece) and meets only the ranks of the words it holds, so no task needs
+A chunk holds about ``CHUNK`` words at most (more only of one piece) and meets only the ranks of the words it holds, so no task needs
 a whole vocabulary, and nothing of the corpus reaches the driver.
 """
 
@@ -62,12 +62,12 @@ class _Chunk:
         )
 
 
-def _cut(words: list[bytes]):
-    """Stretches of about ``CHUNK`` words that end with a piece."""
+def _cut(words: list[bytes], most: int):
+    """Stretches of about ``most`` words that end with a piece."""
     at = 0
-    while len(words) - at > CHUNK:
+    while len(words) - at > most:
         try:
-            end = words.index(END, at + CHUNK)
+            end = words.index(END, at + most)
         except ValueError:
             break
         yield words[at:end]
@@ -75,23 +75,24 @@ def _cut(words: list[bytes]):
     yield words[at:] if at else words
 
 
-def _chunks(batches):
-    open_, held = {}, 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for words in _cut(tokens(text.as_py())):
-                own = open_.setdefault(lang, _Chunk())
-                own.add(words)
-                held += len(words) + 1
-                if own.size >= CHUNK:
-                    held -= own.size
-                    yield open_.pop(lang).row(lang)
-            if held >= 2 * CHUNK:  # of many languages
-                for name, own in open_.items():
-                    yield own.row(name)
-                open_, held = {}, 0
-    for name, own in open_.items():
-        yield own.row(name)
+def _chunks(most: int):
+    def run(batches):
+        open_, held = {}, 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for words in _cut(tokens(text.as_py()), most):
+                    own = open_.setdefault(lang, _Chunk())
+                    own.add(words)
+                    held += len(words) + 1
+                    if own.size >= most:
+                        held -= own.size
+                        yield open_.pop(lang).row(lang)
+                if held >= 2 * most:  # of many languages
+                    yield from (own.row(name) for name, own in open_.items())
+                    open_, held = {}, 0
+        yield from (own.row(name) for name, own in open_.items())
+
+    return run
 
 
 def pair_index(codes: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,14 +183,16 @@ def _score(f: str, n: str, l: Column, r: Column) -> Column:  # noqa: E741
     return F.call_function("div", above.cast("decimal(38,0)"), (whole(l) * whole(r)).cast("decimal(38,0)"))
 
 
-def phrases(docs: DataFrame, longest: int = MOST_WORDS, least: int = LEAST_COUNT, kept: int = KEPT) -> DataFrame:
+def phrases(docs: DataFrame, longest: int = MOST_WORDS, least: int = LEAST_COUNT, kept: int = KEPT, chunk: int = CHUNK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``kept`` phrases of each language.
 
     ``docs``: text and lang; other columns are ignored.  A null text is empty, a null lang is ``und``.  Repeated rows
     count each.  Ties go by count, then by the bytes of the phrase.  Texts of any length are read whole.  An empty
     table, or one without a phrase that occurs ``least`` times, gives no row.
     """
-    cut = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_chunks, WORDS)
+    cut = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        _chunks(chunk), WORDS
+    )
     chunks = materialize(cut.withColumn("chunk", F.monotonically_increasing_id()))
     totals = materialize(
         chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))

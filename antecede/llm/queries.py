@@ -11,6 +11,7 @@ from antecede.llm.mixing import mix
 from antecede.llm.near_dup import groups
 from antecede.llm.packing import pack
 from antecede.llm.phrases import phrases, phrases_sql
+from antecede.llm.prefix_trie import PREFIX_TRIE_SQL, prefix_trie
 from antecede.llm.secret_scan import scan, scan_sql
 from antecede.llm.token_counts import token_counts
 from antecede.llm.vector_links import links
@@ -74,6 +75,10 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(table(spark, sf_dir, "documents"))
 
@@ -93,8 +98,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_vector_links": op9_vector_links,
     "op10_vector_search": op10_vector_search,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_phrases": op12_phrases,
     "op13_token_ids": op13_token_ids,
 }
 
-ORACLES: dict[str, str] = {"op1_secrets": scan_sql(), "op12_phrases": phrases_sql()}
+ORACLES: dict[str, str] = {"op1_secrets": scan_sql(), "op11_prefix_trie": PREFIX_TRIE_SQL, "op12_phrases": phrases_sql()}
