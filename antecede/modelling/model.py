@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions import argmax
-from antecede.modelling.prep import robust_apply, robust_fit
+from antecede.modelling.boost import fit_boosted, score_boosted
+from antecede.modelling.prep import robust_apply, robust_fit_without, vectors
 from antecede.session import materialize
 
 DEFAULTS = {"numTrees": 20, "maxDepth": 10, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7", "seed": 50}
 
-
-def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+Scorer = Callable[[DataFrame], DataFrame]
+Learner = Callable[[DataFrame, Column, Sequence[str], str, Mapping[str, object] | None], Scorer]
 
 
 def fit_classifier(
@@ -27,12 +29,12 @@ def fit_classifier(
 ) -> Model:
     """A seeded random forest: the distributed multiclass learner with probabilities."""
     forest = RandomForestClassifier(labelCol=label, featuresCol="features", **{**DEFAULTS, **(params or {})})
-    return forest.fit(_vectors(df.withColumn(label, F.col(label).cast("double")), features))
+    return forest.fit(vectors(df.withColumn(label, F.col(label).cast("double")), features))
 
 
 def score(model: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """``df`` with ``scores``, the class probabilities, and ``predicted``, the best class."""
-    out = model.transform(_vectors(df, features))
+    out = model.transform(vectors(df, features))
     return out.withColumn("scores", vector_to_array("probability")).withColumn("predicted", argmax(F.col("scores")))
 
 
@@ -48,26 +50,48 @@ def average_scores(frames: Sequence[DataFrame], key: str, scores: str = "scores"
     )
 
 
+def forest_learner(df: DataFrame, valid: Column, features: Sequence[str], label: str, params: Mapping[str, object] | None) -> Scorer:
+    """A forest on the rows where ``valid`` does not hold."""
+    model = fit_classifier(df.where(~valid), features, label, params)
+    return lambda rows: score(model, rows, features)
+
+
+def boosted_learner(classes: int, rounds: int = 100, patience: int = 10, rate: float = 0.1) -> Learner:
+    """Boosting that stops by the loss of the rows where ``valid`` holds."""
+
+    def learn(df: DataFrame, valid: Column, features: Sequence[str], label: str, params: Mapping[str, object] | None) -> Scorer:
+        model = fit_boosted(df, features, label, classes, valid, rounds, patience, rate, params)
+        return lambda rows: score_boosted(model, rows, features)
+
+    return learn
+
+
 def out_of_fold(
     df: DataFrame, features: Sequence[str], label: str, key: str, fold: str = "fold",
-    to_score: DataFrame | None = None, params: Mapping[str, object] | None = None,
+    to_score: DataFrame | None = None, params: Mapping[str, object] | None = None, learner: Learner = forest_learner, at_once: int = 4,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Scores every row by the model that did not see its fold.
 
-    Each fold fits its own scaler on its training part.  Also returns the
-    average of the folds' scores of ``to_score``, scaled alike, if given.
+    Each fold has its own scaler, of its training part; those of all folds come from one count of the values.  ``df`` should
+    be a table: a fold scales it once, as a table of vectors that its model reads.  At most ``at_once`` folds are fitted at
+    the same time.  Also returns the average of the folds' scores of ``to_score``, scaled alike, if given.
     """
+    spark = df.sparkSession
     numbers = sorted(r[0] for r in df.select(fold).distinct().collect())  # one row for each fold
-    held_out, foreign = None, []
-    for number in numbers:
-        train, rest = df.where(F.col(fold) != number), df.where(F.col(fold) == number)
-        stats = materialize(robust_fit(train, features))
-        model = fit_classifier(robust_apply(train, stats, features), features, label, params)
-        part = score(model, robust_apply(rest, stats, features), features).select(key, label, fold, "scores", "predicted")
-        held_out = part if held_out is None else held_out.unionByName(part)
-        if to_score is not None:
-            foreign.append(score(model, robust_apply(to_score, stats, features), features).select(key, "scores"))
-    return held_out, average_scores(foreign, key) if foreign else None
+    stats = materialize(robust_fit_without(df, features, fold, numbers))
+
+    def one(number: int) -> tuple[DataFrame, DataFrame | None]:
+        own = stats.where(F.col("without") == number).drop("without")
+        scaled = materialize(robust_apply(df, own, features))
+        scorer = learner(scaled, F.col(fold) == number, features, label, params)
+        part = scorer(scaled.where(F.col(fold) == number)).select(key, label, fold, "scores", "predicted")
+        foreign = None if to_score is None else scorer(robust_apply(to_score, own, features)).select(key, "scores")
+        return part, foreign
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(one), numbers))
+    held_out = functools.reduce(DataFrame.unionByName, [part for part, _ in parts])
+    return held_out, average_scores([f for _, f in parts], key) if to_score is not None else None
 
 
 def submission(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,14 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/antecede-{application}"
 
 
+def stored(df: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the work folder (a folder for each value of ``by``) and read back, and where it lies."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns)), path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the work folder and read it back.
 
@@ -51,13 +60,15 @@ def materialize(df: DataFrame) -> DataFrame:
     instead of repeating the work, and a lost executor costs one task, not the
     lineage.
     """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the application.  Frames that read it can no longer be used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard_tables(spark: SparkSession) -> None:
     """Removes the application's intermediate tables.  Frames that read them can no longer be used."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, work_folder(spark))

@@ -60,7 +60,7 @@ def compare(df, con, sql: str) -> list[str]:
 
 def main() -> int:
     sf_dir = f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.01'}"
-    spark, con = local_session(), connect(sf_dir)
+    spark, con = local_session("4"), connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = 0
     for name in sys.argv[2:] or queries:
