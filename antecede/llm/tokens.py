@@ -19,7 +19,7 @@ import numpy as np
 # Fixed values of byte-level BPE: the printable bytes stand for themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 LONGEST_WORD = 200
 
 
@@ -88,7 +88,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, kept: int = WORDS_KEPT) -> Encoder:
-    """One encoder for each worker process.  ``kept``: how many words it remembers, about 300 bytes each."""
+    """One encoder for each worker process.  ``kept``: how many words it remembers, words of up to LONGEST_WORD letters, about 250 bytes each."""
     return Encoder(path, kept)
 
 
