@@ -2,25 +2,29 @@
 
 Direct-address tiling.  Texts become chunks of word codes.  The frequent words of a language are ranked by frequency, and
 every pair of neighbouring ranks falls into a tile of ``TILE`` x ``TILE`` ranks: tiles with many pairs are counted by a dense
-bincount over their cells, all others as sorted coordinates.  The counts of all chunks are summed by Spark.  Pairs that stay
-frequent are ranked by frequency themselves, and neighbouring pairs are counted the same way: a phrase of k words is the
-phrase of its first k - 1 words followed by that of its last k - 1, so five words need four rounds.
+bincount over their cells, all others as sorted coordinates.  The counts of a chunk are dealt to buckets by a hash of the
+pair; a task sums up a bucket's counts over all chunks and tells each chunk which of its pairs stay frequent.  Those are
+ranked by frequency themselves, and neighbouring pairs are counted the same way: a phrase of k words is the phrase of its
+first k - 1 words followed by that of its last k - 1, so five words need four rounds.
 
-A chunk holds about ``CHUNK`` words at most (more only of one piece) and meets only the ranks of the words it holds, so no task needs
+A chunk holds about ``CHUNK`` words at most (more only of one piece) and meets only the counts of the words it holds, so no task needs
 a whole vocabulary, and nothing of the corpus reaches the driver.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.ranges import ranked
-from antecede.session import materialize
+from antecede.session import discard, materialize, stored
 
 CHUNK = 2_000_000  # words
+BUCKET = 2_000_000  # pairs whose counts one task sums up, at most about as many
 TILE = 512
 DENSE = TILE * TILE // 8  # pairs from which a tile of a chunk is counted cell by cell
 MOST_WORDS, LEAST_COUNT, KEPT, UNKNOWN = 5, 100, 2_000, "und"
@@ -30,8 +34,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 SMALL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(ENDS))
 END = b"."
 
-WORDS = "lang string, words array<string>, counts array<long>, codes binary"
-PAIRS = "chunk long, lang string, a array<long>, b array<long>, counts array<long>, codes binary"
+CHUNKS = "lang string, codes binary, n_codes long, parts array<struct<bucket:int,base:long,body:binary>>"
+FOUND = "chunk long, own binary, ids binary, often binary, lang string, id array<long>, f array<long>, word array<string>, a array<long>, b array<long>"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -39,6 +43,28 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().translate(SMALL).replace(END, b" . ").split()
 
 
+def _packed(array: np.ndarray) -> bytes:
+    return pa.compress(array.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, dtype: str = "<i8") -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype)
+
+
+def _chunk_row(lang: str, codes: np.ndarray, parts: list[dict], more: list[pa.Array] = (), names: list[str] = ()) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("base", pa.int64()), ("body", pa.binary())]))
+    return pa.RecordBatch.from_arrays(
+        [*more, pa.array([lang]), pa.array([_packed(codes.astype("<i4"))], pa.binary()), pa.array([len(codes)], pa.int64()), pa.array([parts], kind)],
+        [*names, "lang", "codes", "n_codes", "parts"],
+    )
+
+
+def _dealt(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of a sorted array."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
+
+
 class _Chunk:
     """Words of one language; a word's code is the place at which it first came."""
 
@@ -51,15 +77,20 @@ class _Chunk:
         self.parts.append(np.full(1, -1, np.int32))
         self.size += len(words) + 1
 
-    def row(self, lang: str) -> pa.RecordBatch:
-        codes = np.concatenate(self.parts)
-        counts = np.bincount(codes[codes >= 0], minlength=len(self.codes) - 1)
-        words = [w.decode() for w in self.codes][1:]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())),
-             pa.array([codes.astype("<i4").tobytes()], pa.binary())],
-            ["lang", "words", "counts", "codes"],
-        )
+    def row(self, lang: str, buckets: int) -> pa.RecordBatch:
+        codes, words = np.concatenate(self.parts), list(self.codes)[1:]
+        counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype("<i8")
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        name = np.empty(len(words) + 1, np.int32)
+        name[order], name[-1] = np.arange(len(words)), -1  # the last: of -1
+        counts = counts[order]
+        parts = []
+        for number, begin, end in _dealt(bucket[order]):
+            own = counts[begin:end].tobytes() + b"\n".join([words[i] for i in order[begin:end].tolist()])  # no word holds a line end
+            body = (end - begin).to_bytes(8, "little") + len(own).to_bytes(8, "little") + pa.compress(own, codec="zstd", asbytes=True)
+            parts.append({"bucket": number, "base": begin, "body": body})
+        return _chunk_row(lang, name[codes], parts)
 
 
 def _cut(words: list[bytes], most: int):
@@ -75,7 +106,7 @@ def _cut(words: list[bytes], most: int):
     yield words[at:] if at else words
 
 
-def _chunks(most: int):
+def _chunks(most: int, buckets: int):
     def run(batches):
         open_, held = {}, 0
         for batch in batches:
@@ -86,11 +117,11 @@ def _chunks(most: int):
                     held += len(words) + 1
                     if own.size >= most:
                         held -= own.size
-                        yield open_.pop(lang).row(lang)
+                        yield open_.pop(lang).row(lang, buckets)
                 if held >= 2 * most:  # of many languages
-                    yield from (own.row(name) for name, own in open_.items())
+                    yield from (own.row(name, buckets) for name, own in open_.items())
                     open_, held = {}, 0
-        yield from (own.row(name) for name, own in open_.items())
+        yield from (own.row(name, buckets) for name, own in open_.items())
 
     return run
 
@@ -137,43 +168,140 @@ def _counted(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return found, name[values], counts[found]
 
 
-def _pairs(batches):
-    """From codes and the ranks of those that are frequent (chunk, lang, codes, own, rank): the pairs of each chunk."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            chunk, lang, codes, own, rank = (batch.column(c)[i] for c in range(5))
-            codes = np.frombuffer(codes.as_py(), "<i4")
-            own, rank = (np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in (own, rank))
-            kinds = np.sort(rank)  # small numbers for the frequent ones
-            new = np.full(max(int(codes.max(initial=0)), int(own.max(initial=0))) + 2, -1, np.int64)  # the last: of -1
-            new[own] = np.searchsorted(kinds, rank)
-            first, second, counts, place = pair_index(new[codes], len(kinds))
-            keep = np.concatenate([[True], (place[1:] >= 0) | (place[:-1] >= 0)])  # one -1 between stretches
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk.as_py()], pa.int64()), pa.array([lang.as_py()]), pa.array([kinds[first]], pa.list_(pa.int64())),
-                 pa.array([kinds[second]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                 pa.array([place[keep].astype("<i4").tobytes()], pa.binary())],
-                ["chunk", "lang", "a", "b", "counts", "codes"],
-            )
-
-
-def _frequent(chunks: DataFrame, names: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """The frequent kinds with their count f and rank id, and each chunk with the ranks of its own frequent kinds.
-
-    ``names``: the columns that name a kind, arrays beside ``counts`` in each chunk.
-    """
-    each = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip(*names, "counts")).alias("own", "kind")).select(
-        "chunk", "lang", "own", *[F.col("kind")[n].alias(n) for n in names], F.col("kind.counts").alias("n")
-    )
-    often = each.groupBy("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    kinds = materialize(ranked(often, "lang", [-F.col("f"), *map(F.col, names)], "id"))
-    # Plain columns, so Spark can split the join at a kind that all chunks hold.
-    known = each.select("chunk", "lang", "own", *names).join(kinds.select("lang", *names, "id"), ["lang", *names])
-    ranks = known.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("own", "id"))).alias("k"))  # a chunk's kinds are bounded
-    sequences = chunks.select("chunk", "lang", "codes").join(ranks, "chunk").select(
-        "chunk", "lang", "codes", F.col("k.own").alias("own"), F.col("k.id").alias("rank")
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _pairs(buckets: int, last: bool):
+    """From the codes of a chunk and its frequent kinds (own code, id, count), in stretches: the pairs of the chunk, dealt to buckets."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, lang, codes, n, found in zip(*batch.columns, strict=True):
+                codes = _unpacked(codes.as_py(), n.as_py(), "<i4")
+                own, ids, often = (np.concatenate([np.frombuffer(k[c], "<i8") for k in found.as_py()]) for c in ("own", "ids", "often"))
+                order = np.lexsort((ids, -often))  # small numbers for the frequent ones
+                new = np.full(max(int(codes.max(initial=0)), int(own.max(initial=0))) + 2, -1, np.int64)  # the last: of -1
+                new[own[order]] = np.arange(len(order))
+                ids = ids[order]
+                first, second, counts, place = pair_index(new[codes], len(ids))
+                a, b = ids[first], ids[second]
+                bucket = (_mixed(a, b) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((b, a, bucket))
+                a, b, counts = a[order], b[order], counts[order]
+                parts = []
+                for number, begin, end in _dealt(bucket[order]):
+                    values = np.concatenate([np.diff(a[begin:end], prepend=0), b[begin:end], counts[begin:end]]).astype("<i8")
+                    parts.append({"bucket": number, "base": begin, "body": (end - begin).to_bytes(8, "little") + _packed(values)})
+                name = np.empty(len(order) + 1, np.int64)
+                name[order], name[-1] = np.arange(len(order)), -1
+                keep = np.concatenate([[True], (place[1:] >= 0) | (place[:-1] >= 0)])  # one -1 between stretches
+                codes = np.zeros(0, np.int32) if last else name[place[keep]]
+                yield _chunk_row(lang.as_py(), codes, parts, [pa.array([chunk.as_py()], pa.int64())], ["chunk"])
+
+    return run
+
+
+def _found(rows: list[tuple], lang: str, ids, f, words=None, a=None, b=None) -> pa.RecordBatch:
+    """What a bucket gives: for each chunk its frequent kinds, and in a row without chunk the kinds themselves."""
+    long, n = pa.list_(pa.int64()), len(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows] + [None], pa.int64())]
+        + [pa.array([r[i].astype("<i8").tobytes() for r in rows] + [None], pa.binary()) for i in (1, 2, 3)]
+        + [pa.array([None] * n + [lang], pa.string())]
+        + [pa.array([None] * n + [x], long) for x in (ids, f)]
+        + [pa.array([None] * n + [words], pa.list_(pa.string()))] + [pa.array([None] * n + [x], long) for x in (a, b)],
+        ["chunk", "own", "ids", "often", "lang", "id", "f", "word", "a", "b"],
     )
-    return kinds, sequences
+
+
+def _frequent_words(bodies: list[tuple], least: int):
+    """Counts of a bucket's words over all chunks (chunk, base, body); ids by frequency."""
+    parts, total = [], Counter()
+    for chunk, base, body in bodies:
+        n, size = int.from_bytes(body[:8], "little"), int.from_bytes(body[8:16], "little")
+        own = pa.decompress(body[16:], decompressed_size=size, codec="zstd", asbytes=True)
+        words = own[8 * n :].split(b"\n")
+        for word, count in zip(words, np.frombuffer(own, "<i8", n).tolist(), strict=True):
+            total[word] += count
+        parts.append((chunk, base, words))
+    kept = sorted((-f, w) for w, f in total.items() if f >= least)
+    ids = {w: i for i, (_, w) in enumerate(kept)}
+    often = np.array([-f for f, _ in kept], np.int64)
+    rows = []
+    for chunk, base, words in parts:
+        here = [(base + i, ids[w]) for i, w in enumerate(words) if w in ids]
+        if here:
+            own, own_ids = np.array(here, np.int64).T
+            rows.append((chunk, own, own_ids, often[own_ids]))
+    return rows, often, {"words": [w.decode() for _, w in kept]}
+
+
+def _frequent_pairs(bodies: list[tuple], least: int):
+    parts = []
+    for _, _, body in bodies:
+        n = int.from_bytes(body[:8], "little")
+        a, b, counts = _unpacked(body[8:], 3 * n).reshape(3, n)
+        parts.append((np.cumsum(a), b, counts))
+    sizes = [len(p[0]) for p in parts]
+    a, b, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    f = np.add.reduceat(counts[order], starts)
+    kept = np.flatnonzero(f >= least)
+    kept = kept[np.lexsort((b[starts[kept]], a[starts[kept]], -f[kept]))]
+    ids = np.full(len(starts), -1, np.int64)
+    ids[kept] = np.arange(len(kept))
+    of = np.empty(len(order), np.int64)
+    of[order] = ids[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))]
+    often, rows, at = f[kept], [], 0
+    for (chunk, base, _), size in zip(bodies, sizes, strict=True):
+        own_ids = of[at : at + size]
+        at += size
+        here = np.flatnonzero(own_ids >= 0)
+        if len(here):
+            rows.append((chunk, base + here, own_ids[here], often[own_ids[here]]))
+    return rows, often, {"a": a[starts[kept]], "b": b[starts[kept]]}
+
+
+def _summed(count, least: int):
+    """Rows (lang, bucket, chunk, base, body), those of a bucket in a row."""
+
+    def run(batches):
+        key, bodies = None, []
+
+        def found():
+            rows, often, names = count(bodies, least)
+            high = key[1] << 32  # ids of other buckets differ
+            rows = [(chunk, own, ids + high, f) for chunk, own, ids, f in rows]
+            return _found(rows, key[0], np.arange(len(often)) + high, often, **names)
+
+        for batch in batches:
+            for lang, bucket, chunk, base, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, bucket) != key:
+                    if bodies:
+                        yield found()
+                    key, bodies = (lang, bucket), []
+                bodies.append((chunk, base, body))
+        if bodies:
+            yield found()
+
+    return run
+
+
+def _frequent(chunks: DataFrame, count, least: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent kinds with their count f and an id, and each chunk's codes with its own frequent kinds."""
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bodies = chunks.select("lang", "chunk", F.explode("parts").alias("p")).select("lang", "p.bucket", "chunk", "p.base", "p.body")
+    dealt = bodies.repartition(tasks, "lang", "bucket").sortWithinPartitions("lang", "bucket", "chunk")
+    found = materialize(dealt.mapInArrow(_summed(count, least), FOUND))
+    names = ["word"] if count is _frequent_words else ["a", "b"]
+    kinds = found.where("chunk IS NULL").select("lang", F.explode(F.arrays_zip("id", "f", *names)).alias("k")).select("lang", "k.*")
+    own = found.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("own", "ids", "often")).alias("found"))
+    return kinds, chunks.select("chunk", "lang", "codes", "n_codes").join(own, "chunk")  # a chunk's kinds are bounded
 
 
 def _score(f: str, n: str, l: Column, r: Column) -> Column:  # noqa: E741
@@ -183,32 +311,43 @@ def _score(f: str, n: str, l: Column, r: Column) -> Column:  # noqa: E741
     return F.call_function("div", above.cast("decimal(38,0)"), (whole(l) * whole(r)).cast("decimal(38,0)"))
 
 
-def phrases(docs: DataFrame, longest: int = MOST_WORDS, least: int = LEAST_COUNT, kept: int = KEPT, chunk: int = CHUNK) -> DataFrame:
+def _totals(chunks: DataFrame) -> DataFrame:
+    """Words of each language."""
+    def run(batches):
+        for batch in batches:
+            for lang, codes, n in zip(*batch.columns, strict=True):
+                words = int(np.count_nonzero(_unpacked(codes.as_py(), n.as_py(), "<i4") >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([words], pa.int64())], ["lang", "n"])
+
+    each = chunks.select("lang", "codes", "n_codes").mapInArrow(run, "lang string, n long")
+    return each.groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def phrases(docs: DataFrame, longest: int = MOST_WORDS, least: int = LEAST_COUNT, kept: int = KEPT, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``kept`` phrases of each language.
 
     ``docs``: text and lang; other columns are ignored.  A null text is empty, a null lang is ``und``.  Repeated rows
     count each.  Ties go by count, then by the bytes of the phrase.  Texts of any length are read whole.  An empty
     table, or one without a phrase that occurs ``least`` times, gives no row.
     """
-    cut = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        _chunks(chunk), WORDS
-    )
-    chunks = materialize(cut.withColumn("chunk", F.monotonically_increasing_id()))
-    totals = materialize(
-        chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    )
-    kinds, sequences = _frequent(chunks, ["words"], least)
-    none = F.array().cast("array<long>")
-    known = kinds.select("lang", "id", F.col("words").alias("phrase"), "words", "f", none.alias("heads"), none.alias("tails"))
-    longer = []
-    for _ in range(2, longest + 1):
-        chunks = materialize(sequences.mapInArrow(_pairs, PAIRS))
-        kinds, sequences = _frequent(chunks, ["a", "b"], least)
+    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = size // (6 * bucket) + 1
+    cut = texts.mapInArrow(_chunks(chunk, buckets), CHUNKS)
+    chunks, path = stored(cut.withColumn("chunk", F.monotonically_increasing_id()))
+    kinds, sequences = _frequent(chunks, _frequent_words, least)
+    known = materialize(kinds.select("lang", "id", F.col("word").alias("phrase"), "word", "f", *[F.array().cast("array<long>").alias(c) for c in ("heads", "tails")]))
+    totals, longer = materialize(_totals(chunks)), []
+    for k in range(2, longest + 1):
+        chunks, new_path = stored(sequences.mapInArrow(_pairs(buckets, k == longest), f"chunk long, {CHUNKS}"))
+        discard(docs.sparkSession, path)  # the codes before are needed no more
+        path = new_path
+        kinds, sequences = _frequent(chunks, _frequent_pairs, least)
         head = known.select("lang", F.col("id").alias("a"), F.col("phrase").alias("begin"), F.col("f").alias("fa"), F.col("heads").alias("ha"))
-        tail = known.select("lang", F.col("id").alias("b"), F.col("words").alias("last"), F.col("f").alias("fb"), F.col("tails").alias("tb"))
+        tail = known.select("lang", F.col("id").alias("b"), F.col("word").alias("last"), F.col("f").alias("fb"), F.col("tails").alias("tb"))
         # heads[i]: count of the first i + 1 words; tails[i]: of what follows them.
         known = materialize(kinds.join(head, ["lang", "a"]).join(tail, ["lang", "b"]).select(
-            "lang", "id", "a", "b", F.concat_ws(" ", "begin", "last").alias("phrase"), F.col("last").alias("words"), "f",
+            "lang", "id", "a", "b", F.concat_ws(" ", "begin", "last").alias("phrase"), F.col("last").alias("word"), "f",
             F.concat("ha", F.array("fa")).alias("heads"), F.concat(F.array("fb"), "tb").alias("tails"),
         ))
         longer.append(known)

@@ -124,7 +124,7 @@ def texts(seed):
 def test_phrases_equal_brute_force(spark, chunk):
     rows = texts(chunk % 7)
     docs = spark.createDataFrame([(t, g, 1) for t, g in rows], "text string, lang string, n int").repartition(3)
-    got = phrases.phrases(docs, 5, 20, 30, chunk).collect()
+    got = phrases.phrases(docs, 5, 20, 30, chunk, 50_000 if chunk > 50 else 40).collect()
     assert sorted(map(tuple, got)) == sorted(plain_phrases(rows, 5, 20, 30))
 
 
