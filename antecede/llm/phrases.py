@@ -62,7 +62,8 @@ def _chunk_row(lang: str, codes: np.ndarray, parts: list[dict], more: list[pa.Ar
 def _dealt(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of a sorted array."""
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
+    ends = np.append(starts[1:], len(bucket))[: len(starts)]
+    return list(zip(bucket[starts].tolist(), starts.tolist(), ends.tolist(), strict=True))
 
 
 class _Chunk:
