@@ -35,7 +35,7 @@ SMALL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmn
 END = b"."
 
 CHUNKS = "lang string, codes binary, n_codes long, parts array<struct<bucket:int,base:long,body:binary>>"
-FOUND = "chunk long, own binary, ids binary, often binary, lang string, id array<long>, f array<long>, word array<string>, a array<long>, b array<long>"
+FOUND = "chunk long, n long, own binary, lang string, id array<long>, f array<long>, word array<string>, a array<long>, b array<long>"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -182,7 +182,9 @@ def _pairs(buckets: int, last: bool):
         for batch in batches:
             for chunk, lang, codes, n, found in zip(*batch.columns, strict=True):
                 codes = _unpacked(codes.as_py(), n.as_py(), "<i4")
-                own, ids, often = (np.concatenate([np.frombuffer(k[c], "<i8") for k in found.as_py()]) for c in ("own", "ids", "often"))
+                known = [_unpacked(k["own"], 3 * k["n"]).reshape(3, -1) for k in found.as_py()]
+                own = np.concatenate([np.cumsum(k[0]) for k in known])
+                ids, often = (np.concatenate([k[i] for k in known]) for i in (1, 2))
                 order = np.lexsort((ids, -often))  # small numbers for the frequent ones
                 new = np.full(max(int(codes.max(initial=0)), int(own.max(initial=0))) + 2, -1, np.int64)  # the last: of -1
                 new[own[order]] = np.arange(len(order))
@@ -210,11 +212,12 @@ def _found(rows: list[tuple], lang: str, ids, f, words=None, a=None, b=None) ->
     long, n = pa.list_(pa.int64()), len(rows)
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows] + [None], pa.int64())]
-        + [pa.array([r[i].astype("<i8").tobytes() for r in rows] + [None], pa.binary()) for i in (1, 2, 3)]
+        + [pa.array([len(r[1]) for r in rows] + [None], pa.int64())]
+        + [pa.array([_packed(np.concatenate([np.diff(r[1], prepend=0), *r[2:]]).astype("<i8")) for r in rows] + [None], pa.binary())]
         + [pa.array([None] * n + [lang], pa.string())]
         + [pa.array([None] * n + [x], long) for x in (ids, f)]
         + [pa.array([None] * n + [words], pa.list_(pa.string()))] + [pa.array([None] * n + [x], long) for x in (a, b)],
-        ["chunk", "own", "ids", "often", "lang", "id", "f", "word", "a", "b"],
+        ["chunk", "n", "own", "lang", "id", "f", "word", "a", "b"],
     )
 
 
@@ -301,7 +304,7 @@ def _frequent(chunks: DataFrame, count, least: int) -> tuple[DataFrame, DataFram
     found = materialize(dealt.mapInArrow(_summed(count, least), FOUND))
     names = ["word"] if count is _frequent_words else ["a", "b"]
     kinds = found.where("chunk IS NULL").select("lang", F.explode(F.arrays_zip("id", "f", *names)).alias("k")).select("lang", "k.*")
-    own = found.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("own", "ids", "often")).alias("found"))
+    own = found.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("n", "own")).alias("found"))
     return kinds, chunks.select("chunk", "lang", "codes", "n_codes").join(own, "chunk")  # a chunk's kinds are bounded
 
 
