@@ -16,10 +16,7 @@ from pyspark.sql import functions as F
 from antecede.functions import (
     accuracy_group,
     bucket_by_rule,
-    has_xy,
     hour_dow,
-    json_flag,
-    json_int,
     micros,
     ratio,
     slugs,
@@ -41,6 +38,7 @@ from antecede.operators.timeline import (
 )
 from antecede.plans.eligibility import anchors, row_order
 from antecede.plans.roles import Roles
+from antecede.plans.tape import parsed
 
 ANCHOR = ("installation_id", "game_session")
 
@@ -154,11 +152,8 @@ def helps(df: DataFrame, name: str, ids: Sequence[str]) -> Family:
 
 def clicks(df: DataFrame, roles: Roles) -> DataFrame:
     """Rows outside assessments with whole-number coordinates."""
-    return df.where(~roles.is_assessment() & has_xy(F.col("event_data"))).select(
-        *dict.fromkeys([*KEYS, "title", *row_order(df)]),
-        json_int(F.col("event_data"), "x").alias("x"),
-        json_int(F.col("event_data"), "y").alias("y"),
-    )
+    known = df if "clicked" in df.columns else parsed(df, roles)
+    return known.where(~roles.is_assessment() & F.col("clicked")).select(*dict.fromkeys([*KEYS, "title", *row_order(df)]), "x", "y")
 
 
 def click_spreads(df: DataFrame, roles: Roles) -> Family:
@@ -392,9 +387,9 @@ def x5(df: DataFrame, roles: Roles) -> DataFrame:
 
     A session counts as correct once, however many of its submits say so.
     """
-    right = json_flag(F.col("event_data"), "correct") == "true"
-    per_session = df.where(roles.is_submit()).groupBy(*ANCHOR).agg(
-        F.max(F.when(right, 1).otherwise(0)).cast("bigint").alias("correct"),
+    known = df if "right" in df.columns else parsed(df, roles)
+    per_session = known.where(roles.is_submit()).groupBy(*ANCHOR).agg(
+        F.max(F.when(F.col("right"), 1).otherwise(0)).cast("bigint").alias("correct"),
         F.count("world2").alias("try"),
     )
     return per_session.withColumn("accuracy", ratio(F.col("correct"), F.col("try"))).select(
@@ -413,9 +408,8 @@ def x6_clips(df: DataFrame, roles: Roles, attribute: str = "next", slot_seconds:
         raise ValueError("attribute is 'next' or 'self'")
     order = row_order(df)
     cols = ["game_session", "title", "world2", "ts"]
-    rows = df.select(
-        *dict.fromkeys(["installation_id", *cols, *order]), F.expr(roles.clip_start).alias("starts")
-    )
+    known = df if "starts" in df.columns else parsed(df, roles)
+    rows = known.select(*dict.fromkeys(["installation_id", *cols, *order]), "starts")
     paired = previous_row(with_slot(rows, seconds=slot_seconds), ["installation_id"], order, [*cols, "starts"]).where("prev.starts")
     timed = paired.withColumn(
         "duration", F.expr("timestampdiff(MICROSECOND, prev.ts, ts)") / F.lit(1e6)
@@ -464,8 +458,9 @@ def x9(df: DataFrame, roles: Roles, by_position: bool = False, slot_seconds: int
     in time order.
     """
     order = row_order(df)
+    known = df if "attempt" in df.columns else parsed(df, roles)
     rows = with_slot(
-        df.where(roles.attempt).select(*dict.fromkeys(["installation_id", "title", *order])), seconds=slot_seconds
+        known.where("attempt").select(*dict.fromkeys(["installation_id", "title", *order])), seconds=slot_seconds
     )
     if not by_position:
         out = numbered(rows, ["installation_id", "title"], order, "position")

@@ -1,7 +1,6 @@
 """One wide row per anchor: all features side by side.
 
-The matrix functions read the eligible log many times.  Pass one that is a table
-(``materialize`` makes one), not a chain of joins.
+The matrix functions read the eligible log once, into a tape (``plans.tape``); all features come from that.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from antecede.operators.timeline import HOUR, latest_per_key
 from antecede.plans import features as X
 from antecede.plans.eligibility import anchors
 from antecede.plans.roles import Roles
+from antecede.plans.tape import Tape, log_tape
 from antecede.session import materialize
 
 ID = ("installation_id", "game_session")
@@ -55,19 +55,19 @@ def feature_columns(roles: Roles) -> list[str]:
     ]
 
 
-def _prior_features(df: DataFrame, roles: Roles, maxima: DataFrame | None, slot_seconds: int) -> DataFrame:
+def _prior_features(tape: Tape, roles: Roles, maxima: DataFrame | None, slot_seconds: int) -> DataFrame:
     """X1 to X4, X6 to X8, X10, X11, X13 and X14 from one shared prior table, for each distinct anchor (``_anchor``)."""
     ids = (*roles.first_game, *roles.first_activity)
     state = prior_table(
-        anchors(df, roles),
+        anchors(tape.part("assessment"), roles),
         [
-            X.activity(df, roles, ["x1", "x2", "x3", "x14"]),
-            X.last_rows(df, roles),
-            X.clip_scores(X.x6_clips(df, roles, slot_seconds=slot_seconds), roles),
-            X.first_events(df, ids),
-            X.helps(df, "x10", tuple(roles.help_game)),
-            X.helps(df, "x11", tuple(roles.help_activity)),
-            X.click_spreads(df, roles),
+            X.activity(tape.part("activity"), roles, ["x1", "x2", "x3", "x14"]),
+            X.last_rows(tape.part("activity"), roles),
+            X.clip_scores(X.x6_clips(tape.part("clip"), roles, slot_seconds=slot_seconds), roles),
+            X.first_events(tape.part("first"), ids),
+            X.helps(tape.part("help"), "x10", tuple(roles.help_game)),
+            X.helps(tape.part("help"), "x11", tuple(roles.help_activity)),
+            X.click_spreads(tape.part("click"), roles),
         ],
         slot_seconds=slot_seconds,
     )
@@ -101,10 +101,14 @@ def _prior_features(df: DataFrame, roles: Roles, maxima: DataFrame | None, slot_
     return fill_max(materialize(out) if maxima is None else out, filled, maxima)
 
 
-def _base(df: DataFrame, roles: Roles, maxima: DataFrame | None, slot_seconds: int) -> DataFrame:
+def _base(tape: Tape, roles: Roles, maxima: DataFrame | None, slot_seconds: int) -> DataFrame:
     """Every anchor row of the log, with its prior features where it has any."""
-    rows = anchors(df, roles).select(*ID, F.struct(*ANCHOR).alias("_anchor"))
-    return rows.join(_prior_features(df, roles, maxima, slot_seconds), "_anchor", "left").drop("_anchor")
+    rows = anchors(tape.part("assessment"), roles).select(*ID, F.struct(*ANCHOR).alias("_anchor"))
+    return rows.join(_prior_features(tape, roles, maxima, slot_seconds), "_anchor", "left").drop("_anchor")
+
+
+def _beside(tape: Tape, roles: Roles, slot_seconds: int) -> list[DataFrame]:
+    return [X.x9(tape.part("attempt"), roles, slot_seconds=slot_seconds), X.x12(tape.part("assessment"), roles)]
 
 
 def _finish(df: DataFrame, roles: Roles, extra: Sequence[str] = ()) -> DataFrame:
@@ -120,8 +124,9 @@ def train_matrix(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataF
 
     Absent features are 0; an anchor without user, world or title stays.  Row order carries no meaning; sort at the sink.
     """
-    label = X.x5(df, roles).select("game_session", LABEL)
-    wide = assemble(_base(df, roles, None, slot_seconds), [label, X.x9(df, roles, slot_seconds=slot_seconds), X.x12(df, roles)])
+    tape = log_tape(df, roles)
+    label = X.x5(tape.part("assessment"), roles).select("game_session", LABEL)
+    wide = assemble(_base(tape, roles, None, slot_seconds), [label, *_beside(tape, roles, slot_seconds)])
     return _finish(wide, roles, extra=[LABEL])
 
 
@@ -136,8 +141,9 @@ def test_matrix(
     X7/X8 fill values from, the training matrix for instance; by default they
     come from the test log itself.
     """
-    wide = assemble(_base(df, roles, maxima, slot_seconds), [X.x9(df, roles, slot_seconds=slot_seconds), X.x12(df, roles)])
-    last = latest_per_key(anchors(df, roles), ["installation_id"], ["ts", "game_session"], ["game_session"])
+    tape = log_tape(df, roles)
+    wide = assemble(_base(tape, roles, maxima, slot_seconds), _beside(tape, roles, slot_seconds))
+    last = latest_per_key(anchors(tape.part("assessment"), roles), ["installation_id"], ["ts", "game_session"], ["game_session"])
     picked = keep_matching(_finish(wide, roles), last, list(ID))
     wanted = [c for c in (columns or picked.columns) if c != LABEL]
     return align_to(picked, wanted)

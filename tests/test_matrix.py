@@ -4,9 +4,11 @@ import pytest
 
 from antecede.plans.eligibility import eligible_train
 from antecede.plans import matrix as M
+from antecede.plans import tape
 from antecede.plans.matrix import ID, LABEL, feature_columns, train_matrix
 from antecede.plans import features as X
 from antecede.plans.roles import GAME
+from antecede.session import stored
 from logs import by_session, log_of, row, start
 from test_features import CLIP, click, submit
 
@@ -56,3 +58,27 @@ def test_the_test_matrix_has_one_row_per_user_in_train_order(matrices):
     _, _, train, test = matrices
     assert test.columns == [c for c in train.columns if c != LABEL]
     assert sorted(r["game_session"] for r in test.collect()) == ["a3", "open"]
+
+
+def test_the_log_is_read_once(spark, log, matrices, tmp_path, monkeypatch):
+    roles, eligible, train, _ = matrices
+    path = f"{tmp_path}/log"
+    eligible.write.parquet(path)
+    plans = []
+    monkeypatch.setattr(tape, "stored", lambda df, by: plans.append(df) or stored(df, by))
+    again = train_matrix(spark.read.parquet(path), roles)
+    assert len(plans) == 1 and plans[0]._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert not [f for f in again.inputFiles() if path in f]
+    executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+    reading = [executions.apply(i).physicalPlanDescription() for i in range(executions.size())]
+    assert sum(path in p and "InsertIntoHadoopFs" in p and "Generate" in p for p in reading) == 1  # the tape
+    assert sum(path in p for p in reading) == 2  # and the write of the log itself
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, train.collect()))
+
+
+def test_parts_of_the_tape_hold_what_their_features_read(log):
+    parts = tape.log_tape(log, GAME.observed(log))
+    assert parts.part("clip").count() == log.count()
+    assert parts.part("click").select("x", "y").collect() == [(3, 4), (9, 4)]
+    assert parts.part("assessment").where("right").count() == 2
+    assert "PartitionFilters: [isnotnull(part" in parts.part("help")._jdf.queryExecution().executedPlan().toString()
