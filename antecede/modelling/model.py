@@ -95,13 +95,14 @@ def out_of_fold(
 
 
 def submission(
-    scores: DataFrame, template: DataFrame, key: str = "installation_id", default: int | None = None
+    scores: DataFrame, template: DataFrame, key: str = "installation_id", default: int | None = None, carry: Sequence[str] = (),
 ) -> DataFrame:
     """The template's users with their best class, matched by user, not by position.
 
-    A user without scores gets ``default``: NULL, unless the caller names a class.
+    A user without scores gets ``default``: NULL, unless the caller names a class.  ``carry``: columns of the template
+    that come along, its order for instance.
     """
     best = scores.select(key, argmax(F.col("scores")).alias("accuracy_group"))
-    return template.select(key).join(best, key, "left").select(
-        key, F.coalesce("accuracy_group", F.lit(default)).cast("int").alias("accuracy_group")
+    return template.select(key, *carry).join(best, key, "left").select(
+        key, F.coalesce("accuracy_group", F.lit(default)).cast("int").alias("accuracy_group"), *carry
     )

@@ -19,7 +19,7 @@ def vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def _long(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
+def long_values(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
     """A row for each value that is not NULL: col, v and the columns to keep."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols]))
     return df.select(*keep, cells.alias("e")).select(*keep, "e.*").where("v IS NOT NULL")
@@ -68,7 +68,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUART
     rank are ordered.  Where the ranges end decides which task orders what, not the
     result.  Runs a job.
     """
-    pieces = _in_pieces(_long(df, cols).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")))
+    pieces = _in_pieces(long_values(df, cols).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")))
     # One row for each column and range.
     sizes = pieces.groupBy("col", "piece").agg(F.sum("n").alias("size"))
     return _at_ranks(sizes, ["col"], pieces, probs)
@@ -78,7 +78,7 @@ def quantiles_without(
     df: DataFrame, cols: Sequence[str], fold: str, numbers: Sequence[int], probs: Sequence[float] = QUARTILES
 ) -> DataFrame:
     """Rows of (without, col, prob, value): quantiles of the rows outside each fold, all folds from one count of the values."""
-    pieces = _in_pieces(_long(df, cols, fold).groupBy("col", "v", fold).agg(F.count(F.lit(1)).alias("n")))
+    pieces = _in_pieces(long_values(df, cols, fold).groupBy("col", "v", fold).agg(F.count(F.lit(1)).alias("n")))
     other = pieces.withColumn("without", F.explode(F.array(*map(F.lit, numbers)))).where(F.col(fold) != F.col("without"))
     per_range = pieces.groupBy("col", "piece", fold).agg(F.sum("n").alias("size"))
     per_range = per_range.withColumn("without", F.explode(F.array(*map(F.lit, numbers)))).where(F.col(fold) != F.col("without"))
@@ -87,7 +87,8 @@ def quantiles_without(
     return _at_ranks(sizes, ["without", "col"], values, probs)
 
 
-def _spread(found: DataFrame, *group: str) -> DataFrame:
+def spread_of(found: DataFrame, *group: str) -> DataFrame:
+    """Median and interquartile range from quartiles (col, prob, value); a zero range counts as 1."""
     wide = found.groupBy(*group, "col").pivot("prob", list(QUARTILES)).agg(F.first("value"))
     spread = F.col("`0.75`") - F.col("`0.25`")
     return wide.select(
@@ -97,12 +98,12 @@ def _spread(found: DataFrame, *group: str) -> DataFrame:
 
 def robust_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column its median and interquartile range; a zero range counts as 1."""
-    return _spread(quantiles(df, cols))
+    return spread_of(quantiles(df, cols))
 
 
 def robust_fit_without(df: DataFrame, cols: Sequence[str], fold: str, numbers: Sequence[int]) -> DataFrame:
     """``robust_fit`` of the rows outside each fold, with the fold as ``without``."""
-    return _spread(quantiles_without(df, cols, fold, numbers), "without")
+    return spread_of(quantiles_without(df, cols, fold, numbers), "without")
 
 
 def robust_apply(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:

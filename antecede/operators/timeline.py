@@ -107,3 +107,60 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
 
 def earliest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return _first(df, keys, [F.asc(c) for c in order], cols)
+
+
+def asof_row(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: str = "ts", ties: Sequence[str] = (),
+    tolerance_seconds: float | None = None, strict: bool = True, slot_seconds: int = HOUR, name: str = "asof",
+) -> DataFrame:
+    """``left`` with ``name``: ``cols`` and time of the last row of ``right`` before it under the same keys, as a struct.
+
+    Of rows at one instant the one with the largest ``ties`` counts.  ``strict`` leaves out rows at the left row's own instant.
+    A row further back than the tolerance does not count.  NULL where there is none; NULL keys or times match nothing.
+    Nothing is paired: both sides meet in windows over a key's slots, and each slot hands its last row on.
+    """
+    found = F.struct("_t", *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties)], F.struct(F.col(ts), *cols).alias("_found"))
+    usable = " AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, ts))
+    asked = with_slot(left.withColumn("_left", F.struct(*left.columns)), ts, slot_seconds).select(*keys, SLOT, "_t", "_left")
+    known = with_slot(right.where(usable), ts, slot_seconds).select(*keys, SLOT, "_t", found.alias("_right"))
+    tape = with_place(asked.unionByName(known, allowMissingColumns=True), keys)
+    upto = Window.partitionBy(AT).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
+    local = tape.withColumn("_last", F.max("_right").over(upto)).where("_left IS NOT NULL").drop("_right")
+    # One row for each slot; the time comes first in the struct, so the largest one is the latest.
+    per_slot = tape.groupBy(*keys, SLOT).agg(F.max("_right").alias("_slot_last"))
+    before = per_slot.select(*keys, SLOT, F.max("_slot_last").over(_earlier_slots(keys)).alias("_before"))
+    met = join_slots(local, before, keys).withColumn("_last", F.coalesce("_last", "_before"))
+    near = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "_t"))) & F.col("_last").isNotNull()
+    if tolerance_seconds is not None:
+        near &= F.col("_t") - F.col("_last._t") <= round(tolerance_seconds * 1_000_000)
+    return met.select("_left.*", F.when(near, F.col("_last._found")).alias(name))
+
+
+def rule_at_or_above(
+    df: DataFrame, rules: DataFrame, label: str, value: str, width: float, threshold: str = "threshold", score: str = "score",
+    default: int = 0, name: str = "bucket",
+) -> DataFrame:
+    """``df`` with the score of its label's smallest threshold that is not below its value, or ``default`` beyond the last.
+
+    ``rules`` has rows of label, threshold and score, any number for each label; of equal thresholds the smallest score
+    counts.  Rows and rules meet in windows over a label and ``width`` of values, and each slot hands its first rule down,
+    so a label with most rows is split.  Labels without rules, NULL values and NaN get ``default``.
+    """
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(label).alias("_label"), v.alias("_v"))
+    steps = rules.where(F.col(label).isNotNull() & F.col(threshold).isNotNull()).select(
+        F.col(label).alias("_label"), F.col(threshold).cast("double").alias("_v"),
+        F.struct(F.col(threshold).cast("double").alias("at"), F.col(score).alias("score")).alias("_rule"),
+    )
+    tape = rows.unionByName(steps, allowMissingColumns=True).withColumn(SLOT, F.floor(F.col("_v") / width))
+    tape = with_place(tape, ["_label"])
+    # Descending: a rule comes before the rows at its own threshold.
+    down = Window.partitionBy(AT).orderBy(F.col("_v").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tape.withColumn("_next", F.min("_rule").over(down)).where("_row IS NOT NULL").drop("_rule")
+    per_slot = tape.groupBy("_label", SLOT).agg(F.min("_rule").alias("_slot_first"))
+    above = Window.partitionBy("_label").orderBy(F.col(SLOT).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    handed = per_slot.select("_label", SLOT, F.min("_slot_first").over(above).alias("_above"))
+    met = join_slots(local, handed, ["_label"])
+    fits = F.col("_v").isNotNull() & F.col("_label").isNotNull()
+    hit = F.when(fits, F.coalesce("_next", "_above")["score"])
+    return met.select("_row.*", F.coalesce(hit, F.lit(default)).cast("int").alias(name))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from antecede.modelling.boost import fit_boosted
 from antecede.modelling.metrics import log_loss, quadratic_kappa
 from antecede.modelling.model import average_scores, fit_classifier, out_of_fold, score, submission
 from antecede.modelling.prep import folds, holdout, robust_apply, robust_fit
+from antecede.modelling.sketch import rank_error, rank_errors, read_sketches, sketch_quantiles, sketches, store_sketches
 from antecede.operators.frames import value_share
 from antecede.plans import features as X
 from antecede.plans.matrix import LABEL, feature_columns
-from antecede.session import materialize
+from antecede.session import materialize, work_folder
 from antecede.sources import load
 from catalog.adapter import ROLES, event_log, over_log, over_train
 from catalog.features import X5_SQL, testing, training
@@ -47,6 +50,22 @@ def _(spark, sf):
     return scaled.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in SCALED])
 
 
+@query(
+    "robust_scale_sketch",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS col, p AS prob, count({c}) AS n, true AS within FROM lineitem, (VALUES (0.25::DOUBLE), (0.5), (0.75)) t(p) GROUP BY p"
+        for c in SCALED
+    ),
+)
+def _(spark, sf):
+    """Quartiles from a sketch for each month, stored and merged: is each within the sketch's bound of its rank?"""
+    lines = load(spark, sf, "lineitem")
+    path = f"{work_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    store_sketches(sketches(lines, SCALED, F.date_format("l_shipdate", "yyyy-MM")), path)
+    answers = sketch_quantiles(read_sketches(spark, path))
+    return rank_errors(lines, answers).select("col", "prob", "n", (F.col("error") <= 1.5 * rank_error()).alias("within"))
+
+
 @query(
     "split_holdout",
     over_log(

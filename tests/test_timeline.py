@@ -7,7 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from antecede.operators.joins import keep_matching, spread_join, without_match
-from antecede.operators.timeline import earliest_per_key, latest_per_key, numbered, previous_row, running_sums, with_slot
+from antecede.operators.timeline import (
+    asof_row,
+    earliest_per_key,
+    latest_per_key,
+    numbered,
+    previous_row,
+    rule_at_or_above,
+    running_sums,
+    with_slot,
+)
 
 START = dt.datetime(2024, 1, 1)
 
@@ -104,3 +113,38 @@ def test_null_keys_and_times_lose_no_row(spark):
     assert before == {2: None, 1: 2, 5: 1, 3: None, 4: 3}
     sums = {r["id"]: r["total"] for r in running_sums(df, ["user"], ["ts", "id"], {"total": "CAST(id AS DOUBLE)"}).collect()}
     assert sums == {2: 2, 1: 3, 5: 8, 3: 3, 4: 7}
+
+
+@pytest.mark.parametrize("seconds", [600, 7200, 10**6])
+@pytest.mark.parametrize("strict,tolerance", [(True, None), (False, None), (True, 1200)])
+def test_asof_row(spark, seconds, strict, tolerance):
+    asked, rows = sample(5, 120), sample(6, 200)
+    left = spark.createDataFrame([*asked, (900, None, START, 1), (901, "hot", None, 1)], "id int, user string, ts timestamp, v int").repartition(4)
+    right = spark.createDataFrame([*rows, (800, None, START, 5), (801, "hot", None, 5)], "rid int, user string, ts timestamp, v int").repartition(3)
+    got = {r.id: r.found for r in asof_row(left, right, ["user"], ["rid", "v"], ties=["rid"], tolerance_seconds=tolerance, strict=strict, slot_seconds=seconds, name="found").collect()}
+    assert len(got) == 122 and got[900] is None and got[901] is None
+    for i, user, ts, _ in asked:
+        before = [r for r in rows if r[1] == user and (r[2] < ts or (r[2] == ts and not strict))]
+        best = max(before, key=lambda r: (r[2], r[0]), default=None)
+        if best and tolerance and (ts - best[2]).total_seconds() > tolerance:
+            best = None
+        assert (got[i] and (got[i].rid, got[i].v, got[i].ts)) == (best and (best[0], best[3], best[2]))
+
+
+@pytest.mark.parametrize("width", [0.5, 3.0, 1e6])
+def test_rules_as_a_table(spark, width):
+    rnd = random.Random(8)
+    rules = [("hot", float(v), s) for s, v in enumerate(rnd.sample(range(60), 9))] + [("one", 4.0, 7), ("one", 4.0, 6), ("unused", 1.0, 1), (None, 3.0, 8)]
+    rows = [(i, rnd.choice(["hot", "hot", "one", "none", None]), rnd.choice([rnd.uniform(-5, 70), float(rnd.randrange(60)), None, float("nan"), float("inf")])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, label string, value double").repartition(5)
+    table = spark.createDataFrame(rules, "label string, threshold double, score int")
+    got = {r.id: r.bucket for r in rule_at_or_above(df, table, "label", "value", width, default=-1).collect()}
+    for i, label, value in rows:
+        fits = [(t, s) for name, t, s in rules if label is not None and name == label and value is not None and t >= value]
+        assert got[i] == (min(fits)[1] if fits else -1), (label, value)
+
+
+def test_rules_of_no_table(spark):
+    df = spark.createDataFrame([("a", 1.0)], "label string, value double")
+    none = spark.createDataFrame([], "label string, threshold double, score int")
+    assert [tuple(r) for r in rule_at_or_above(df, none, "label", "value", 1.0).collect()] == [("a", 1.0, 0)]
