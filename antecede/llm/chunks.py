@@ -3,7 +3,8 @@
 ``ChunkEncoder.ids(text)`` gives what ``tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives, as
 bytes of little-endian whole numbers.  If the file turns white space into spaces, composes and lower-cases character by
 character, and takes only pieces without white space, then the ids of a text are those of its chunks between white space,
-each encoded by the library once and remembered.  Any other file, and texts in which a special string or one of the four
+each encoded by the library once and remembered.  Texts in Latin letters are cut further, into the words of the file's own
+rule, whose ids come from merging bytes by rank.  Any other file, and texts in which a special string or one of the four
 separators that Python alone calls white space occurs, go to the library whole.
 """
 
@@ -15,8 +16,13 @@ import re
 
 import numpy as np
 
-CHUNKS_KEPT = 200_000  # at most 64 characters each, about 250 bytes with its ids
+from antecede.llm.tokens import _byte_letters as byte_letters
+
+WORDS_KEPT, CHUNKS_KEPT = 200_000, 50_000  # at most 64 characters each, about 250 bytes with its ids
 LONGEST_KEPT = 64
+LETTERS = "a-zß-öø-ÿ"
+#: Bytes of words in these letters.
+LATIN = sorted({b for c in [*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0xF8, 0x100)] for b in chr(c).encode()})
 #: The steps under which a chunk may be encoded by itself.
 BY_CHARACTER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -33,18 +39,50 @@ def _by_chunks(spec: dict) -> bool:
     )
 
 
+def _in_order(model: dict) -> bool:
+    """Whether each merge makes a later id than the one before, so that ids rank merges."""
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    made = [model["vocab"].get("".join(m), -1) for m in merges]
+    return bool(made) and made == sorted(made) and bool(model.get("end_of_word_suffix")) and not model.get("ignore_merges")
+
+
 class _Kept(dict):
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(chunk)
-        if len(self) < CHUNKS_KEPT and len(chunk) <= LONGEST_KEPT:
+        if len(self) < self.most and len(chunk) <= LONGEST_KEPT:
             self[chunk] = ids
         return ids
 
 
+class _Words:
+    """Ids of words in Latin letters, by merging bytes.  A word's last byte counts as another byte, as its end belongs to it."""
+
+    def __init__(self, model: dict):
+        import tiktoken
+
+        letters, end = byte_letters(), model["end_of_word_suffix"]
+        inner = bytes.maketrans(bytes(LATIN), bytes(range(len(LATIN))))
+        last = bytes.maketrans(bytes(LATIN), bytes(range(len(LATIN), 2 * len(LATIN))))
+        self.inner, self.last, known = inner, last, set(LATIN)
+        ranks = {}
+        for token, number in model["vocab"].items():
+            ends = token.endswith(end) and token != end
+            raw = [letters.get(c) for c in (token[: -len(end)] if ends else token)]
+            if raw and known.issuperset(raw):
+                ranks[self._piece(bytes(raw)) if ends else bytes(raw).translate(inner)] = number
+        self.merge = tiktoken.Encoding("file", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def _piece(self, raw: bytes) -> bytes:
+        return raw[:-1].translate(self.inner) + raw[-1:].translate(self.last)
+
+    def __call__(self, word: str) -> list[int]:
+        return self.merge(self._piece(word.encode()))
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,17 +94,27 @@ class ChunkEncoder:
             spec = json.load(file)
         #: Two bytes an id where the vocabulary allows it.
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
-        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *special]))
-        self.chunk = _Kept(self._encode).__getitem__ if _by_chunks(spec) else None
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.separator = re.compile("[\x1c-\x1f]").search
+        self.chunk = _Kept(self._encode, CHUNKS_KEPT).__getitem__ if _by_chunks(spec) else None
+        self.word = None
+        if self.chunk is not None and _in_order(spec["model"]):
+            words, plain = _Words(spec["model"]), re.compile(f"[{LETTERS}]+").fullmatch
+            self.word = _Kept(
+                lambda w: np.array(words(w), dtype=self.dtype).tobytes() if plain(w) else self._encode(w), WORDS_KEPT
+            ).__getitem__
+            self.odd = re.compile("[^\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]").search
+            self.cut = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s{LETTERS}0-9]+").findall
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.chunk is None or self.whole.search(text):
+        if self.chunk is None or any(s in text for s in self.special):
             return self._encode(text)
-        return b"".join(map(self.chunk, text.split()))
+        if self.word is not None and not self.odd(text):
+            return b"".join(map(self.word, self.cut(text.lower())))
+        return self._encode(text) if self.separator(text) else b"".join(map(self.chunk, text.split()))
 
 
 @functools.lru_cache(maxsize=1)
