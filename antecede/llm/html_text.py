@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block of the page.  A line weighs as
 if it stands in a menu, header, footer, sidebar, notice, advert, form or among comments, or is mostly links.  Weights
 are summed over sliding windows of lines; the text starts where the sum surges and ends where it dives to nothing.  It is then
 widened to the element that holds it: all lines with weight there, and between them paragraphs of links.
-Where a page marks its article (``article``, else ``main``), lines outside weigh nothing and any weight is a surge.
+Where a page marks its article (``article``, else ``main``), lines outside weigh nothing and any weight is a surge, unless
+what it marks are cards or teasers beside a longer text.  Elements hidden by an attribute are no text for a reader.
 """
 
 from __future__ import annotations
@@ -36,15 +37,25 @@ NOT_TEXT = frozenset(
     " notification overlay pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar"
     " signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-# Words that leave what a class or id names as it is: 'site-footer' is a footer, 'has-sidebar' and 'header-fixed' are none.
+# Words that mean noise whatever stands beside them: 'user-comments', 'ad-300x250', 'google_ads_1'.
+PLAIN = frozenset(
+    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr"
+    " masthead nav navbar navigation newsletter pager pagination popup sidebar signup sponsor sponsored subscribe subscription".split()
+)
+# Words that tell of a state or a subject, so that the token names nothing: 'has-sidebar', 'comments-open', 'category-ads'.
+STATES = frozenset("category closed disabled enabled fixed format free has hoc is no not open status tag theme topic type with without".split())
+# Words that leave what a class or id names as it is, for the other words: 'share-links' are noise, 'share-prices' are none.
 PLACES = frozenset(
-    "area article bar block blog body bottom box container entry global inner item items left link links list local lower main outer"
-    " page panel post primary right row secondary section site slot top unit upper wrap wrapper".split()
+    "area article articles bar block blog body bottom box button buttons card cards container content entry form global group inline inner"
+    " item items left link links list local lower main outer page pages panel post posts primary right row secondary section site slot"
+    " sticky stories top unit upper wrap wrapper".split()
 )
 COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
 TITLES = frozenset("disclaimer discussion notice notices related replies reply respond share sharing".split())  # ids of chapters, too
 BLOCKS_OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-ANSWERS = frozenset("comment comments reply replies".split())  # all that an article may be other than the text
+# All that an article may be other than the text.
+ADVERTS = frozenset("ad ads advert advertisement adverts advertising promo promoted promotion sponsor sponsored".split())
+ANSWERS = frozenset("comment comments related reply replies".split()) | ADVERTS
 UNMARKED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 REGIONS = {"main": 1, "article": 2}
@@ -62,7 +73,7 @@ def names(token: str) -> set[str]:
     """The marks that a whole class or id names; none if another word makes something else of them."""
     words = set(re.split(r"[^a-z]+", token.lower())) - {""}
     found = words & NOT_TEXT
-    return found if found and not words - NOT_TEXT - PLACES else set()
+    return found if found and not words & STATES and (found & PLAIN or not words - NOT_TEXT - PLACES) else set()
 
 
 def marks_of(name: str, attributes: str, inside: bool = False) -> set[str]:
@@ -85,7 +96,7 @@ def is_hidden(name: str, attributes: str) -> bool:
 
 
 def wrappers(page: str) -> set[int]:
-    """Where marked elements begin that hold more than half of the page's text and are not comments."""
+    """Where elements begin that hold more than half of the page's text under a mark that names no noise for certain."""
     opened: dict[str, list[tuple[int, int, bool]]] = {}
     held: list[tuple[int, int]] = []
     at = total = 0
@@ -96,7 +107,7 @@ def wrappers(page: str) -> set[int]:
             continue
         if not found[1]:
             marks = marks_of(name, found[3])
-            opened.setdefault(name, []).append((found.start(), total, bool(marks) and not marks & COMMENTS))
+            opened.setdefault(name, []).append((found.start(), total, bool(marks) and not marks & (PLAIN | COMMENTS)))
         elif opened.get(name):
             start, before, marked = opened[name].pop()
             if marked:
@@ -265,10 +276,33 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     return text_of(lines, tree, window, surge) or text_of(*lines_of(page, marks=False)[:2], window, surge)
 
 
+def marked_region(lines: list[tuple[str, int, int, int]], tree: Tree, window: int, surge: int) -> list[str] | None:
+    """The blocks of the articles, or of ``main`` without them if they are cards in it; None if the page marks neither, or only teasers.
+
+    Articles win if they hold at least half of the text of ``main``, or a third of what surge and dive find outside and inside them.
+    """
+    weight = lambda test: sum(n for _, n, r, _ in lines if test(r))
+    inside = weight(lambda r: r == 2)
+    if any(r == 1 for *_, r, _ in lines) and (not inside or weight(lambda r: r == 1) > inside):
+        return [text for text, _, r, _ in lines if text and r == 1]
+    if not any(r == 2 for *_, r, _ in lines):
+        return None
+    if not any(r == 1 for *_, r, _ in lines):
+        rest = [(text, n, 0, node) if not r else ("", 0, 0, 0) for text, n, r, node in lines]
+        if weight(lambda r: not r) > inside and sum(map(len, blocks_of(rest, tree, window, surge))) > max(2 * inside, surge):
+            return None
+    return [text for text, _, r, _ in lines if text and r == 2]
+
+
 def text_of(lines: list[tuple[str, int, int, int]], tree: Tree, window: int, surge: int) -> str:
-    region = max((r for _, _, r, _ in lines), default=0)
-    if region:
-        return "\n".join(text for text, _, r, _ in lines if text and r == region)
+    found = marked_region(lines, tree, window, surge)
+    if found is None:
+        found = blocks_of([(text, n, 0, node) if not r else ("", 0, 0, 0) for text, n, r, node in lines], tree, window, surge)
+    return "\n".join(found)
+
+
+def blocks_of(lines: list[tuple[str, int, int, int]], tree: Tree, window: int, surge: int) -> list[str]:
+    """The blocks between surge and dive, widened to their element."""
     weights = [n if 2 * n >= len(text) else 0 for text, n, _, _ in lines]
     sums, total = [0] * len(lines), 0
     for i in range(len(lines) - 1, -1, -1):
@@ -289,7 +323,7 @@ def text_of(lines: list[tuple[str, int, int, int]], tree: Tree, window: int, sur
         i for i in range(kept[0], kept[-1]) if lines[i][0] and not weights[i] and within[node := lines[i][3]]
         and (lines[i][1] or tree.names[node] in BLOCKS_OF_TEXT)
     ] if kept else []
-    return "\n".join(lines[i][0] for i in sorted(kept + linked))
+    return [lines[i][0] for i in sorted(kept + linked)]
 
 
 def _extract(batches):

@@ -47,6 +47,27 @@ def test_marks_name_whole_elements(page, text):
     assert main_text(page) == text
 
 
+STORY = "".join(f"<p>{LONG}" for _ in range(4))
+TOLD = "\n".join([LONG.strip()] * 4)
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<main>{STORY}<article class='card'><h3>Card</h3><p>teaser</article><article class='card'><p>more</article></main>", TOLD),
+    (f"<div id=content>{STORY}</div><article><p>a teaser</p></article>", TOLD),
+    (f"<article>{STORY}</article><article class='ad'><p>buy this now</p></article>", TOLD),
+    (f"<article>{STORY}</article><article class='ad sponsored'>{STORY * 3}</article>", TOLD),
+    (f"<div class='cookie-banner'>{STORY * 3}</div><div id=story>{STORY}</div>", TOLD),
+    (f"<main><article><p>one, a short note</article><article><p>two, a short note</article></main>", "one, a short note\ntwo, a short note"),
+    (f"<main><h1>Head</h1><article>{STORY}</article></main>", TOLD),
+    *((f"<article>{STORY}<div class='{c}'><p>{LONG}</div></article>", TOLD) for c in (
+        "ad-300x250", "google_ads_1", "advert-inline", "newsletter-signup-form", "related-articles", "user-comments", "sticky-sidebar", "share-buttons")),
+    *((f"<article>{STORY}<div class='{c}'><p>{LONG}</div></article>", f"{TOLD}\n{LONG.strip()}") for c in (
+        "share-prices", "comments-open", "no-ads", "category-ads", "ad-hoc", "social-science", "with-sidebar", "adventure", "header-fixed")),
+])
+def test_regions_and_marks_are_chosen_by_what_they_hold(page, text):
+    assert main_text(page) == text
+
+
 ADVERTS = "<div class=ad>buy</div>" * 3
 
 
