@@ -39,6 +39,7 @@ from antecede.operators.timeline import (
 from antecede.plans.eligibility import anchors, row_order
 from antecede.plans.roles import Roles
 from antecede.plans.tape import parsed
+from antecede.session import materialize
 
 ANCHOR = ("installation_id", "game_session")
 
@@ -73,17 +74,28 @@ def activity(df: DataFrame, roles: Roles, cells: Sequence[str]) -> Family:
     return Family("activity", rows.select(*KEYS, "ts", *by), chosen, by=by, value=F.col("_t"))
 
 
-def last_rows(df: DataFrame, roles: Roles) -> Family:
-    """The final rows of sessions outside assessments (X4)."""
+def last_rows(df: DataFrame, roles: Roles) -> list[Family]:
+    """The final rows of sessions outside assessments (X4), as they are and centred.
+
+    Counts may be large and close to each other, so the variance comes from their distance to a whole number near the
+    average of their (user, world, title): squares of those do not cancel.
+    """
     needed = df.where(~roles.is_assessment()).select(*KEYS, "ts", "title", "game_session", "event_count")
-    return Family(
-        "last_rows",
-        session_last_rows(needed).select(*KEYS, "ts", "title", "event_count"),
-        (Cell("x4", ("c", "s", "q", "max"), F.col("title"), roles.titles), Cell("x4_all")),
-        by=("title",),
-        value=F.col("event_count"),
-        dense=False,
-    )
+    rows = session_last_rows(needed).select(*KEYS, "ts", "title", "event_count")
+    group = [*KEYS, "title"]
+    known = materialize(rows.where(" AND ".join(f"{c} IS NOT NULL" for c in group)))
+    centers = known.groupBy(*group).agg(F.floor(F.avg("event_count")).alias("_center"))
+    centred = spread_join(known, centers, group, "inner", ["ts"])
+    return [
+        Family(
+            "last_rows", rows, (Cell("x4", ("c", "s", "max"), F.col("title"), roles.titles), Cell("x4_all")), by=("title",),
+            value=F.col("event_count"), dense=False,
+        ),
+        Family(
+            "last_rows_centred", centred.select(*KEYS, "ts", "title", (F.col("event_count") - F.col("_center")).alias("distance")),
+            (Cell("x4d", ("s", "q"), F.col("title"), roles.titles),), by=("title",), value=F.col("distance"), dense=False,
+        ),
+    ]
 
 
 def clip_scores(clips: DataFrame, roles: Roles) -> Family:
@@ -263,7 +275,7 @@ def x3_columns(roles: Roles) -> list[str]:
 def x4_columns(roles: Roles) -> list[str]:
     out = []
     for g in slugs(roles.titles):
-        n, s, q = (f"x4_{k}__{g}" for k in ("c", "s", "q"))
+        n, s, q = f"x4_c__{g}", f"x4d_s__{g}", f"x4d_q__{g}"
         out += [
             f"CAST(coalesce(x4_max__{g}, 0D) AS BIGINT) AS x4_max__{g}",
             f"coalesce({_mean('x4', g)}, 0D) AS x4_mean__{g}",
@@ -378,7 +390,7 @@ def x3(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
 
 def x4(df: DataFrame, roles: Roles, slot_seconds: int = HOUR) -> DataFrame:
     """Largest, mean and spread of the final event count of earlier sessions, per title."""
-    state = prior_table(anchors(df, roles), [last_rows(df, roles)], slot_seconds=slot_seconds)
+    state = prior_table(anchors(df, roles), last_rows(df, roles), slot_seconds=slot_seconds)
     return state.where("x4_all_n > 0").selectExpr("game_session", *x4_columns(roles))
 
 

@@ -62,7 +62,7 @@ def _prior_features(tape: Tape, roles: Roles, maxima: DataFrame | None, slot_sec
         anchors(tape.part("assessment"), roles),
         [
             X.activity(tape.part("activity"), roles, ["x1", "x2", "x3", "x14"]),
-            X.last_rows(tape.part("activity"), roles),
+            *X.last_rows(tape.part("activity"), roles),
             X.clip_scores(X.x6_clips(tape.part("clip"), roles, slot_seconds=slot_seconds), roles),
             X.first_events(tape.part("first"), ids),
             X.helps(tape.part("help"), "x10", tuple(roles.help_game)),

@@ -73,6 +73,12 @@ def test_x4_keeps_tied_last_rows(spark):
     assert got["x4_mean__chow_time"] == 4.0
 
 
+def test_x4_spread_of_large_counts_does_not_cancel(spark):
+    log = log_of(spark, [row("u", f"g{i}", i, count=100_000_000 + i) for i in range(3)] + [start("u", "a", 9)])
+    (got,) = by_session(X.x4(log, ROLES)).values()
+    assert got["x4_std__chow_time"] == pytest.approx(1.0) and got["x4_max__chow_time"] == 100_000_002
+
+
 def submit(user, session, second, answer, title=CART, code=4100):
     return row(user, session, second, title, "Assessment", code, 5, "s", "W", answer)
 
