@@ -171,13 +171,15 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
     ``labels`` has doc_id and ``label`` (0 or 1); held-out rows and nulls are not learned from, and at most ``most`` rows of
     each class are.  A null text is empty and has a score like any other.  With labels of one class, or none, every score is
-    the share of ones (0.5 without labels).  Repeated rows are scored each; an empty table gives an empty result.
+    the share of ones (0.5 without labels).  Repeated rows are scored each, and of rows that share an id one is learned from; an
+    empty table gives an empty result.  Long texts are read whole, in pieces.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     reduced = materialize(texts.mapInArrow(_reduce, "doc_id long, statistics array<double>"))
     training, share = training_labels(labels, label, most)
-    drawn = reduced.join(F.broadcast(training), "doc_id").select("statistics", "y")  # at most 2 * most rows
-    rows = drawn.collect()
+    # One row for each id, however often it is repeated: at most 2 * most rows reach the driver.
+    drawn = reduced.join(F.broadcast(training), "doc_id").groupBy("doc_id").agg(F.min("statistics"), F.max("y"))
+    rows = [r[1:] for r in sorted(drawn.collect())]
     x = np.array([r[0] for r in rows], dtype=np.float64).reshape(-1, STATISTICS)
     model = fit(x, np.array([r[1] for r in rows], dtype=np.float64), share)
     scored = reduced.mapInArrow(_score(model), "doc_id long, score double")

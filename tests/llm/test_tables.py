@@ -408,3 +408,29 @@ def test_large_buckets_are_met_in_blocks(spark, monkeypatch):
         for b in sets:
             if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b]):
                 assert found[0][a] == found[0][b]
+
+
+def test_densities_are_those_of_the_formula():
+    rng = np.random.default_rng(4)
+    n = quality.STATISTICS
+    x = rng.normal(size=(300, n)) @ rng.normal(size=(n, n)) + 3
+    y = (rng.random(300) < 0.4).astype(float)
+    model = quality.fit(x, y, 0.4)
+    z = (x - x.mean(0)) / x.std(0)
+    density = []
+    for c in (0, 1):
+        own, a = z[y == c], quality.SHRINK
+        cov, pooled = np.cov(own.T), np.cov(z.T)
+        cov = (1 - a) * ((1 - a) * cov + a * np.diag(np.diag(cov))) + a * np.diag(np.diag(pooled)) + 1e-4 * np.eye(n)
+        d = z - own.mean(0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]))
+    np.testing.assert_allclose(model.difference(x), density[1] - density[0], rtol=1e-8, atol=1e-8)
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    words = ["good plain words that go on and on " * 5, "!!! $$$ ### 1 2 3"]
+    rows = [(i, words[i % 2] + f" {i}", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], LABELS)
+    once = {r.doc_id: r.score for r in quality.scores(docs(spark, rows), labels).collect()}
+    often = quality.scores(docs(spark, rows + rows[:7] * 300), labels).collect()
+    assert len(often) == 60 + 2_100 and all(abs(once[r.doc_id] - r.score) < 1e-9 for r in often)
