@@ -4,7 +4,7 @@
 bytes of little-endian whole numbers.  If the file turns white space into spaces, composes and lower-cases character by
 character, and takes only pieces without white space, then the ids of a text are those of its chunks between white space,
 each encoded by the library once and remembered.  Texts in Latin letters are cut further, into the words of the file's own
-rule, whose ids come from merging bytes by rank.  Any other file, and texts in which a special string or one of the four
+rule, whose ids come from merging bytes by rank; ``many`` cuts and looks up the words of many such texts at once with numpy.  Any other file, and texts in which a special string or one of the four
 separators that Python alone calls white space occurs, go to the library whole.
 """
 
@@ -20,6 +20,8 @@ from antecede.llm.tokens import _byte_letters as byte_letters
 
 WORDS_KEPT, CHUNKS_KEPT = 200_000, 50_000  # at most 64 characters each, about 250 bytes with its ids
 LONGEST_KEPT = 64
+AT_ONCE = 1 << 23  # letters of texts that are cut at once
+LONGEST_PACKED = 16  # letters of a word that is compared as two whole numbers
 LETTERS = "a-zß-öø-ÿ"
 #: Bytes of words in these letters.
 LATIN = sorted({b for c in [*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0xF8, 0x100)] for b in chr(c).encode()})
@@ -117,6 +119,88 @@ class ChunkEncoder:
         return self._encode(text) if self.separator(text) else b"".join(map(self.chunk, text.split()))
 
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """``ids`` of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        here: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if self.word is None or self.odd(text) or any(s in text for s in self.special):
+                out[i] = self.ids(text)
+                continue
+            here.append(i)
+            size += len(text)
+            if size >= AT_ONCE:
+                self._together(texts, here, out)
+                here, size = [], 0
+        self._together(texts, here, out)
+        return out
+
+    def _together(self, texts: list[str], here: list[int], out: list[bytes]) -> None:
+        if not here:
+            return
+        # One byte a letter: texts in these letters are Latin 1, and so are their small letters.
+        data = np.frombuffer("\n".join([texts[i] for i in here]).lower().encode("latin-1") + b"\n" * (LONGEST_PACKED + 3), np.uint8)
+        starts, ends = word_bounds(data)
+        lengths = ends - starts
+        packed = [np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)]
+        for j in range(LONGEST_PACKED):
+            some = np.flatnonzero(lengths > j)
+            packed[j // 8][some] |= data[starts[some] + j].astype(np.uint64) << np.uint64(8 * (j % 8))
+        key = packed[0] * np.uint64(0x9E3779B97F4A7C15) ^ (packed[1] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key ^= key >> np.uint64(29)
+        key[lengths > LONGEST_PACKED] = np.flatnonzero(lengths > LONGEST_PACKED)  # each by itself
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        alike = (packed[0] == packed[0][first][which]) & (packed[1] == packed[1][first][which]) & (lengths == lengths[first][which])
+        if not alike.all():  # two words of one key
+            for i in here:
+                out[i] = self.ids(texts[i])
+            return
+        raw = data.tobytes()
+        ids = [self.word(raw[a:b].decode("latin-1")) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        sizes = np.array([len(i) for i in ids], np.int64) // self.dtype.itemsize
+        flat, offset = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        after = np.cumsum(counts)
+        whole = flat[np.repeat(offset[which] - (after - counts), counts) + np.arange(after[-1] if len(after) else 0)].tobytes()
+        bounds = np.cumsum([len(texts[i]) + 1 for i in here])
+        words = np.searchsorted(starts, bounds)
+        stops = np.concatenate([[0], after])[words] * self.dtype.itemsize
+        for i, a, b in zip(here, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+            out[i] = whole[a:b]
+
+
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
+KINDS[[*range(ord("0"), ord("9") + 1)]] = DIGIT
+KINDS[[*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = LETTER
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of Latin-1 small letters begin and end: runs of letters, single digits, runs of other signs, and
+    an apostrophe with an ending (s, t, m, d, re, ve, ll) if no other sign stands before it.  ``data`` ends with white space.
+    """
+    kind = KINDS[data]
+    before = np.empty_like(kind)
+    before[1:], before[:1] = kind[:-1], SPACE
+    start = (kind != SPACE) & ((kind != before) | (kind == DIGIT))
+    sign = np.flatnonzero((data == ord("'")) & start)
+    sign = sign[kind[sign + 1] == LETTER]
+    one, two = data[sign + 1], data[sign + 2]
+    short = np.isin(one, list(b"stmd"))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    size = np.where(short, 1, np.where(long, 2, 0))
+    sign, size = sign[size > 0], size[size > 0]
+    start[sign + 1] = False
+    rest = sign + 1 + size
+    start[rest[kind[rest] == LETTER]] = True
+    last = np.empty_like(start)
+    last[:-1] = start[1:] | (kind[1:] == SPACE)
+    last[-1:] = True
+    return np.flatnonzero(start), np.flatnonzero(last & (kind != SPACE)) + 1
+
+
 @functools.lru_cache(maxsize=1)
 def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)

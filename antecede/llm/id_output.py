@@ -22,6 +22,7 @@ from antecede.llm.ranges import PID, in_ranges, partitions_for, totals_before
 from antecede.session import materialize, work_folder
 
 SHARD = 1_024 * 4_096  # ids; a longer document is a shard of its own
+LETTERS = 1 << 23  # bytes of texts that are encoded at once
 RANGE = 4 * SHARD  # ids of a range of doc_id, about
 SHARDS = "shard long, docs long, n_ids long, before long, body binary"
 
@@ -31,16 +32,15 @@ def _encode(path: str, end: int):
         encoder = chunk_encoder(path)
         last = np.array([end], dtype=encoder.dtype).tobytes()
         for batch in batches:
-            docs, ids, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = encoder.ids(text.as_py()) + last
-                docs.append(doc_id)
-                ids.append(own)
-                size += len(own)
-                if size > 1 << 24:  # very long texts: no batch grows past them
-                    yield _rows(docs, ids, encoder.dtype.itemsize)
-                    docs, ids, size = [], [], 0
-            yield _rows(docs, ids, encoder.dtype.itemsize)
+            at = 0
+            while at < batch.num_rows:  # some millions of letters at once, or one very long text
+                size, to = 0, at
+                while to < batch.num_rows and (to == at or size < LETTERS):
+                    size += batch.column(1)[to].as_buffer().size
+                    to += 1
+                ids = encoder.many(batch.column(1).slice(at, to - at).to_pylist())
+                yield _rows(batch.column(0).slice(at, to - at).to_pylist(), [i + last for i in ids], encoder.dtype.itemsize)
+                at = to
 
     return run
 

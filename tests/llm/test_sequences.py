@@ -201,11 +201,13 @@ def test_chunks_are_encoded_as_the_library_does():
 
     rng = np.random.default_rng(5)
     marks = list("aAéÉ'sStTlLdD09.,!?-  \n\t ́日Σßİ<|>")
-    texts = STRANGE + ["".join(rng.choice(marks, 60)) for _ in range(500)] + ["\n".join(STRANGE)]
+    latin = list("aAéÉß'''sStTrRvVeElLmMdD09.- \n")
+    texts = STRANGE + ["".join(rng.choice(m, n)) for m in (marks, latin, latin) for n in range(250)] + ["\n".join(STRANGE)]
     for path in (word_bpe(), byte_bpe()):
         library, own = Tokenizer.from_file(path), ChunkEncoder(path)
         for text in texts:
             assert np.frombuffer(own.ids(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert own.many(texts) == [own.ids(t) for t in texts]
 
 
 def test_files_of_ids_round_trip(spark, tmp_path):
