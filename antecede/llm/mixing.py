@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from antecede.llm.rows import whole_row
 from antecede.session import materialize
 
 DIGITS = 5  # of a hash, of BITS bits each: 60 bits decide
@@ -168,9 +169,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, share: float = 1.
     Edge cases as in ``mix``.  Texts stay where they are; only the plan is joined.
     """
     sized = materialize(docs.select("source", word_count(F.col("text")).alias("size"), doc_hash().alias("hash")))
-    # Whole rows as one column, so that no name of theirs can clash.
     rows = docs.select(
-        F.struct(*docs.columns).alias("row of the input"), "source", word_count(F.col("text")).alias("size"), doc_hash().alias("hash")
+        whole_row(docs).alias("row of the input"), "source", word_count(F.col("text")).alias("size"), doc_hash().alias("hash")
     )
     taken = rows.join(plan(sized, weights, most, share), F.col("source").eqNullSafe(F.col("of"))).withColumn("n", copies(F.col("plan")))
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))

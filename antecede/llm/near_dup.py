@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from antecede.llm.graph import components, spread
 from antecede.llm.vectors import blocks
+from antecede.llm.rows import whole_row
 from antecede.session import materialize
 
 SHINGLE = 5
@@ -502,6 +503,5 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     Rows that repeat in id and text are copies too: one stays.
     """
     marked = materialize(groups(docs, threshold, bands, rows).where("kept").select("k1", "k2"))
-    # Whole rows as one column, so that no name of theirs can clash.
-    keyed = docs.select(F.struct(*docs.columns).alias("row of the input"), *row_keys())
+    keyed = docs.select(whole_row(docs).alias("row of the input"), *row_keys())
     return keyed.join(marked, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row of the input.*")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from antecede.llm.rows import whole_row
 from antecede.session import materialize
 
 # The patterns.  kind, pattern, group of the value, its least and most length, what a text must hold to be
@@ -109,8 +110,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataF
 
     Documents stay, all their columns too; a null text stays null.  Only texts with a finding are rewritten.
     """
-    # Whole rows as one column, so that no name of theirs can clash.
-    rows = materialize(numbered_rows(docs.select(F.struct(*docs.columns).alias("row of the input"), "text")))
+    rows = materialize(numbered_rows(docs.select(whole_row(docs).alias("row of the input"), "text")))
     spans = spans_of(rows.select("row", F.coalesce("text", F.lit("")).alias("text")), scope)
     by_start = Window.partitionBy("row").orderBy("start", "end")
     before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
@@ -123,9 +123,10 @@ def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataF
     kept = F.transform("cuts", lambda c, i: part(previous(i), c["start"]))
     rest = part(F.element_at("cuts", -1)["end"], F.length("text"))
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, mark), F.lit(mark), rest))
+    was = lambda c: F.col("row of the input")[c]
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return rows.join(cuts, "row", "left").withColumn("clean", text).select(
-        *(new[c].alias(c) if c in new else F.col("row of the input")[c].alias(c) for c in docs.columns)
+        *(F.when(F.col("cuts").isNull(), was(c)).otherwise(new[c]).alias(c) if c in new else was(c).alias(c) for c in docs.columns)
     )
 
 
