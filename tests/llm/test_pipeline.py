@@ -98,19 +98,20 @@ def test_documents_are_taken_as_the_mix_says(stages):
     size = lambda t: len(re.findall(r"[^ \t-\r]+", t or ""))
     plan = {(r.doc_id, r.source): r for r in mixing.mix(before).collect()}
     times = rows(after)
-    sources = defaultdict(lambda: [0, 0, 0])
+    sources = defaultdict(lambda: [0, 0, 0, 0])
     for r in rows(before):
         p = plan[r[0], r[3]]
         assert p.size == size(r[1]) and times[r] * p.size == p.taken and (times[r] <= 3 or not p.size)
         sources[r[3]][0] += p.size
         sources[r[3]][1] += p.taken
         sources[r[3]][2] = p.target
+        sources[r[3]][3] = max(sources[r[3]][3], p.size)
     whole = sum(s[0] for s in sources.values())
     names = sorted(sources, key=lambda s: (s is None, s))
     for weight, name in zip((1, 2, 3), names, strict=True):
-        own, taken, target = sources[name]
+        own, taken, target, longest = sources[name]
         assert target <= 3 * own and (target == 3 * own or target >= whole * weight / 6 - 1e-6)
-        assert taken <= target and target - taken <= 50  # less than a document
+        assert taken <= target and target - taken <= longest  # less than a document
 
 
 def test_every_id_has_one_place(stages):
