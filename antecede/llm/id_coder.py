@@ -21,7 +21,7 @@ import numpy as np
 MAGIC = b"MIXID001"
 BLOCK = 4_096
 LANES = 1_024  # blocks coded side by side
-SLOTS = 4_096  # of the tables of order 1 and 2, for each block
+SLOTS = 1_024  # of the tables of order 1 and 2, for each block: those of all lanes then fit the cache
 FINE = 18  # order 0 has shares of 2 ** FINE, more where a shard has very many different ids
 RATE = 5  # weights move by 1 / 2 ** RATE
 ONE = 1 << 16
