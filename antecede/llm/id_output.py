@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antecede.llm.chunks import chunk_encoder
-from antecede.llm.id_coder import open_shard, pack_shard
+from antecede.llm.id_coder import TOGETHER, open_shards, pack_shards
 from antecede.llm.ranges import PID, in_ranges, partitions_for, totals_before
 from antecede.session import materialize, work_folder
 
@@ -54,25 +55,30 @@ def _rows(docs: list, ids: list[bytes], width: int) -> pa.RecordBatch:
 
 def _write(width: int):
     def run(batches):
-        shard, before, docs, lengths, bodies, held = 0, 0, [], [], [], 0
+        shard, before, docs, lengths, bodies, held, full = 0, 0, [], [], [], 0, []
 
         def packed():
-            body = pack_shard(docs, lengths, np.frombuffer(b"".join(bodies), f"<u{width}"))
+            found = pack_shards([row[2:] for row in full])
+            heads = [(number, len(d), sum(n), start) for number, start, d, n, _ in full]
+            full.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([v], pa.int64()) for v in (shard, len(docs), held, before)] + [pa.array([body], pa.binary())],
+                [pa.array(v, pa.int64()) for v in zip(*heads, strict=True)] + [pa.array(found, pa.binary())],
                 ["shard", "docs", "n_ids", "before", "body"],
             )
 
         for batch in batches:
             for doc_id, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if docs and held + n > SHARD:
-                    yield packed()
+                    full.append((shard, before, docs, lengths, np.frombuffer(b"".join(bodies), f"<u{width}")))
                     shard, before, docs, lengths, bodies, held = shard + 1, before + held, [], [], [], 0
+                    if len(full) == TOGETHER:
+                        yield packed()
                 docs.append(doc_id)
                 lengths.append(n)
                 bodies.append(ids.as_py())
                 held += n
         if docs:
+            full.append((shard, before, docs, lengths, np.frombuffer(b"".join(bodies), f"<u{width}")))
             yield packed()
 
     return run
@@ -97,19 +103,35 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = 1) -> DataF
     return spark.read.schema(f"{SHARDS}, `{PID}` int").parquet(path)
 
 
-def _read(batches):
+def _opened(batches, column: int) -> Iterator[tuple]:
+    """Rows of shards, (other values, what the shard holds), a few shards at once; the bytes are in ``column``."""
+    held = []
+
+    def found():
+        for (row, _), shard in zip(held, open_shards([body for _, body in held]), strict=True):
+            yield row, shard
+        held.clear()
+
     for batch in batches:
-        for part, before, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            docs, lengths, ids = open_shard(body.as_py())
-            ends = np.cumsum(lengths)
-            begins = ends - lengths
-            raw = ids.astype("<u4").tobytes()
-            crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(before + begins, pa.int64()),
-                 pa.array(np.asarray(lengths, np.int64)), pa.array(crcs, pa.int64())],
-                [PID, "doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+        for i in range(batch.num_rows):
+            row = [batch.column(j)[i].as_py() for j in range(batch.num_columns)]
+            held.append((row, row.pop(column)))
+            if len(held) == TOGETHER:
+                yield from found()
+    yield from found()
+
+
+def _read(batches):
+    for (part, before), (docs, lengths, ids) in _opened(batches, 2):
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        raw = ids.astype("<u4").tobytes()
+        crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(before + begins, pa.int64()),
+             pa.array(np.asarray(lengths, np.int64)), pa.array(crcs, pa.int64())],
+            [PID, "doc_id", "start", "n_tokens", "ids_crc32"],
+        )
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -128,12 +150,10 @@ def read_ids(shards: DataFrame) -> DataFrame:
     """doc_id and ids (an array) of every document in ``shards``."""
 
     def run(batches):
-        for batch in batches:
-            for body in batch.column(0):
-                docs, lengths, ids = open_shard(body.as_py())
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists], ["doc_id", "ids"])
+        for _, (docs, lengths, ids) in _opened(batches, 0):
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists], ["doc_id", "ids"])
 
     return shards.select("body").mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -190,6 +190,31 @@ def test_blocks_carry_over_byte_borders():
         assert (id_coder.open_shard(id_coder.pack_shard([1], [len(ids)], ids, 128))[2] == ids).all()
 
 
+def test_shards_coded_at_once_have_the_bytes_they_have_alone(monkeypatch):
+    monkeypatch.setattr(id_coder, "LANES", 40)
+    rng = np.random.default_rng(2)
+    shards = []
+    for i, (size, kinds) in enumerate([(0, 1), (5, 3), (1_000, 900), (700, 2), (64, 64), (2_100, 40), (64, 1), (63, 70)]):
+        ids = rng.integers(0, 2**32 - 1, kinds, endpoint=True)[np.minimum(rng.geometric(0.05, size) - 1, kinds - 1)]
+        shards.append(([i, None], [size // 2, size - size // 2], ids))
+    blocks = []
+    write, read = id_coder._write_blocks, id_coder._read_blocks
+    monkeypatch.setattr(id_coder, "_write_blocks", lambda ranks, *x: blocks.append(ranks.shape[1]) or write(ranks, *x))
+    monkeypatch.setattr(id_coder, "_read_blocks", lambda bodies, *x: blocks.append(len(bodies)) or read(bodies, *x))
+    together = id_coder.pack_shards(shards, 64)
+    # Blocks of 5 ids, of 63, and of 64 (16, 11, 1, 33 and 1 of them), forty at once.
+    assert sorted(blocks) == sorted([1, 1, 40, 22])
+    blocks.clear()
+    for (docs, lengths, ids), (got, sums, back) in zip(shards, id_coder.open_shards(together), strict=True):
+        assert got == docs and list(sums) == lengths and (back == ids).all()
+    assert sorted(blocks) == sorted([1, 1, 40, 22])
+    assert together == [id_coder.pack_shard(*x, 64) for x in shards]
+    bad = bytearray(together[3])
+    bad[-1] ^= 1
+    with pytest.raises(id_coder.DamagedShard):
+        id_coder.open_shards([together[2], bytes(bad)])
+
+
 STRANGE = [
     "Plain words, don't they've 12345 !!! mixed-Case", "", " ", "É été ÀÇ ﬁ ß İ Σας ΣΑΣ", "a\x1cb \x1f c", "nb sp em　wide\x85nel",
     "é combining ́alone", "日本語 テキスト 한국어 ก็", "😀👍🏽 x", "<|startoftext|> hi <|endoftext|>", "w" * 3_000, "½ ² ª º µ ①", "'S 'T 'LL I'm", "a\n\n\tb\r\n",
@@ -210,6 +235,37 @@ def test_chunks_are_encoded_as_the_library_does():
         assert own.many(texts) == [own.ids(t) for t in texts]
 
 
+def test_words_are_merged_once_and_found_in_a_full_table():
+    from antecede.llm import chunks
+
+    own = ChunkEncoder(word_bpe())
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeéßÿ'019.-"), n)) for n in rng.integers(1, 24, 3_000)]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 7, 5_000, 20_000)] + ["", "Aa " * 9, "x" * 16 + " " + "x" * 17]
+    want = [own.ids(t) for t in texts]
+    merged, calls = own.merged, []
+    own.merged = lambda word: calls.append(word) or merged(word)
+    assert own.many(texts) == want and calls and len(calls) == len(set(calls))
+    calls.clear()
+    assert own.many(texts[::-1]) == want[::-1]
+    assert not [w for w in calls if len(w) <= chunks.LONGEST_PACKED]
+    for bits in (1, 4, 9):  # most words find no room
+        own.table = chunks._Table(own.dtype, bits)
+        for some in (["b"], ["c b"], texts[:3], texts, texts[:1] * 3, texts):
+            assert own.many(some) == [own.ids(t) for t in some]
+        assert own.table.words <= 1 << (bits - 1)
+
+
+def test_first_letters_as_two_numbers():
+    from antecede.llm.chunks import packed_words
+
+    data = np.frombuffer(b"a bcdefghi jklmnopqrstuvwxyz0123 4\n" + b"\n" * 29, np.uint8)
+    starts, ends = np.array([0, 2, 11, 33]), np.array([1, 10, 32, 34])
+    low, high = packed_words(data, starts, ends - starts)
+    got = [int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little") for a, b in zip(low, high, strict=True)]
+    assert got == [w.ljust(16, b"\0") for w in (b"a", b"bcdefghi", b"jklmnopqrstuvwxy", b"4")]
+
+
 def test_files_of_ids_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
