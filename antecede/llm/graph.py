@@ -48,3 +48,14 @@ def spread(hits: np.ndarray, asked: np.ndarray, base: np.ndarray) -> tuple[np.nd
         if (new_a == a).all() and (new_b == b).all():
             return a, b
         a, b = new_a, new_b
+
+
+def merge(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``tree``, the smallest node of each node's piece, after ``a`` and ``b`` were tied, pair by pair."""
+    while (apart := tree[a] != tree[b]).any():
+        a, b = a[apart], b[apart]
+        tree = tree.copy()
+        np.minimum.at(tree, np.maximum(tree[a], tree[b]), np.minimum(tree[a], tree[b]))
+        while ((up := tree[tree]) != tree).any():
+            tree = up
+    return tree

@@ -5,23 +5,24 @@ A search walks the cells in order of how far the vector would have to move to en
 next best of two sorted lists), until cells are too far for a vector at the threshold to lie there.  That distance is set on a
 sample, so that the target share of vectors moved to exactly the threshold is still met.  What is met is verified.
 
-Equal vectors are one node with a weight.  Cells are joined in pieces of bounded size, and a piece gives counts and a
-spanning forest of its links, not its pairs.
+Equal vectors are one node with a weight.  Cells are dealt to blocks of bounded size, and every two blocks meet in a task, which
+asks the cells of each for the vectors of the other and gives counts and a spanning forest of its links, not its pairs.  A vector
+is sent once for each block, however many cells it asks.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.graph import components, spread
-from antecede.llm.vectors import blocks, matrix, numbered, sample, unit, usual_dim
+from antecede.llm.graph import components, merge, spread
+from antecede.llm.vectors import numbered, sample, unit, usual_dim
 from antecede.session import materialize
 
 THRESHOLD = 0.95
@@ -29,7 +30,10 @@ SAMPLE = 8_192
 TARGET = 0.999
 PER_CELL = 64  # vectors in a cell, roughly
 MOST_WORDS = 512
-BASE_PIECE, ASKED_PIECE = 2_000, 4_000
+BLOCK_BYTES = 40_000_000  # of vectors in a block, roughly
+BLOCK_ROWS, FEW_BLOCKS = 2_000, 4  # smaller tables have blocks of that many vectors, up to that many blocks
+MOVES, ASKING, MEETING = 2_097_152, 16_384, 256  # held at once: moves of a half, vectors that ask, vectors of a cell
+LISTED = 65_536  # links that are held as a list
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -100,67 +104,192 @@ class Index:
         (i, a), (j, b) = (moves(part, words) for part, words in zip(self.halves(x), self.words, strict=True))
         return i, j, a, b
 
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """Number of each unit vector's own cell."""
+        i, j = (distances(part, words).argmin(axis=1) for part, words in zip(self.halves(x), self.words, strict=True))
+        return i * len(self.words[1]) + j
 
-def _assign(index: Index | None, dim: int):
-    """Own cell, or the cells to ask, of every vector.  Vectors of another dimension have one cell for each dimension."""
+    def callers(self, a: np.ndarray, b: np.ndarray, p: int, qs: np.ndarray) -> list[np.ndarray]:
+        """Who asks each cell (p, q), by the squared moves of many vectors (``a`` by vectors, ``b`` by codewords).
+
+        These are the vectors whose ``traverse`` comes to the cell: a walk has no other end than its distance, so its order is free.
+        """
+        some = np.flatnonzero(a[:, p] <= self.walk**2)
+        k, who = np.nonzero(a[some, p] + b[np.ix_(qs, some)] <= self.walk**2)
+        return np.split(some[who], np.searchsorted(k, np.arange(1, len(qs))))
+
+    def way(self, x: np.ndarray, own: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Squared move of each unit vector from its own cell into another, a cell for each."""
+        total = np.zeros(len(x))
+        width = len(self.words[1])
+        for part, words, o, t in zip(self.halves(x), self.words, np.divmod(own, width), np.divmod(cell, width), strict=True):
+            far, near = words[t], words[o]
+            apart = np.sqrt(((far - near) ** 2).sum(1))
+            more = np.maximum(((part - far) ** 2).sum(1) - ((part - near) ** 2).sum(1), 0)
+            total += np.where(o == t, 0, more / (2 * np.maximum(apart, 1e-12))) ** 2
+        return total
+
+
+def _mixed(x: np.ndarray, n: int) -> np.ndarray:
+    """A number below ``n`` for each whole number, evenly dealt."""
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)
+
+
+def _assign(index: Index | None, dim: int, kind: str, ways: int, hot: np.ndarray):
+    """Cell and block of every vector.  Cells with a large share of the table, and those of another dimension, go to all blocks."""
 
     def run(batches):
         for batch in batches:
-            vectors = matrix(batch.column(2))
-            rows, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            own: list[tuple[int, int]] = [(-1, -1)] * len(rows)
-            asked: list[list[tuple[int, int]]] = [[(-1, -1)]] * len(rows)
-            usual = [k for k, v in enumerate(vectors) if len(v) == dim and index is not None]
-            if usual:
-                i, j, a, b = index.place(unit(np.stack([vectors[k] for k in usual])))
-                for p, k in enumerate(usual):
-                    own[k] = (int(i[p]), int(j[p]))
-                    asked[k] = list(traverse(a[p], b[p], index.walk))
-            out = [
-                (rows[k], n[k], unit(v[None])[0].tobytes(), len(v), *own[k], *cell, ask)
-                for k, v in enumerate(vectors) for ask, cells in ((False, [own[k]]), (True, asked[k])) for cell in cells
-            ]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("row", "n", "vector", "dim", "i", "j", "p", "q", "ask"), r, strict=True)) for r in out], schema=CELLS
-            )
+            lists = batch.column(2)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=kind)
+            ends = np.cumsum(sizes)
+            cell = np.full(len(sizes), -1, dtype=np.int64)
+            usual = np.flatnonzero((sizes == dim) & (index is not None))
+            if len(usual):
+                cell[usual] = index.cell(unit(flat[(ends - sizes)[usual, None] + np.arange(dim)].astype(np.float64)))
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            block = np.where((cell < 0) | np.isin(cell, hot), _mixed(rows, ways), _mixed(cell, ways))
+            offsets = np.concatenate([[0], ends * flat.itemsize]).astype(np.int32)
+            vector = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            whole = [pa.array(x.astype(np.int32)) for x in (sizes, cell, block)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], vector, *whole], names=["row", "n", "vector", "dim", "cell", "block"])
 
     return run
 
 
-CELLS = pa.schema([
-    ("row", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("dim", pa.int32()), ("i", pa.int32()), ("j", pa.int32()),
-    ("p", pa.int32()), ("q", pa.int32()), ("ask", pa.bool_()),
-])
-
-
-def _meet(index: Index | None, dim: int, threshold: float):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        base, asked = part[~part["asked"]], part[part["asked"]]
-        y = np.frombuffer(b"".join(base["vector"])).reshape(len(base), -1)
-        rows, n = base["row"].to_numpy(), base["n"].to_numpy()
-        width = y.shape[1]
-        back = index is not None and width == dim
-        if back:
-            _, _, to_i, to_j = index.place(y)
-        credit, out = np.zeros(len(base), dtype=np.int64), []
-        for at in range(0, len(asked), 500):
-            some = asked.iloc[at : at + 500]
-            x = np.frombuffer(b"".join(some["vector"])).reshape(len(some), -1)
-            own = some["row"].to_numpy()
-            hits = (x @ y.T >= threshold) & (own[:, None] != rows[None])
+class _Block:
+    """Vectors of a block in the order of their cells, from ``at`` on among those of the task."""
+
+    def __init__(self, row: np.ndarray, n: np.ndarray, cell: np.ndarray, raw: np.ndarray, at: int):
+        order = np.argsort(cell, kind="stable")
+        self.row, self.n, self.cell, self.raw, self.at = row[order], n[order], cell[order], raw[order], at
+        self.near = np.empty(raw.shape, dtype=np.float32)
+        for k in range(0, len(row), ASKING):
+            self.near[k : k + ASKING] = self.unit(slice(k, k + ASKING))
+        self.cells, starts = np.unique(self.cell, return_index=True)
+        self.ends = np.append(starts, len(row))
+
+    def unit(self, at) -> np.ndarray:
+        return unit(self.raw[at].astype(np.float64))
+
+
+class _Meeting:
+    """Counts and a spanning forest of the links between two blocks, or inside one."""
+
+    def __init__(self, index: Index | None, threshold: float, blocks: list[_Block]):
+        self.index, self.threshold, self.blocks = index, threshold, blocks
+        self.doubt = (blocks[0].raw.shape[1] + 16) * 2.0**-23  # more than what single precision is off
+        self.row = np.concatenate([b.row for b in blocks])
+        self.linked = np.zeros(len(self.row), dtype=np.int64)
+        self.by_rank = np.argsort(self.row, kind="stable")
+        self.rank = np.argsort(self.by_rank, kind="stable")  # nodes of the forest, so that the least is the smallest row
+        self.tree = np.arange(len(self.row))
+        self.listed: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def found(self) -> pa.RecordBatch:
+        one, two = self.blocks[0], self.blocks[-1]
+        for asking, base in [(one, one)] if one is two else [(one, two), (two, one)]:
+            step = ASKING if self.index is None else max(1, min(ASKING, MOVES // max(map(len, self.index.words))))
+            for at in range(0, len(asking.row), step):
+                self._ask(asking, np.arange(at, min(at + step, len(asking.row))), base)
+            self._settle(asking, base)
+        row = self.row[self.by_rank]
+        some, tied = np.flatnonzero(self.linked), np.flatnonzero(self.tree != np.arange(len(row)))
+        a, b = np.concatenate([self.row[some], row[tied]]), np.concatenate([np.full(len(some), -1), row[self.tree[tied]]])
+        n = np.concatenate([self.linked[some], np.zeros(len(tied), dtype=np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, n, b)], names=["a", "n", "b"])
+
+    def _ask(self, asking: _Block, who: np.ndarray, base: _Block) -> None:
+        if self.index is None:
+            return self._meet(asking, who, base, 0, len(base.row))
+        _, _, a, b = self.index.place(asking.unit(who))
+        a, b = a**2, np.ascontiguousarray(b.T**2)
+        p, q = np.divmod(base.cells, len(self.index.words[1]))
+        first, starts = np.unique(p, return_index=True)
+        for i, start, end in zip(first, starts, np.append(starts[1:], len(p)), strict=True):
+            for c, callers in zip(range(start, end), self.index.callers(a, b, i, q[start:end]), strict=True):
+                if len(callers):
+                    self._meet(asking, who[callers], base, base.ends[c], base.ends[c + 1])
+
+    def _meet(self, asking: _Block, who: np.ndarray, base: _Block, start: int, end: int) -> None:
+        """Finds the links between vectors that ask and those of a cell: in single precision, in double where that is in doubt."""
+        x = asking.near[who]
+        for at in range(start, end, MEETING):
+            to = np.arange(at, min(at + MEETING, end))
+            close = x @ base.near[to[0] : to[-1] + 1].T
+            hits = close >= self.threshold - self.doubt
             if not hits.any():
                 continue
-            out.append(pd.DataFrame({"a": own, "n": hits @ n, "b": -1}))
-            if back:  # a partner that does not ask this cell is credited here
-                once = hits & (to_i[:, some["i"].to_numpy()].T ** 2 + to_j[:, some["j"].to_numpy()].T ** 2 > index.walk**2)
-                credit += some["n"].to_numpy() @ once
-            low_own, low = spread(hits, own, rows)
-            for node, least in ((own, low_own), (rows, low)):
-                tied = node != least
-                out.append(pd.DataFrame({"a": node[tied], "n": 0, "b": least[tied]}))
-        out.append(pd.DataFrame({"a": rows, "n": credit, "b": -1}))
-        found = pd.concat(out)
-        return found[(found["n"] > 0) | (found["b"] >= 0)].astype({"a": "int64", "n": "int64", "b": "int64"})
+            if asking is base:
+                hits &= who[:, None] != to[None]
+            i, j = np.nonzero(hits & (close < self.threshold + self.doubt))
+            for k in range(0, len(i), ASKING):
+                u, v = i[k : k + ASKING], j[k : k + ASKING]
+                hits[u, v] = np.einsum("ij,ij->i", asking.unit(who[u]), base.unit(to[v])) >= self.threshold
+            n = np.count_nonzero(hits)
+            if n > LISTED or n > 4_096 and n > 0.02 * hits.size:
+                self._crowd(asking, who, base, to, hits)
+            elif n:
+                i, j = np.nonzero(hits)
+                self.listed.append((who[i], to[j]))
+                self.waiting += n
+                if self.waiting >= LISTED:
+                    self._settle(asking, base)
+
+    def _settle(self, asking: _Block, base: _Block) -> None:
+        """Counts listed links.  A partner that does not ask the asking vector's cell is credited here."""
+        listed, self.listed, self.waiting = self.listed, [], 0
+        if not listed:
+            return
+        i, j = (np.concatenate(x) for x in zip(*listed, strict=True))
+        np.add.at(self.linked, i + asking.at, base.n[j])
+        for k in range(0, len(i) if self.index is not None else 0, ASKING):
+            u, v = i[k : k + ASKING], j[k : k + ASKING]
+            once = self.index.way(base.unit(v), base.cell[v], asking.cell[u]) > self.index.walk**2
+            np.add.at(self.linked, v[once] + base.at, asking.n[u[once]])
+        self.tree = merge(self.tree, self.rank[i + asking.at], self.rank[j + base.at])
+
+    def _crowd(self, asking: _Block, who: np.ndarray, base: _Block, to: np.ndarray, hits: np.ndarray) -> None:
+        """What ``_settle`` does, where many of the pairs are links: by matrices instead of lists."""
+        np.add.at(self.linked, who + asking.at, hits @ base.n[to])
+        if self.index is not None:
+            _, _, a, b = self.index.place(base.unit(to))
+            p, q = np.divmod(asking.cell[who], len(self.index.words[1]))
+            once = hits & (a.T[p] ** 2 + b.T[q] ** 2 > self.index.walk**2)
+            self.linked[to + base.at] += asking.n[who] @ once
+        own, other = self.rank[who + asking.at], self.rank[to + base.at]
+        low_own, low_other = spread(hits, own, other)
+        self.tree = merge(self.tree, np.concatenate([own, other]), np.concatenate([low_own, low_other]))
+
+
+def _meet(index: Index | None, dim: int, kind: str, ways: int, threshold: float):
+    """Every two blocks that a task has got, and every block with itself, dimension by dimension."""
+
+    def run(batches):
+        held = defaultdict(list)
+        for batch in batches:
+            size, pair = (batch.column(c).to_numpy() for c in ("dim", "pair"))
+            key = size.astype(np.int64) << 32 | pair
+            for k in np.unique(key):
+                part = batch.filter(pa.array(key == k))
+                raw = np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=kind).reshape(len(part), -1)
+                held[k].append((*(part.column(c).to_numpy() for c in ("row", "n", "cell", "block")), raw))
+        while held:
+            k, parts = held.popitem()
+            row, n, cell, block, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            numbers, width = np.unique(block), raw.shape[1]
+            if len(numbers) == 1 and (k & 0xFFFFFFFF) < ways * (ways - 1) // 2:
+                continue  # the other block has none of this dimension
+            blocks, at = [], 0
+            for b in numbers:
+                own = np.flatnonzero(block == b)
+                blocks.append(_Block(row[own], n[own], cell[own], raw[own], at))
+                at += len(own)
+            del raw
+            yield _Meeting(index if width == dim else None, threshold, blocks).found()
 
     return run
 
@@ -177,18 +306,31 @@ def links(table: DataFrame, threshold: float = THRESHOLD, target: float = TARGET
     rows = numbered(table)
     good = rows.where("usable")
     key = ["d1", "d2"]
-    digested = good.select("row", F.xxhash64("embedding").alias("d1"), F.xxhash64(F.lit(1), "embedding").alias("d2"))
+    wide = F.col("embedding").cast("array<double>")
+    digested = good.select("row", F.xxhash64(wide).alias("d1"), F.xxhash64(F.lit(1), wide).alias("d2"))
     nodes = materialize(digested.groupBy(*key).agg(F.min("row").alias("node"), F.count("*").alias("n")))
-    vectors = materialize(
-        good.join(nodes, good["row"] == nodes["node"]).select("row", "n", "embedding")
-    )
-    dim, total = usual_dim(vectors), vectors.count()
+    if nodes.where("n > 1").isEmpty():  # the stored rows serve as they are
+        vectors = good.select("row", F.lit(1).cast("long").alias("n"), "embedding")
+    else:
+        vectors = materialize(good.join(nodes, good["row"] == nodes["node"]).select("row", "n", "embedding"))
+    kind, size = ("<f4", 4) if dict(rows.dtypes)["embedding"] == "array<float>" else ("<f8", 8)
+    dim = usual_dim(vectors)
+    total, numbers = vectors.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
     drawn = sample(vectors, SAMPLE, dim)
     index = Index(drawn, total, threshold, target) if dim > 1 else None
-    schema = "row long, n long, vector binary, dim int, i int, j int, p int, q int, ask boolean"
-    cells = materialize(vectors.mapInArrow(_assign(index, dim), schema))
-    met = blocks(cells.where("NOT ask").drop("ask"), cells.where("ask").drop("ask"), ["dim", "p", "q"], BASE_PIECE, ASKED_PIECE)
-    found = materialize(met.groupBy("dim", "p", "q", "x", "y").applyInPandas(_meet(index, dim, threshold), "a long, n long, b long"))
+    ways = max(1, math.ceil(numbers * size / BLOCK_BYTES), min(FEW_BLOCKS, math.ceil(total / BLOCK_ROWS)))
+    cells, counts = np.unique(index.cell(unit(drawn)) if index is not None else np.empty(0, dtype=np.int64), return_counts=True)
+    hot = cells[counts > len(drawn) / (32 * ways)]
+    placed = vectors.mapInArrow(
+        _assign(index, dim, kind, ways, hot), "row long, n long, vector binary, dim int, cell int, block int"
+    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    low, high, two = F.least("block", "other"), F.greatest("block", "other"), ways * (ways - 1) // 2
+    pair = F.when(low < high, (high * (high - 1) / 2).cast("int") + low).otherwise(two + low)
+    odd = F.when(F.col("dim") == dim, 0).otherwise(F.hash("dim") % 65_536)
+    met = placed.select("row", "n", "vector", "dim", "cell", "block", pair.alias("pair")).repartitionById(
+        two + ways, F.pmod(F.col("pair") + odd, F.lit(two + ways)).cast("int")
+    )
+    found = materialize(met.mapInArrow(_meet(index, dim, kind, ways, threshold), "a long, n long, b long"))
     counts = materialize(found.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked")))
     owner = materialize(components(found.where("b >= 0").select("a", "b")))
     node = nodes.join(counts, "node", "left").join(owner, "node", "left").select(

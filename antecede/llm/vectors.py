@@ -18,8 +18,8 @@ def usable(vector: Column) -> Column:
 
 
 def numbered(table: DataFrame) -> DataFrame:
-    """A stored table of row, vec_id, embedding (doubles) and usable."""
-    vector = F.col("embedding").cast("array<double>")
+    """A stored table of row, vec_id, embedding (floats as they are, else doubles) and usable."""
+    vector = F.col("embedding").cast("array<float>" if dict(table.dtypes).get("embedding") == "array<float>" else "array<double>")
     return materialize(table.select(
         F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"),
         usable(vector).alias("usable"),
@@ -27,15 +27,15 @@ def numbered(table: DataFrame) -> DataFrame:
 
 
 def matrix(column) -> list[np.ndarray]:
-    """The vectors of an Arrow list column."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    """The vectors of an Arrow list column, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     ends = np.cumsum([0, *column.value_lengths().to_pylist()])
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def sample(rows: DataFrame, size: int, dim: int) -> np.ndarray:
     """At most ``size`` vectors of ``dim`` numbers, the same ones on every run over the same table."""
-    drawn = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("embedding"), F.xxhash64("row")).limit(size)
+    drawn = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64(F.col("embedding").cast("array<double>")), F.xxhash64("row")).limit(size)
     found = drawn.select("embedding").collect()
     return np.array([r[0] for r in found], dtype=np.float64).reshape(len(found), dim)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from antecede.llm import vector_links, vector_search
-from antecede.llm.graph import components
+from antecede.llm.graph import components, merge
 from antecede.llm.vector_links import traverse
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -129,6 +129,49 @@ def test_traversal_is_in_order_and_complete():
     assert cost == sorted(cost) and set(found) == {(i, j) for i in range(12) for j in range(9) if a[i] ** 2 + b[j] ** 2 <= 0.49}
 
 
+def test_links_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_links, "BLOCK_BYTES", 8_000)
+    test_links_against_all_pairs(spark)
+
+
+def test_a_vector_is_sent_for_each_block_not_for_each_cell(spark, monkeypatch):
+    """Random vectors ask many cells; no table that is kept has a row for each."""
+    x = np.random.default_rng(8).standard_normal((3_000, 24)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    kept, store = [], vector_links.materialize
+    monkeypatch.setattr(vector_links, "materialize", lambda df: kept.append(store(df)) or kept[-1])
+    assert vector_links.links(table).where("n_links = 0").count() == 3_000
+    assert max(t.count() for t in kept) <= 3_000
+
+
+def test_asking_in_bulk_is_the_traversal():
+    x = vector_links.unit(np.random.default_rng(4).standard_normal((700, 16)))
+    index = vector_links.Index(x, 2_000, 0.95, 0.99)
+    i, j, a, b = index.place(x)
+    width = len(index.words[1])
+    asked = {(k, p, q) for k in range(len(x)) for p, q in traverse(a[k], b[k], index.walk)}
+    called = set()
+    for p in range(len(index.words[0])):
+        for q, who in enumerate(index.callers(a**2, b.T**2, p, np.arange(width))):
+            called |= {(int(k), p, q) for k in who}
+    assert called == asked and (index.cell(x) == i * width + j).all()
+    p, q = (np.random.default_rng(k).integers(0, len(w), len(x)) for k, w in enumerate(index.words))
+    at = np.arange(len(x))
+    assert np.allclose(index.way(x, index.cell(x), p * width + q), a[at, p] ** 2 + b[at, q] ** 2)
+
+
+def test_merge_is_the_smallest_of_each_piece():
+    random = np.random.default_rng(9)
+    tree, owner = np.arange(60), {i: {i} for i in range(60)}
+    for _ in range(4):
+        a, b = random.integers(0, 60, (2, 12))
+        tree = merge(tree, a, b)
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            both = owner[i] | owner[j]
+            owner |= dict.fromkeys(both, both)
+        assert tree.tolist() == [min(owner[i]) for i in range(60)]
+
+
 def test_empty_tables(spark):
     table = spark.createDataFrame([], SCHEMA)
     assert vector_links.links(table).collect() == [] and vector_search.search(table).collect() == []
