@@ -5,6 +5,9 @@ and adds the trees' answers to the scores of every row.  A tree's target is resi
 weight, so each leaf takes a Newton step.  Scores and losses of training and validation rows live in a table that each
 round rewrites; two numbers a round reach the driver.  It stops when the validation loss has not fallen for ``patience``
 rounds, and keeps the trees up to the best round.
+
+Rows equal in all features, in their label and in being held out have the same score in every round, so one row stands for
+them, with their number as weight.
 """
 
 from __future__ import annotations
@@ -54,14 +57,15 @@ def _softmax(scores: Column) -> Column:
 
 
 def _loss(label: str) -> Column:
-    return F.avg(-F.ln(F.greatest(F.get(_softmax(F.col("_scores")), F.col(label)), F.lit(LEAST_SHARE))))
+    own = -F.ln(F.greatest(F.get(_softmax(F.col("_scores")), F.col(label)), F.lit(LEAST_SHARE)))
+    return F.sum(F.col("_rows") * own) / F.sum("_rows")
 
 
 def _tree(state: DataFrame, label: str, k: int, params: Mapping[str, object]) -> DecisionTreeRegressionModel:
     p = F.get("_p", F.lit(k))
     curvature = F.greatest(p * (1 - p), F.lit(LEAST_CURVATURE))
     rows = state.where("NOT _valid").withColumn("_p", _softmax(F.col("_scores"))).select(
-        "features", curvature.alias("_weight"), (((F.col(label) == k).cast("double") - p) / curvature).alias("_target")
+        "features", (F.col("_rows") * curvature).alias("_weight"), (((F.col(label) == k).cast("double") - p) / curvature).alias("_target")
     )
     return DecisionTreeRegressor(labelCol="_target", featuresCol="features", weightCol="_weight", **params).fit(rows)
 
@@ -98,14 +102,21 @@ def fit_boosted(
     spark = df.sparkSession
     params = {**TREE, **(params or {})}
     known = df.withColumn(label, F.col(label).cast("int")).where(F.col(label).between(0, classes - 1))
-    rows = vectors(known.withColumn("_valid", F.coalesce(valid, F.lit(False))), features).select("features", label, "_valid")
-    counts = {r[0]: r[1] for r in rows.where("NOT _valid").groupBy(label).count().collect()}  # a row for each class
+    known = known.withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    if params["minInstancesPerNode"] == 1:
+        known = known.groupBy(*dict.fromkeys([*features, label, "_valid"])).agg(F.count(F.lit(1)).alias("_rows"))
+    else:  # a leaf's instances are rows, not different rows
+        known = known.withColumn("_rows", F.lit(1))
+    rows, rows_path = stored(vectors(known, features).select("features", label, "_valid", "_rows"))
+    found = rows.where("NOT _valid").groupBy(label).agg(F.sum("_rows")).collect()  # a row for each class
+    counts = {r[0]: r[1] for r in found}
     if not counts:
         raise ValueError("no training rows")
     total = sum(counts.values())
     shares = [max(counts.get(k, 0), 0.5) / total for k in range(classes)]
     prior = tuple(spark.range(1).select(F.array(*[F.ln(F.lit(s)) for s in shares])).first()[0])
     state, path = stored(rows.withColumn("_scores", F.array(*map(F.lit, prior))))
+    discard(spark, rows_path)
     history: list[Round] = []
     grown: list[list[DecisionTreeRegressionModel]] = []
     best, lowest = 0, float("inf")

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from antecede.modelling import boost
 from antecede.modelling.boost import fit_boosted, score_boosted
 from antecede.modelling.model import boosted_learner, out_of_fold
 from antecede.modelling.prep import quantiles, quantiles_without
@@ -58,6 +59,30 @@ def test_labels_that_are_no_class(spark, noisy):
         fit_boosted(noisy.where("valid"), ["x"], "y", 2, F.col("valid"))
 
 
+def test_equal_rows_are_one_row_with_a_weight(spark, monkeypatch):
+    rows = [(i, float(i % 4), int(i % 4 < 2) if i % 7 else 1, i % 3 == 0) for i in range(840)]
+    kept, store = [], boost.stored
+    monkeypatch.setattr(boost, "stored", lambda df: kept.append((found := store(df))[0].count()) or found)
+    model = fit_boosted(spark.createDataFrame(rows, SCHEMA), ["x"], "y", 2, F.col("valid"), rounds=2, rate=0.5)
+    different = {r[1:] for r in rows}
+    assert kept == [len(different)] * 4
+    scores = {x: [math.log(sum(r[2] == k for r in rows if not r[3]) / 560) for k in (0, 1)] for x in range(4)}
+    for made in model.rounds:
+        for x, s in scores.items():
+            p, own = softmax(s), [r[2] for r in rows if r[1] == x and not r[3]]
+            scores[x] = [s[k] + 0.5 * (own.count(k) / len(own) - p[k]) / (p[k] * (1 - p[k])) for k in (0, 1)]
+        for held, loss in ((False, made.train_loss), (True, made.valid_loss)):
+            own = [-math.log(softmax(scores[x])[y]) for _, x, y, v in rows if v == held]
+            assert loss == pytest.approx(sum(own) / len(own))
+
+
+def test_a_least_number_of_rows_in_a_leaf(spark):
+    df = spark.createDataFrame([(i, float(i % 2), i % 2, False) for i in range(6)], SCHEMA)
+    for least, parts in ((3, 2), (4, 1)):  # equal rows count each
+        model = fit_boosted(df, ["x"], "y", 2, F.col("valid"), rounds=1, params={"minInstancesPerNode": least})
+        assert len({tuple(r.scores) for r in score_boosted(model, df, ["x"]).collect()}) == parts
+
+
 def test_quantiles_outside_each_fold(spark):
     rows = [(i % 3, float((i * 37) % 101), None if i % 5 else float(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "fold int, a double, b double").repartition(6)
